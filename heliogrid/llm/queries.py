@@ -6,9 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heliogrid.llm import quality_rules
+from heliogrid.llm import packing, quality_rules, token_files
 from heliogrid.llm.common import table
 
+#: Folder of the public vocabulary files; they are read in place and never copied.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def vocabulary(name: str) -> str:
+    """Path of a vocabulary file: the package's own if installed, else the folder's."""
+    try:
+        import public_tokenizers
+    except ImportError:
+        return f"{TOKENIZERS}/{name}"
+    return public_tokenizers.path(name)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -17,9 +30,19 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.annotate(docs).drop("text")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op6_best_fit_packing": op6_best_fit_packing,
         "op9_quality_rules": op9_quality_rules,
+        "op10_token_files": op10_token_files,
     }
 
 
