@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heliogrid.llm import packing, quality_rules, suffix_dedup, token_files
+from heliogrid.llm import ngram_join, packing, quality_rules, suffix_dedup, token_files
 from heliogrid.llm.common import table
 
 #: Folder of the public vocabulary files; they are read in place and never copied.
@@ -30,6 +30,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.annotate(docs).drop("text")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.dedup(docs).drop("spans", "kept")
@@ -45,6 +49,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op3_suffix_array_dedup": op3_suffix_array_dedup,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op9_quality_rules": op9_quality_rules,
