@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heliogrid.llm import ngram_join, packing, quality_rules, suffix_dedup, token_files
+from heliogrid.llm import ngram_join, packing, quality_rules, secret_scan, suffix_dedup, token_files
 from heliogrid.llm.common import table
 
 #: Folder of the public vocabulary files; they are read in place and never copied.
@@ -39,6 +39,11 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(docs).drop("spans", "kept")
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secret_scan.digest(secret_scan.scan(docs, secret_scan.train(docs)))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -51,6 +56,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op3_suffix_array_dedup": op3_suffix_array_dedup,
+        "op4_secret_scans": op4_secret_scans,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op9_quality_rules": op9_quality_rules,
         "op10_token_files": op10_token_files,
