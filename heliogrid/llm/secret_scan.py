@@ -115,7 +115,8 @@ def train(docs: DataFrame, text: str = "text") -> list[float]:
 
 def score(token: Column, model: list[float]) -> Column:
     """Mean log-likelihood ratio of the transitions of ``token``."""
-    table = F.lit(model)
+    # one string literal, folded to an array when the query is planned
+    table = F.split(F.lit(",".join(map(repr, model))), ",").cast("array<double>")
     code = lambda i: F.ascii(F.substr(token, i, F.lit(1)))
     steps = F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda i: F.get(table, code(i) * SIZE + code(i + 1)))
     return F.aggregate(steps, F.lit(0.0), lambda a, b: a + F.coalesce(b, F.lit(0.0))) / (F.length(token) - 1)
