@@ -1,23 +1,68 @@
-"""Corpus pipeline: stages over ``documents``, each written as Parquet and read back."""
+"""Corpus pipeline: stages over ``documents``, each written as Parquet and read back.
+
+Quality rules, exact n-gram Jaccard join, removal of repeated passages, redaction of secrets, and
+packing into training sequences. Every stage works on all that the one before it kept; all but the
+last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from heliogrid.llm import quality_rules
+from heliogrid.llm import ngram_join, packing, quality_rules, secret_scan, suffix_dedup
 from heliogrid.llm.common import staged, table
+from heliogrid.llm.queries import vocabulary
+
+
+def _columns(df: DataFrame, like: DataFrame) -> DataFrame:
+    """``df`` in the columns of ``like``; n_chars follows the text."""
+    if "n_chars" in like.columns:
+        df = df.withColumn("n_chars", F.length("text").cast(like.schema["n_chars"].dataType))
+    return df.select(*[F.col(f"`{c}`") for c in like.columns])
 
 
 def stage_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a quality rule rejects go."""
+    """Documents that a rule rejects go."""
     return quality_rules.keep(docs)
 
 
+def stage_ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one with the smallest doc_id.
+
+    Documents without a doc_id can't be told apart by it and stay; of rows that share a doc_id
+    and a component, one stays.
+    """
+    found = ngram_join.join(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def stage_suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 200 bytes or more that occur elsewhere leave the texts; a text that is nothing else goes."""
+    out = suffix_dedup.dedup(docs)
+    return _columns(out.where("n_removed < n_bytes or n_bytes = 0").withColumn("text", F.col("kept")), docs)
+
+
+def stage_secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; no document goes."""
+    return _columns(secret_scan.redact(docs, secret_scan.train(docs)), docs)
+
+
+def stage_best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document, with the training sequence and the place in it that each takes."""
+    return packing.best_fit(docs, vocabulary("byte_bpe_50k.json"))
+
+
 STAGES = [
     ("quality_rules", stage_quality_rules),
+    ("ngram_jaccard_join", stage_ngram_jaccard_join),
+    ("suffix_array_dedup", stage_suffix_array_dedup),
+    ("secret_scans", stage_secret_scans),
+    ("best_fit_packing", stage_best_fit_packing),
 ]
 
-#: SQL can't express suffix arrays or packing; tests hold the pipeline against a brute-force version.
+#: SQL can't express the suffix sort, the models and the packing; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
