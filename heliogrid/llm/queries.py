@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from heliogrid.llm import ngram_join, packing, quality_rules, secret_scan, suffix_dedup, token_files
+from heliogrid.llm import embedding_dedup, language_id, ngram_join, packing, quality_rules, secret_scan, suffix_dedup, token_files
 from heliogrid.llm.common import table
 
 #: Folder of the public vocabulary files; they are read in place and never copied.
@@ -25,6 +26,17 @@ def vocabulary(name: str) -> str:
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language_id.fold(F.col("doc_id"), 5) == 0
+    model = language_id.train(docs.where(~out).select("text", "lang"))
+    return language_id.predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.annotate(docs).drop("text")
@@ -58,6 +70,8 @@ def queries() -> dict[str, Query]:
         "op3_suffix_array_dedup": op3_suffix_array_dedup,
         "op4_secret_scans": op4_secret_scans,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op7_language_id": op7_language_id,
+        "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op9_quality_rules": op9_quality_rules,
         "op10_token_files": op10_token_files,
     }
