@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliogrid.llm import embedding_dedup, language_id, ngram_join, packing, quality_rules, secret_scan, suffix_dedup, token_files
+from heliogrid.llm import embedding_dedup, language_id, ngram_join, packing, piece_lattice, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_files
 from heliogrid.llm.common import table
 
 #: Folder of the public vocabulary files; they are read in place and never copied.
@@ -46,6 +46,15 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = language_id.fold(F.col("doc_id"), 4) == 2
+    labels = table(spark, sf_dir, "labels").where(F.col("quality").isNotNull() & ~out).groupBy("doc_id").agg(F.avg("quality").alias("y"))
+    stats = quality_classifier.measure(docs)
+    model = quality_classifier.fit(stats.join(labels, "doc_id"))
+    return quality_classifier.score(stats, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.dedup(docs).drop("spans", "kept")
@@ -56,6 +65,10 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(docs, secret_scan.train(docs)))
 
 
+def op5_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_lattice.digest(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -67,8 +80,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op2_quality_classifier": op2_quality_classifier,
         "op3_suffix_array_dedup": op3_suffix_array_dedup,
         "op4_secret_scans": op4_secret_scans,
+        "op5_piece_lattice": op5_piece_lattice,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_language_id": op7_language_id,
         "op8_embedding_near_dedup": op8_embedding_near_dedup,
