@@ -8,7 +8,7 @@ import numpy as np
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
-_CHUNK = 1 << 21
+_CHUNK = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True

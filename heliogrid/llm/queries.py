@@ -57,7 +57,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix_dedup.dedup(docs).drop("spans", "kept")
+    return suffix_dedup.dedup(docs, with_text=False).drop("spans", "kept")
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from heliogrid.llm.common import group_arrow, map_arrow, n_parts, staged
 from heliogrid.llm.hashing import U, mix, window_hashes
 
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 RESULT = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "spans": "array<struct<start:long,end:long>>", "kept": "string"}
 
 
@@ -79,8 +79,8 @@ class _Block:
             self.copy[x["pos"]] = True
             rep[x["pos"]] = x["rep"]
         active = (self.lens >= length) & (rep | ~self.copy)
-        self.pos = np.arange(len(self.b)) - np.repeat(self.starts, self.lens)
-        self.rest = np.repeat(np.where(active, self.lens, 0), self.lens) - self.pos
+        self.pos = (np.arange(len(self.b)) - np.repeat(self.starts, self.lens)).astype(np.int32)
+        self.rest = np.repeat(np.where(active, self.lens, 0), self.lens).astype(np.int32) - self.pos
         self.h = window_hashes(self.b, self.w)
         self.in_cover = np.zeros(self.v, bool)
         self.in_cover[list(cover)] = True
@@ -107,9 +107,8 @@ class _Block:
         at, number, twice, part, names = self.samples()
         hit = at[(twice | _bits(part, named))[number]]
         n = len(self.b)
-        low = np.bincount(hit - np.minimum(self.v - 1, self.pos[hit]), minlength=n + 1)
-        high = np.bincount(hit + 1, minlength=n + 1)
-        at = np.flatnonzero((np.cumsum(low - high)[:n] > 0) & (self.rest >= self.length))
+        near = _covered(hit - np.minimum(self.v - 1, self.pos[hit]), hit + 1, n)
+        at = np.flatnonzero(near & (self.rest >= self.length))
         half = (self.length - self.w) // 2
         x = mix(self.h[at] * U(0xA24BAED4963EE407) + mix(self.h[at + half] + U(0x9FB21C651E98DF25)) + self.h[at + self.length - self.w] * U(0xD6E8FEB86659FD93))
         return self._names(at, x, ((x >> U(40)) % U(self.parts)).astype(np.int64))
@@ -118,12 +117,19 @@ class _Block:
         at, number, twice, part, _ = self.candidates(named)
         bad = at[(twice | _bits(part, repeated))[number]]
         n = len(self.b)
-        cover = np.bincount(bad, minlength=n + 1) - np.bincount(bad + self.length, minlength=n + 1)[: n + 1]
-        gone = np.cumsum(cover)[:n] > 0
+        gone = _covered(bad, bad + self.length, n)
         gone |= np.repeat(self.copy & (self.lens >= self.length), self.lens)
         return gone
 
 
+def _covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in one of the ranges."""
+    step = np.zeros(n + 1, np.int32)
+    np.add.at(step, starts, 1)
+    np.add.at(step, ends, -1)
+    return np.cumsum(step, dtype=np.int32)[:n] > 0
+
+
 def _bits(part: np.ndarray, got: dict[int, bytes]) -> np.ndarray:
     """Flags of the names (sorted by part), from one packed bit string a part."""
     out = np.zeros(len(part), bool)
@@ -210,11 +216,11 @@ def _sent(block: int, named: tuple, kind: str) -> pa.RecordBatch:
     )
 
 
-def dedup(docs: DataFrame, length: int = 200, text: str = "text", q: int = 11) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 200, text: str = "text", q: int = 11, with_text: bool = True) -> DataFrame:
     """Other columns of ``docs`` with n_bytes, n_removed, n_spans, kept_sha256, spans and kept.
 
     ``spans`` are the removed byte ranges; ``kept`` is the rest as text, where a character that was
-    cut apart is dropped (``kept_sha256`` is of the bytes). ``q`` is a prime with q*q + q < length.
+    cut apart is dropped (``kept_sha256`` is of the bytes); without ``with_text`` both are null. ``q`` is a prime with q*q + q < length.
     """
     parts = n_parts(docs.sparkSession)
     if difference_cover(q)[0] + 2 > length or 3 * (length - difference_cover(q)[0] + 1) < length:
@@ -261,8 +267,8 @@ def dedup(docs: DataFrame, length: int = 200, text: str = "text", q: int = 11) -
                     out["n_removed"].append(n - len(kept))
                     out["n_spans"].append(len(spans))
                     out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                    out["spans"].append([{"start": i, "end": j} for i, j in spans])
-                    out["kept"].append(kept.decode(errors="ignore"))
+                    out["spans"].append([{"start": i, "end": j} for i, j in spans] if with_text else None)
+                    out["kept"].append(kept.decode(errors="ignore") if with_text else None)
                 kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
                 cols = [pa.array(out[c], kinds.get(c, pa.string())) for c in RESULT]
                 yield pa.RecordBatch.from_arrays([*others.columns, *cols], [*others.schema.names, *RESULT])
