@@ -76,23 +76,19 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     e = edges.select("a", "b").where("a is not null and b is not null and a <> b")
     e = staged(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
-    before = None
-    while True:
+    while not e.isEmpty():
         both = e.select("u", "v").union(e.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         # large star: neighbours above u are hung onto u's smallest neighbour
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
         # small star: the smaller neighbours of u, and u, are hung onto the smallest
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u")
-        nxt = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        nxt = staged(nxt.union(low2.select("u", F.col("m").alias("v"))).distinct(), "cc")
-        now = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        e = nxt
-        if now == before:
+        small = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = staged(small.union(low2.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        # done when every edge leads to a root: no upper end is a lower end too, or has two
+        below = e.select(F.col("v").alias("u"))
+        if e.join(below, "u", "left_semi").isEmpty() and e.groupBy("u").count().where("count > 1").isEmpty():
             break
-        before = now
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return nodes.union(roots)

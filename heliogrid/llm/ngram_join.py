@@ -11,7 +11,8 @@ transpose counts overlaps, and a size-derived bound discards pairs early:
   pairs before they travel. Of two sets, one has its last prefix column first; all its later
   columns number ``ceil(t n) - 1``, so a pair whose prefix overlap plus that bound stays
   below ``ceil(3 (na + nb) / 7)`` is dropped. What is left is verified on the whole sets.
-* A column shared by many sets doesn't emit all its pairs. It links every set with a few hubs;
+* A column shared by many sets doesn't emit all its pairs. It meets every set with a few hubs, and
+  in some more rounds with members of the column's largest component;
   the verified links form components, and only sets of one column that are still in different
   components are compared pair by pair, with full counts. So no link between different texts is
   lost, while a group of many near copies costs a few comparisons a copy.
@@ -44,6 +45,7 @@ SLICES = 16
 #: A column with more sets than this links them through hubs first.
 ALL_PAIRS = 16
 HUBS = 3
+ROUNDS = 3
 
 
 def _need(n: np.ndarray | Column):
@@ -207,6 +209,8 @@ def _may_link(na: Column, nb: Column, shared: Column) -> Column:
 def _verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b, na, nb) that reach 0.75 on their whole sets."""
     pairs = staged(pairs.select("a", "b", "na", "nb"), "pairs")
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     first = sets.join(wanted, "node").groupBy("node").agg(F.min_by("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("doc_id"))
 
@@ -241,6 +245,29 @@ def _verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     return staged(map_arrow(both, check, "a long, b long"), "links")
 
 
+def _crowded(product: DataFrame, comp: DataFrame) -> DataFrame:
+    """Sets of the crowded columns that hold more than one component; of columns with equal sets one, with their number as weight."""
+    rows = product.where("column is not null").select("column", F.col("a").alias("node"), F.col("na").alias("n"))
+    rows = rows.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mark = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in (0, 1)]
+    columns = rows.groupBy("column").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), *mark).where("lo <> hi")
+    kept = columns.groupBy("size", "mark0", "mark1").agg(F.min("column").alias("column"), F.count("*").alias("weight")).select("column", "weight")
+    return staged(rows.join(kept, "column"), "crowd")
+
+
+def _stars(crowd: DataFrame, turn: int) -> DataFrame:
+    """For every set outside the largest component of one of its columns, the member of that component it meets most often."""
+    member = F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(turn))).alias("hub")
+    per = crowd.groupBy("column", "component").agg(F.count("*").alias("size"), member)
+    main = per.groupBy("column").agg(F.max_by(F.struct("component", "hub"), F.struct("size", "component")).alias("main"))
+    met = crowd.join(main, "column").where("component <> main.component and 4 * least(n, main.hub.n) >= 3 * greatest(n, main.hub.n)")
+    met = met.groupBy("node", "n", "main.hub").agg(F.sum("weight").alias("c"))
+    best = met.groupBy("node").agg(F.max_by(F.struct("n", "hub"), F.struct("c", "hub.node")).alias("m"))
+    a, b = F.struct("node", "m.n"), F.struct("m.hub.node", "m.hub.n")
+    low, high = F.least(a, b), F.greatest(a, b)
+    return best.select(low.getField("node").alias("a"), high.getField("node").alias("b"), low.getField("n").alias("na"), high.getField("n").alias("nb")).distinct()
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -251,34 +278,37 @@ def join(docs: DataFrame) -> DataFrame:
 
     sums = product.where("column is null").groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("na", "nb")], *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("shared", "hub")])
     sums = staged(sums, "overlaps")
-    likely = sums.where(_may_link(F.col("na"), F.col("nb"), F.col("shared") + F.col("hub")))
-    # first one link a set, to the likely partner of least key; then what is still apart
-    nearest = likely.groupBy("b").agg(F.min_by(F.struct("a", "na", "nb"), "a").alias("x")).select("x.a", "b", "x.na", "x.nb")
+    # first one link a set, to the partner it shares most with; then what is still apart
+    both = sums.select(F.col("b").alias("x"), "a", "b", "na", "nb", "shared", "hub").union(sums.select("a", "a", "b", "na", "nb", "shared", "hub"))
+    nearest = both.groupBy("x").agg(F.max_by(F.struct("a", "b", "na", "nb"), F.struct(F.col("shared") + F.col("hub"), -F.col("a"))).alias("p")).select("p.*").distinct()
     links = _verify(nearest, docs, sets)
-
-    def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-        for c in ("a", "b"):
-            pairs = pairs.join(comp.toDF(c, f"c{c}"), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
-        return pairs.where("ca <> cb")
-
-    comp = staged(components(links), "comp")
-    rest = apart(likely, comp).join(nearest.select("a", "b"), ["a", "b"], "left_anti")
-    links = links.union(_verify(rest, docs, sets))
     comp = staged(components(links), "comp")
-    # crowded columns: sets that no link has joined yet meet all others of the column
-    crowd = product.where("column is not null").select("column", F.col("a").alias("node"), F.col("na").alias("n"))
-    crowd = crowd.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = crowd.groupBy("column").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("column")
-    crowd = staged(crowd.join(mixed, "column"), "crowd")
+    likely = sums.where(_may_link(F.col("na"), F.col("nb"), F.col("shared") + F.col("hub")))
+    for c in ("a", "b"):
+        likely = likely.join(comp.toDF(c, f"c{c}"), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
+    more = _verify(likely.where("ca <> cb").join(nearest.select("a", "b"), ["a", "b"], "left_anti"), docs, sets)
+    if not more.isEmpty():
+        links = links.union(more)
+        comp = staged(components(links), "comp")
+    # crowded columns: sets apart from the largest component of a column try a member of it, round by round
+    crowd = _crowded(product, comp)
+    for turn in range(ROUNDS):
+        if crowd.isEmpty() or (more := _verify(_stars(crowd, turn), docs, sets)).isEmpty():
+            break
+        links = links.union(more)
+        comp = staged(components(links), "comp")
+        crowd = _crowded(product, comp)
+    # what is still in different components meets pair by pair
     x, y = crowd.alias("x"), crowd.alias("y")
     met = x.join(y, F.col("x.column") == F.col("y.column")).where(
         "x.node < y.node and x.component <> y.component and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n)"
     )
-    met = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.first("x.n").alias("na"), F.first("y.n").alias("nb"), F.count("*").alias("c"))
-    met = met.join(sums.select("a", "b", "shared"), ["a", "b"], "left")
+    met = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.first("x.n").alias("na"), F.first("y.n").alias("nb"), F.sum("x.weight").alias("c"))
+    met = met.join(sums.where("shared > 0").select("a", "b", "shared"), ["a", "b"], "left")
     met = met.where(_may_link(F.col("na"), F.col("nb"), F.col("c") + F.coalesce("shared", F.lit(0))))
-    links = links.union(_verify(met, docs, sets))
-    comp = staged(components(links), "comp")
+    if not crowd.isEmpty() and not (more := _verify(met, docs, sets)).isEmpty():
+        links = links.union(more)
+        comp = staged(components(links), "comp")
 
     first = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     named = first.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
