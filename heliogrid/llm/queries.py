@@ -39,7 +39,8 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality_rules.annotate(docs).drop("text")
+    out = quality_rules.annotate(docs).drop("text")
+    return out.withColumn("failed", F.array_join("failed", ","))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,5 +93,44 @@ def queries() -> dict[str, Query]:
     }
 
 
+def _rules_sql() -> str:
+    stops = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
+
+    def fails(r: quality_rules.Rule) -> str:
+        value = r.value.replace("100D", "100.0::double").replace("1D", "1.0::double")
+        tests = [f"{value} < {r.low}::double"] * (r.low is not None) + [f"{value} > {r.high}::double"] * (r.high is not None)
+        return f"case when n_words >= {r.min_words} and ({' or '.join(tests)}) then '{r.name}' end"
+
+    return f"""with d as (select row_number() over () as k, doc_id, coalesce(text, '') as text from documents),
+w as (select k, doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as w,
+list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l from d),
+g as (select k, i, array_to_string(w[i:i + 4], ' ') as g from (select k, w, unnest(range(1, len(w) - 3)) as i from w where len(w) >= 5)),
+r as (select k, count(distinct i + j) as n from (select k, i from (select k, i, count(*) over (partition by k, g) as c from g) where c > 1), range(0, 5) as o(j) group by k),
+s as (select doc_id, len(w)::bigint as n_words, coalesce(length(array_to_string(w, '')), 0)::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
+len(l)::bigint as n_lines, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words,
+len(list_filter(w, lambda x: x in ({stops})))::bigint as n_stop_words from w left join r using (k)),
+f as (select *, concat_ws(',', {", ".join(map(fails, quality_rules.RULES))}) as failed, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from s)
+select *, not base_failed and failed = '' as kept from f"""
+
+
+_JOIN_SQL = """with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+r(doc_id, other) as (select doc_id, doc_id from n union select r.doc_id, e.b from r join e on r.other = e.a),
+c as (select doc_id, min(other) as component_id from r group by doc_id)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(c.component_id, w.doc_id) as component_id from w left join n using (doc_id) left join c using (doc_id)"""
+
+_EMBEDDING_SQL = """with recursive v as (select vec_id, label, embedding::double[] as x from embeddings
+where label is not null and embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0 and len(list_filter(embedding, lambda c: c <> 0)) > 0),
+e as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.x) = len(b.x) where list_cosine_similarity(a.x, b.x) >= 0.98),
+r(vec_id, other) as (select vec_id, vec_id from embeddings union select r.vec_id, e.b from r join e on r.other = e.a),
+c as (select vec_id, min(other) as component_id from r group by vec_id),
+n as (select a as vec_id, count(*) as n from e group by a)
+select c.vec_id, coalesce(n.n, 0)::bigint as n_links, component_id, c.vec_id = component_id as kept from c left join n using (vec_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_ngram_jaccard_join": _JOIN_SQL, "op8_embedding_near_dedup": _EMBEDDING_SQL, "op9_quality_rules": _rules_sql()}
