@@ -68,25 +68,39 @@ class UnitEncoder:
         return out
 
     def _units(self, text: str) -> list[str] | None:
-        """Units of ``text`` in order; None: it has to be encoded whole."""
+        """Words of ``text`` in order; None: it has to be encoded whole."""
         if _ODD_SET.search(text):
             return None
         if not self.blank_joins:
             return text.split()
         if "  " in text:  # a run of blanks is one token up to its last blank
             return None
-        head, *rest = text.split(" ")
-        return [head] + [" " + x for x in rest]
+        return text.split(" ")
 
     def encode_all(self, texts: Iterable[str]) -> list[bytes]:
-        memo = self.memo
+        # with blank_joins a memo key stands for the blank and the word; the first word of a text has no blank
+        memo, joins = self.memo, self.blank_joins
         cut = [self._units(t) for t in texts]
+        heads = {u[0]: b"" for u in cut if u} if joins else {}
+        if joins:
+            heads = self._many([h for h in heads if h]) | {"": b""}
         whole = [t for t, u in zip(texts, cut, strict=True) if u is None]
-        new = set().union(*(u for u in cut if u is not None)) - memo.keys()
-        memo.update(self._many(list(new)))
+        new = list(set().union(*(u for u in cut if u is not None)) - memo.keys())
+        if joins:
+            got = self._many([" " + x for x in new])
+            memo.update((x, got[" " + x]) for x in new)
+        else:
+            memo.update(self._many(new))
         rest = iter(self._library(whole))
         join, get = b"".join, memo.__getitem__
-        out = [(next(rest) if u is None else join(map(get, u))) + self.end for u in cut]
+        out = []
+        for u in cut:
+            if u is None:
+                out.append(next(rest) + self.end)
+            elif joins:
+                out.append(heads[u[0]] + join(map(get, u[1:])) + self.end)
+            else:
+                out.append(join(map(get, u)) + self.end)
         if len(memo) > MEMO:  # the units met first are the frequent ones: they stay
             for x in new:
                 del memo[x]
