@@ -57,3 +57,15 @@ def diagnostics(rows: DataFrame, raw: str) -> DataFrame:
         F.avg(raw).alias("raw_mean"),
         F.every(F.col(raw) <= 0).alias("none_positive"),
     )
+
+
+def hourly_records(rows: DataFrame, run_id: int, columns: list[str], at: str = "forecast_timestamp") -> DataFrame:
+    """Rows to append for a run, the model's inputs as JSON."""
+    return rows.select(F.lit(run_id).alias("run_id"), F.col(at).alias("forecast_timestamp"), F.to_date(at).alias("forecast_date"), F.hour(at).cast("short").alias("forecast_hour"), "predicted_power_kw", F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("raw_features"))
+
+
+def report(rows: DataFrame, at: str = "forecast_timestamp") -> list[str]:
+    """Console lines of one day: an hour each, then the day's energy."""
+    day = rows.select(at, "predicted_power_kw").orderBy(at).limit(48).collect()
+    lines = [f"{r[0]:%Y-%m-%d %H:%M}  {r[1]:.3f} kW" for r in day]
+    return [*lines, f"daily energy {sum(r[1] or 0.0 for r in day):.3f} kWh"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliogrid.functions.safe import decimal_or_null, int_or_null, kind_of
@@ -63,3 +63,22 @@ def room_results(rows: DataFrame, response: str = "response_json", run: str = "r
     text = lambda n: F.try_variant_get("r", f"$.{n}", "string")
     out = out.select("run_id", "position", text("room_id").alias("room_id"), text("room_label").alias("room_label"), text("status").alias("status"), text("error").alias("error_text"), *[decimal_or_null(text(f"metrics.{m}")).alias(m) for m in ROOM])
     return last_by_key(out, ["run_id", "room_id"], ["position"]).drop("position")
+
+
+def create(runs: DataFrame, requests: DataFrame, key: str = "id") -> DataFrame:
+    """``requests`` with ids that follow the greatest one there is, in order of all their columns."""
+    top = runs.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
+    order = Window.orderBy(*[F.col(c) for c in requests.columns])  # requests are a handful a day
+    return requests.withColumn(key, F.lit(top) + F.row_number().over(order))
+
+
+def finish(runs: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
+    """Runs with the columns that ``done`` has put in place; rows it doesn't name stay as they are."""
+    new = [c for c in done.columns if c != key]
+    both = runs.join(done.select(key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in new]), key, "left")
+    return both.select(*[F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in runs.columns])
+
+
+def failed(http_status: int | None, error: str) -> dict[str, Column]:
+    """Columns of a run that failed."""
+    return {"http_status": F.lit(http_status).cast("int"), "success": F.lit(False), "error_text": F.lit(error)}

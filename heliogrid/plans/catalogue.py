@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliogrid.functions.params import HistoryParams
-from heliogrid.functions.safe import number_at
+from heliogrid.functions.safe import int_or_null, number_at, percent
 from heliogrid.functions.timebucket import time_bucket, truncate_hour, working_flags
 from heliogrid.operators import energy, fleet, history, pv, rollup, runs
-from heliogrid.operators.upsert import merge_registry, replace_by_key
+from heliogrid.operators.upsert import cascade, last_by_key, merge_registry, replace_by_key
 from heliogrid.sources import forecast, messages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -411,3 +411,44 @@ def stream_rollup(spark, sf_dir):
     rollup_stream(stream, f"{folder}/out", f"{folder}/checkpoint", 3600).awaitTermination()
     out = VersionedTable(spark, f"{folder}/out").read()
     return _six(out.select("device_id", "metric", "unit", "bucket_start", "value_avg", "value_min", "value_max", "sample_count"), "value_avg")
+
+
+@query("select 'environmental' as source, c_custkey, c_name from customer union all select 'meter', s_suppkey, s_name from supplier")
+def device_listing(spark, sf_dir):
+    c = load(spark, sf_dir, "customer").select(F.lit("environmental").alias("source"), "c_custkey", "c_name")
+    s = load(spark, sf_dir, "supplier").select(F.lit("meter").alias("source"), F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("c_name"))
+    return c.unionByName(s).orderBy("source", "c_custkey")
+
+
+@query("""select source, forecast_timestamp, value, fetched from (select *, row_number() over (partition by source, forecast_timestamp order by fetched desc) as n
+from (select event_type as source, date_trunc('hour', ts) as forecast_timestamp, value, event_id as fetched from events)) where n = 1""")
+def weather_upsert(spark, sf_dir):
+    """Two fetches in a row: of equal (source, hour) the later one stays."""
+    e = load(spark, sf_dir, "events").select(F.col("event_type").alias("source"), truncate_hour(F.col("ts")).alias("forecast_timestamp"), "value", F.col("event_id").alias("fetched"))
+    keys = ["source", "forecast_timestamp"]
+    old, new = (last_by_key(x, keys, ["fetched"]) for x in (e.where("fetched < 5000"), e.where("fetched >= 5000")))
+    return replace_by_key(old, new, keys)
+
+
+@query("""with n as (select o_orderkey, count(*) as lines from orders join lineitem on o_orderkey = l_orderkey where l_returnflag = 'A' group by 1)
+select o.o_orderkey, case when n.lines is not null then 'done' else o_orderstatus end as status from orders o left join n using (o_orderkey)""")
+def run_finish(spark, sf_dir):
+    o = load(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    done = load(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    return runs.finish(o, done.withColumn("status", F.lit("done")), "o_orderkey")
+
+
+@query("""select event_id, try_cast(json_extract_string(props, '$.k') as bigint) as whole, date_diff('microsecond', timestamp '2024-01-01', ts) / 3.6e9 as hours, ts::date::varchar as day, hour(ts)::integer as hour_of_day,
+case when value > 0 then round(greatest(0, least(100, value * 100.0::double / 500)), 1) end as share from events""")
+def safe_values(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    text = F.try_variant_get(F.try_parse_json("props"), "$.k", "string")
+    hours = F.timestamp_diff("MICROSECOND", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")) / F.lit(3.6e9)
+    share = F.when(F.col("value") > 0, percent(F.col("value"), F.lit(500)))
+    return e.select("event_id", int_or_null(text).alias("whole"), hours.alias("hours"), F.to_date("ts").cast("string").alias("day"), F.hour("ts").alias("hour_of_day"), share.alias("share"))
+
+
+@query("select l_orderkey, l_linenumber from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'O')")
+def cascade_delete(spark, sf_dir):
+    gone = load(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("id"))
+    return cascade(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), gone, "l_orderkey")
