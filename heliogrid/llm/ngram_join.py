@@ -14,7 +14,8 @@ transpose counts overlaps, and a size-derived bound discards pairs early:
 * A column shared by many sets doesn't emit all its pairs. It meets every set with a few hubs, and
   in some more rounds with members of the column's largest component;
   the verified links form components, and only sets of one column that are still in different
-  components are compared pair by pair, with full counts. So no link between different texts is
+  components are compared, in blocks that count each pair over all crowded columns and drop it at
+  the bound before it travels. So no link between different texts is
   lost, while a group of many near copies costs a few comparisons a copy.
 
 Equal sets share one row of the matrix (keyed by a 63-bit hash of the set), so exact copies cost
@@ -46,6 +47,8 @@ SLICES = 16
 ALL_PAIRS = 16
 HUBS = 3
 ROUNDS = 3
+#: Sets of a crowded column that meet in one task.
+PIECE = 1000
 
 
 def _need(n: np.ndarray | Column):
@@ -268,6 +271,62 @@ def _stars(crowd: DataFrame, turn: int) -> DataFrame:
     return best.select(low.getField("node").alias("a"), high.getField("node").alias("b"), low.getField("n").alias("na"), high.getField("n").alias("nb")).distinct()
 
 
+def _meetings(crowd: DataFrame) -> DataFrame:
+    """Pairs (a, b, na, nb) in different components with ``c``, the crowded columns they share, where c lets them link.
+
+    Every row of a column carries all crowded columns of its set, so that a block counts a pair whole, in the first
+    column that the pair shares, and drops it there. A column of more than ``PIECE`` sets meets piece by piece.
+    """
+    sets = crowd.groupBy("node", "n", "component").agg(F.sort_array(F.collect_list(F.struct("column", "weight"))).alias("v"))
+    rows = sets.select("node", "n", "component", F.explode("v.column").alias("column"), F.col("v.column").alias("columns"), F.col("v.weight").alias("weights"))
+    pieces = staged(crowd.groupBy("column").agg(F.ceil(F.count("*") / PIECE).alias("pieces")), "pieces")
+    p, last = F.col("piece"), F.col("pieces") - 1
+    one = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    before = F.when(p > 0, F.sequence(F.lit(0).cast("long"), p - 1)).otherwise(F.array().cast("array<bigint>"))
+    meets = F.concat(F.transform(F.sequence(p, last), lambda j: one(p, j, 0)), F.transform(before, lambda i: one(i, p, 1)))
+    rows = rows.join(pieces, "column").withColumn("piece", F.pmod(F.xxhash64("node", F.lit(11)), F.col("pieces")))
+    rows = rows.select("column", F.explode(meets).alias("m"), "node", "n", "component", "columns", "weights")
+
+    def flat(t: pa.Table, c: str) -> np.ndarray:
+        return t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        own, i, j = (k.as_py() for k in key)
+        side = t.column("side").to_numpy()
+        node, n, comp = (t.column(c).to_numpy() for c in ("node", "n", "component"))
+        at = np.repeat(np.arange(len(node)), t.column("columns").combine_chunks().value_lengths().to_numpy())
+        cols, weights = flat(t, "columns"), flat(t, "weights")
+        rest = n - _need(n) + 1 - np.bincount(at, weights, minlength=len(node)).astype(np.int64)
+        order = np.argsort(cols, kind="stable")
+        cols, weights, at = cols[order], weights[order], at[order]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if i == j else 1))
+        place = np.zeros(len(node), np.int64)
+        place[left] = np.arange(len(left))
+        place[right] = np.arange(len(right))
+        c, met = np.zeros((len(left), len(right)), np.int64), np.zeros((len(left), len(right)), bool)
+        edges = [*np.flatnonzero(np.diff(cols, prepend=cols[0] - 1)).tolist(), len(cols)] if len(cols) else [0]
+        for s, e in zip(edges, edges[1:]):
+            here = at[s:e]
+            x, y = (here, here) if i == j else (here[side[here] == 0], here[side[here] == 1])
+            if e - s > 1 and len(x) and len(y):
+                cell = np.ix_(place[x], place[y])
+                c[cell] += weights[s]
+                if cols[s] < own:  # met in that column already
+                    met[cell] = True
+        na, nb = n[left][:, None], n[right][None]
+        reach = c + np.minimum(rest[left][:, None], rest[right][None]) + np.maximum(_need(na), _need(nb)) - 1
+        ok = ~met & (comp[left][:, None] != comp[right][None]) & (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)) & (7 * reach >= 3 * (na + nb))
+        if i == j:
+            ok &= node[left][:, None] < node[right][None]
+        x, y = np.nonzero(ok)
+        a, b = left[x], right[y]
+        a, b = np.where(node[a] < node[b], a, b), np.where(node[a] < node[b], b, a)
+        return pa.table({"a": node[a], "b": node[b], "na": n[a], "nb": n[b], "c": c[x, y]})
+
+    dealt = rows.select("column", "m.i", "m.j", "m.side", "node", "n", "component", "columns", "weights")
+    return group_arrow(dealt, ["column", "i", "j"], run, "a long, b long, na long, nb long, c long")
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -298,13 +357,8 @@ def join(docs: DataFrame) -> DataFrame:
         links = links.union(more)
         comp = staged(components(links), "comp")
         crowd = _crowded(product, comp)
-    # what is still in different components meets pair by pair
-    x, y = crowd.alias("x"), crowd.alias("y")
-    met = x.join(y, F.col("x.column") == F.col("y.column")).where(
-        "x.node < y.node and x.component <> y.component and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n)"
-    )
-    met = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.first("x.n").alias("na"), F.first("y.n").alias("nb"), F.sum("x.weight").alias("c"))
-    met = met.join(sums.where("shared > 0").select("a", "b", "shared"), ["a", "b"], "left")
+    # what is still in different components meets in blocks of each column
+    met = _meetings(crowd).join(sums.where("shared > 0").select("a", "b", "shared"), ["a", "b"], "left")
     met = met.where(_may_link(F.col("na"), F.col("nb"), F.col("c") + F.coalesce("shared", F.lit(0))))
     if not crowd.isEmpty() and not (more := _verify(met, docs, sets)).isEmpty():
         links = links.union(more)

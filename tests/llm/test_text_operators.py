@@ -131,6 +131,22 @@ def test_join_of_a_crowd_of_near_copies(spark):
     assert comp == got.component_id.to_dict()
 
 
+def test_join_of_texts_made_of_shared_passages(spark, monkeypatch):
+    """Crowded columns of sets in different components meet in blocks, here of a few sets each."""
+    monkeypatch.setattr(ngram_join, "PIECE", 7)
+    rng = np.random.default_rng(4)
+    passages = [[f"p{k}_{i}" for i in range(rng.integers(15, 40))] for k in range(9)]
+    rows = []
+    for i in range(120):
+        w = [x for k in rng.choice(9, rng.integers(3, 6), replace=False) for x in passages[k]]
+        if i % 4 == 0:
+            w += [f"own{i}_{k}" for k in range(rng.integers(0, 12))]
+        rows.append((i, " ".join(w)))
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")
+    comp, _ = brute_components(rows)
+    assert comp == got.component_id.to_dict()
+
+
 def test_join_edges(spark, edges, empty):
     got = ngram_join.join(edges).toPandas()
     of = {k: set(zip(g.n_shingles, g.component_id)) for k, g in got.groupby("doc_id")}
