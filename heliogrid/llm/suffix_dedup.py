@@ -181,6 +181,7 @@ def _copies(blocks: DataFrame, length: int) -> DataFrame:
     """Per block the documents that equal another one, and which of them stand for their group."""
     docs = blocks.select("block", F.posexplode(F.arrays_zip("lens", "mark"))).select("block", "pos", "col.*").where(F.col("lens") >= length)
     groups = docs.groupBy("mark").agg(F.min(F.struct("block", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    groups = staged(groups.select("mark", "first"), "groups")  # a table of its own, so that Spark can split a large group in the join
     found = docs.join(groups, "mark").select("block", F.struct("pos", (F.struct("block", "pos") == F.col("first")).alias("rep")).alias("x"))
     return found.groupBy("block").agg(F.collect_list("x").alias("copies"))
 
