@@ -255,6 +255,7 @@ def _crowded(product: DataFrame, comp: DataFrame) -> DataFrame:
     mark = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in (0, 1)]
     columns = rows.groupBy("column").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), *mark).where("lo <> hi")
     kept = columns.groupBy("size", "mark0", "mark1").agg(F.min("column").alias("column"), F.count("*").alias("weight")).select("column", "weight")
+    kept = staged(kept, "columns")
     return staged(rows.join(kept, "column"), "crowd")
 
 
@@ -263,6 +264,7 @@ def _stars(crowd: DataFrame, turn: int) -> DataFrame:
     member = F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(turn))).alias("hub")
     per = crowd.groupBy("column", "component").agg(F.count("*").alias("size"), member)
     main = per.groupBy("column").agg(F.max_by(F.struct("component", "hub"), F.struct("size", "component")).alias("main"))
+    main = staged(main, "main")  # a table of its own, so that Spark can split a crowded column in the join
     met = crowd.join(main, "column").where("component <> main.component and 4 * least(n, main.hub.n) >= 3 * greatest(n, main.hub.n)")
     met = met.groupBy("node", "n", "main.hub").agg(F.sum("weight").alias("c"))
     best = met.groupBy("node").agg(F.max_by(F.struct("n", "hub"), F.struct("c", "hub.node")).alias("m"))
