@@ -75,16 +75,17 @@ class Lattice:
         ahead = [0.0] + [0.0] * len(word)
         for j in range(1, len(word) + 1):
             ahead[j] = max(ahead[i] + s for i, s, _ in ends[j])
-        # backward: (minus the best total through here, tie, position, score so far, ids so far)
-        heap = [(-ahead[-1], (), len(word), 0.0, ())]
+        # backward: (minus the best total through here, position, ids so far, score so far); of equal totals the
+        # one nearest to its end goes first, as a run of one character has very many segmentations of equal score
+        heap = [(-ahead[-1], len(word), (), 0.0)]
         found: list[tuple[float, tuple[int, ...]]] = []
         while heap and len(found) < n:
-            _, ids, at, score, _ = heapq.heappop(heap)
+            _, at, ids, score = heapq.heappop(heap)
             if at == 0:
                 found.append((score, ids))
                 continue
             for i, s, piece in ends[at]:
-                heapq.heappush(heap, (-(score + s + ahead[i]), piece + ids, i, score + s, ()))
+                heapq.heappush(heap, (-(score + s + ahead[i]), i, piece + ids, score + s))
         return found
 
     def words(self, text: str) -> list[str]:
