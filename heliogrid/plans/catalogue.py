@@ -178,6 +178,14 @@ def rollup_seed(spark, sf_dir):
     return _six(rollup.seed(rollup.build(m.where("id <= 9000"), 3600), m, 3600, NOW), "value_avg")
 
 
+@query(f"with m as ({MEASURES}) {_rollup_sql('1 hour')}")
+def rollup_seed_whole(spark, sf_dir):
+    """Everything before the last day was rolled up; with the look-back of two days put over it, no row is left out."""
+    m = measures(spark, sf_dir)
+    old = m.where(F.col("event_time") < F.lit(NOW - timedelta(days=1)).cast("timestamp_ntz"))
+    return _six(rollup.seed(rollup.build(old, 3600), m, 3600, NOW), "value_avg")
+
+
 _DOOMED = f"select event_id as id, ts as event_time from events where ts < timestamp '2024-01-24' and event_id <= {WATERMARK} order by event_id limit 4000"
 
 

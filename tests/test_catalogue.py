@@ -18,3 +18,11 @@ def test_entry(spark):
 
     assert e.entry(spark).columns == ["device_id", "metric", "unit", "bucket", "value"]
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_seed_covers_every_row(spark):
+    sf = "/root/testdata/sf0.01"
+    counted = catalogue.QUERIES["rollup_seed_whole"](spark, sf).groupBy().sum("sample_count").first()[0]
+    assert counted == catalogue.measures(spark, sf).where("value is not null and event_time is not null").count()
+    ok, why = same(catalogue.QUERIES["rollup_seed_whole"](spark, sf), catalogue.SQL["rollup_seed_whole"], sf)
+    assert ok, why
