@@ -4,7 +4,9 @@ Two first-order character models, one of random strings and one of ordinary iden
 from labelled samples with plain aggregations. A token of ``MIN_TOKEN`` characters or more is a secret
 where the log-likelihood ratio of the two models exceeds ``MIN_RATIO`` a transition. Random
 samples are digests in hexadecimal and base 64 (``RANDOM_SAMPLES`` of each, a documented bound) and the values of the
-fixed patterns; identifier samples are all distinct words of letters, "_" and "-" in the corpus.
+fixed patterns; ordinary samples are all distinct words of the characters of a token, digits included, that
+the corpus has outside the spans of the fixed patterns. Smoothing is a share of each row's total, so that the
+ratio of a transition doesn't drift with the size of the corpus.
 
 The scan itself is one projection: no shuffle, no join, no user function. The model is a table of
 128 * 128 numbers, a fixed size, and travels in the plan. Only the training shuffles, and it sends
@@ -34,8 +36,12 @@ TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 MIN_TOKEN = 20
 MIN_RATIO = 0.35
 RANDOM_SAMPLES = 20_000
-IDENTIFIER = r"[A-Za-z_-]{8,}"
+#: Stands for a span of the fixed patterns; a word that touches one is no sample.
+CUT = "\x01"
+WORD = r"(?<![A-Za-z0-9+/_=\x01-])[A-Za-z0-9+/_=-]{8,}+(?!\x01)"
 SIZE = 128
+#: Weight of the even distribution, as a share of a row's total.
+SMOOTHING = 0.25
 
 
 def _found(text: Column, pattern: str, keep) -> Column:
@@ -73,6 +79,19 @@ def _rows(text: Column) -> Column:
     return F.array_sort(F.concat(*[F.transform(_spans(text, k), ranked(r)) for r, k in enumerate(PATTERNS)]))
 
 
+def _replaced(t: Column, spans: Column, mark: str) -> Column:
+    """``t`` with ``mark`` in place of every span; overlapping spans become one."""
+
+    def step(acc: Column, x: Column) -> Column:
+        gap = F.substr(t, acc.at + 1, x.start - acc.at)
+        fresh = F.struct(x.end.alias("at"), F.concat(acc.out, gap, F.lit(mark)).alias("out"))
+        return F.when(x.start >= acc.at, fresh).otherwise(F.struct(F.greatest(acc.at, x.end).alias("at"), acc.out.alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc.out, F.substr(t, acc.at + 1)))
+    return F.when(F.size(spans) == 0, t).otherwise(done)
+
+
 def _steps(samples: DataFrame, name: str) -> DataFrame:
     """Counts of character transitions in distinct strings ``s``."""
     at = F.explode(F.sequence(F.lit(1), F.length("s") - 1))
@@ -99,14 +118,16 @@ def train(docs: DataFrame, text: str = "text") -> list[float]:
     values = F.filter(F.regexp_extract_all("t", F.lit(pattern), F.lit(group)), lambda x: F.length(x) >= MIN_TOKEN)
     known = t.select(F.explode(F.concat(values, F.regexp_extract_all("t", F.lit(PATTERNS["access"][0]), F.lit(0)), F.regexp_extract_all("t", F.lit(PATTERNS["hex"][0]), F.lit(0)))).alias("s"))
     random = made.union(known).distinct()
-    words = t.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(IDENTIFIER), F.lit(0)))).alias("s")).distinct()
+    plain = bound(_rows(F.col("t")), lambda spans: _replaced(F.col("t"), spans, CUT))
+    words = t.select(F.explode(F.array_distinct(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0)))).alias("s")).distinct()
     rows = _steps(random, "r").join(_steps(words, "o"), "step", "full").collect()
 
     def log_model(count: dict[int, int]) -> list[float]:
         out = []
         for a in range(SIZE):
             total = sum(count.get(a * SIZE + b, 0) for b in range(SIZE))
-            out += [math.log((count.get(a * SIZE + b, 0) + 0.5) / (total + 0.5 * SIZE)) for b in range(SIZE)]
+            even = SMOOTHING * total if total else 1.0
+            out += [math.log((count.get(a * SIZE + b, 0) + even / SIZE) / (total + even)) for b in range(SIZE)]
         return out
 
     r, o = ({x["step"]: x[c] for x in rows if x[c]} for c in ("r", "o"))
@@ -152,14 +173,5 @@ def digest(scanned: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, model: list[float], text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mark``; overlapping spans become one."""
     found = scan(docs, model, text)
-    t = F.col(f"`{text}`")
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substr(t, acc.at + 1, x.start - acc.at)
-        fresh = F.struct(x.end.alias("at"), F.concat(acc.out, gap, F.lit(mark)).alias("out"))
-        return F.when(x.start >= acc.at, fresh).otherwise(F.struct(F.greatest(acc.at, x.end).alias("at"), acc.out.alias("out")))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate("secrets", start, step, lambda acc: F.concat(acc.out, F.substr(t, acc.at + 1)))
-    new = F.when(F.size("secrets") == 0, t).otherwise(done)
+    new = _replaced(F.col(f"`{text}`"), F.col("secrets"), mark)
     return found.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import collections
 import hashlib
 import re
@@ -9,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from heliogrid.llm import language_id, ngram_join, packing, piece_lattice, quality_classifier, quality_rules, queries, secret_scan, suffix_dedup, token_files
@@ -198,6 +200,27 @@ def test_secret_edges_and_models(spark, edges, empty):
     assert secret_scan.digest(secret_scan.scan(empty, secret_scan.train(empty))).count() == 0
 
 
+def test_clean_names_are_no_secrets_at_any_size(spark):
+    clean = ["phone-0030-210-1234567", "figure3-table4-section5-page6", "iso-8859-1-utf-8-windows-1252", "/usr/local/lib/python3/dist-packages", "home/user1/projects/app2/main2", "2024-01-29/report-2024-01-30-final", "chapter12/section3/figure4", "model_v2_layer12_weights_epoch300"]
+    digests = [hashlib.sha256(b"sample %d" % i).digest() for i in range(50)]
+    keys = [base64.b64encode(d).decode().strip("=")[:30] for d in digests]
+    rows = spark.createDataFrame([(i, f"see {x} here") for i, x in enumerate(clean + keys)], "doc_id long, text string")
+    shift = []
+    for sf in ("sf0.01", "sf0.1"):
+        model = secret_scan.train(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"))
+        marked = {r.doc_id for r in secret_scan.scan(rows, model).where("size(secrets) > 0").collect()}
+        assert not marked & set(range(len(clean))) and len(marked) >= 0.95 * len(keys)
+        shift.append([x for x, in rows.select(secret_scan.score(F.substring_index(F.substring_index("text", " ", 2), " ", -1), model)).limit(len(clean)).collect()])
+    assert max(abs(x - y) for x, y in zip(*shift)) < 0.35
+
+
+def test_ordinary_samples_keep_clear_of_base_spans(spark):
+    text = "ordinary/name1 deadbeefdeadbeefdeadbeef01 password=hunter2hunter2 xx_deadbeefdeadbeefdeadbeef01_yyyyyyyyyy"
+    t = spark.createDataFrame([(text,)], "t string")
+    plain = secret_scan._replaced(F.col("t"), secret_scan._rows(F.col("t")), secret_scan.CUT)
+    assert t.select(F.regexp_extract_all(plain, F.lit(secret_scan.WORD), F.lit(0))).first()[0] == ["ordinary/name1"]
+
+
 def test_rules_match_brute_force(spark, docs, edges, empty):
     cols = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     got = queries.op9_quality_rules(spark, SF).toPandas().set_index("doc_id")
