@@ -2,7 +2,7 @@
 
 A text is cut at white space that provably ends a token, and every distinct unit is
 encoded by the library once; a text in which such a cut could change the result goes
-through the library whole. The ids are those of ``encode(text, add_special_tokens=False)``.
+through the library whole, as does one that holds one of its added tokens. The ids are those of ``encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
@@ -34,7 +34,9 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        # the library looks for these before anything else, and some take white space along
+        added = sorted({t.content for t in self.library.get_added_tokens_decoder().values()}, key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.blank_joins = blank_joins
         self.end = np.array([end_id], "<u4").tobytes()
         self.mark = "\n" if blank_joins else " ~ "
@@ -69,7 +71,7 @@ class UnitEncoder:
 
     def _units(self, text: str) -> list[str] | None:
         """Words of ``text`` in order; None: it has to be encoded whole."""
-        if _ODD_SET.search(text):
+        if _ODD_SET.search(text) or self.added is not None and self.added.search(text):
             return None
         if not self.blank_joins:
             return text.split()

@@ -310,6 +310,24 @@ def test_units_give_the_library_ids():
         assert u.encode_all(texts) == want
 
 
+def test_special_tokens_inside_texts_as_the_library_has_them(spark):
+    from heliogrid.llm.tokens import UnitEncoder
+
+    rng = np.random.default_rng(4)
+    bits = ["a", "b c", " ", "\n", "<|endoftext|>", "<|startoftext|>", "<|endoftext", "|>", "ß", "~"]
+    texts = ["a<|endoftext|>b", *("".join(rng.choice(bits, rng.integers(1, 9))) for _ in range(500))]
+    for name, joins in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        plain = Tokenizer.from_file(queries.vocabulary(name))
+        want = [np.array(plain.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes() for t in texts]
+        assert UnitEncoder(queries.vocabulary(name), 2, joins).encode_all(texts) == want
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:50])], "doc_id long, text string")
+        if joins:
+            got = packing.best_fit(docs, queries.vocabulary(name)).toPandas().sort_values("doc_id")
+        else:
+            got = token_files.round_trip(docs, queries.vocabulary(name)).toPandas().sort_values("doc_id")
+        assert list(got.ids_crc32) == [zlib.crc32(w) for w in want[:50]]
+
+
 def test_language_held_out(spark, edges, empty):
     got = queries.op7_language_id(spark, "/root/testdata/sf0.01").toPandas()
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").toPandas()
