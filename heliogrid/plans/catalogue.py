@@ -281,6 +281,35 @@ def energy_totals_working(spark, sf_dir):
     return energy.totals(rows, ["energy_wh"]).withColumn("energy_wh", F.round("energy_wh", 3))
 
 
+PHASE_COLUMNS = ["a_energy_wh", "b_energy_wh", "c_energy_wh", "total_energy_wh"]
+_PHASE_SUMS = ", ".join(f"round(coalesce(sum({c}), 0), 3) as {c}" for c in PHASE_COLUMNS)
+
+
+def _three(df: DataFrame) -> DataFrame:
+    """Energies to 3 digits."""
+    return df.withColumns({c: F.round(c, 3) for c in df.columns if c.endswith("_wh")})
+
+
+@query(f"""select device_id, 'plug' as device_type, round(coalesce(sum(energy_wh), 0), 3) as energy_wh, {", ".join(f"null::double as {c}" for c in PHASE_COLUMNS)} from {_PLUG} where {_INSIDE} group by 1
+union all select device_id, 'three_phase', null, {_PHASE_SUMS} from {_THREE} where {_INSIDE} group by 1""")
+def energy_totals_working_both(spark, sf_dir):
+    """Sums a device of both meter kinds, each in its own columns."""
+    plug, three = (energy.select_windows(x, _START, _END, working_only=True) for x in _windows(spark, sf_dir))
+    plug = energy.totals(plug, ["energy_wh"]).withColumn("device_type", F.lit("plug"))
+    three = energy.totals(three, PHASE_COLUMNS).withColumn("device_type", F.lit("three_phase"))
+    return _three(plug.unionByName(three, allowMissingColumns=True))
+
+
+_RANGE = "window_start >= timestamp '2024-01-03' and window_end <= timestamp '2024-01-27 23:59:59.999999'"
+
+
+@query(f"""select * from (select round(coalesce(sum(energy_wh), 0), 3) as energy_wh from {_PLUG} where {_RANGE}), (select {_PHASE_SUMS} from {_THREE} where {_RANGE})""")
+def energy_total_both(spark, sf_dir):
+    """One row of sums over all windows of all devices in the range."""
+    rows = energy.listing(*_windows(spark, sf_dir), _START, _END)
+    return _three(energy.totals(rows, ["energy_wh", *PHASE_COLUMNS], per_device=False))
+
+
 @query("select 0.0::double as energy_wh")
 def energy_total_single(spark, sf_dir):
     """No window in the range: one row of zeros."""
