@@ -5,8 +5,10 @@ no user function, no shuffle and no join, so the operator streams over any numbe
 of rows at scan speed and filters on other columns still reach the Parquet reader.
 
 Defined results: a null text counts as an empty one (zero words, base_failed);
-repeated rows give repeated results; extra columns pass through ``annotate`` under
-their own names unless they clash with an output name, in which case the output wins.
+repeated rows give repeated results; an empty table gives no rows; a very long text is
+one row like any other, in memory of a few times its size; extra columns (dotted names too)
+pass through ``annotate`` under their own names unless they clash with an output name, in
+which case the output wins. A value that equals a threshold passes.
 """
 
 from __future__ import annotations
@@ -32,25 +34,30 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """Reject when ``value`` is outside [low, high]; applied to texts of ``min_words`` words or more."""
+    """Reject when ``scale * top / over`` is outside [low, high], in texts with ``at_least`` of the statistic ``least``."""
 
     name: str
-    value: str
+    top: str
+    over: str | None = None
+    scale: float = 1.0
     low: float | None = None
     high: float | None = None
-    min_words: int = 0
+    least: str = "n_words"
+    at_least: int = 0
 
 
-#: The threshold table. ``value`` is a SQL expression over the statistics of ``statistics``.
+#: The threshold table over the counts of ``statistics``.
 RULES = (
     Rule("words", "n_words", low=10),
-    Rule("repeated_windows", "100D * n_repeat_words / n_words", high=20, min_words=1),
-    Rule("word_length", "1D * word_chars / n_words", low=2, high=14, min_words=10),
-    Rule("symbols", "1D * n_symbols / n_words", high=0.15, min_words=10),
-    Rule("duplicate_lines", "1D * n_dup_lines / n_lines", high=0.3, min_words=10),
-    Rule("stop_words", "1D * n_stop_words / n_words", low=0.04, min_words=40),
+    Rule("repeated_windows", "n_repeat_words", "n_words", scale=100, high=20, at_least=1),
+    Rule("word_length", "word_chars", "n_words", low=2, high=14, at_least=10),
+    Rule("symbols", "n_symbols", "n_words", high=0.15, at_least=10),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", high=0.3, least="n_lines", at_least=5),
+    Rule("stop_words", "n_stop_words", "n_words", low=0.04, at_least=40),
 )
-BASE_RULES = ("words", "repeated_windows")
+#: The counts of the fixed part, and those beside it.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+MORE = ("n_lines", "n_stop_words")
 
 
 def _repeat_words(words: Column, n: Column) -> Column:
@@ -97,43 +104,53 @@ def statistics(text: Column) -> Column:
             n.cast("long").alias("n_words"),
             F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
             F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-            bound(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d"))).alias("l"),
+            bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             _repeat_words(w, n).cast("long").alias("n_repeat_words"),
+            F.size(lines).cast("long").alias("n_lines"),
             F.size(F.filter(w, lambda x: x.isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
         )
 
     return bound(words, of)
 
 
-def _fails(rule: Rule) -> Column:
-    v = F.expr(rule.value)
+def _broken(s: Column, rule: Rule) -> Column:
+    """Whether the statistics ``s`` break ``rule``."""
+    v = F.lit(float(rule.scale)) * s[rule.top]
+    if rule.over:
+        v = v / s[rule.over]
     out = F.lit(False)
     if rule.low is not None:
-        out = out | (v < rule.low)
+        out = out | (v < float(rule.low))
     if rule.high is not None:
-        out = out | (v > rule.high)
-    return F.when((F.col("n_words") >= rule.min_words), out).otherwise(F.lit(False))
+        out = out | (v > float(rule.high))
+    return F.when(s[rule.least] >= rule.at_least, out).otherwise(F.lit(False))
+
+
+def verdict(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Struct of the statistics, ``failed``, ``base_failed`` and ``kept``: one expression, in which all is computed once.
+
+    The parts are bound as lambda variables. Columns of a lower projection would be pasted into every place
+    that reads them as soon as a filter is pushed through it.
+    """
+
+    def judged(s: Column) -> Column:
+        failed = F.array_compact(F.array(*[F.when(_broken(s, r), F.lit(r.name)) for r in rules]))
+        # whole numbers decide the two fixed rules, so no rounding can move a text over the line
+        base = (s.n_words < 10) | (100 * s.n_repeat_words > 20 * s.n_words)
+        own = [s[c].alias(c) for c in (*COUNTS, *MORE)]
+        return bound(F.struct(failed.alias("f"), base.alias("b")), lambda x: F.struct(*own, x.f.alias("failed"), x.b.alias("base_failed"), (~x.b & (F.size(x.f) == 0)).alias("kept")))
+
+    return bound(statistics(text), judged)
 
 
 def annotate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """``docs`` with the statistics, ``failed`` (names of broken rules), ``base_failed`` and ``kept``."""
-    made = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "failed", "base_failed", "kept", "_q"]
-    own = [c for c in docs.columns if c not in made]
-    out = docs.select(*own, statistics(F.col(text)).alias("_q")).select(
-        *own,
-        *[F.col(f"_q.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols")],
-        F.col("_q.l.n").cast("long").alias("n_lines"),
-        F.col("_q.l.d").cast("long").alias("n_dup_lines"),
-        *[F.col(f"_q.{c}").alias(c) for c in ("n_repeat_words", "n_stop_words")],
-    )
-    failed = F.array_compact(F.array(*[F.when(_fails(r), F.lit(r.name)) for r in rules]))
-    # whole numbers decide the two fixed rules, so no rounding can move a text over the line
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = out.withColumns({"failed": failed, "base_failed": base})
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+    """``docs`` with the counts, ``base_failed``, ``kept``, further counts and ``failed`` (names of broken rules)."""
+    made = [*COUNTS, "base_failed", "kept", *MORE, "failed"]
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in made]
+    judged = docs.select(*own, verdict(F.col(f"`{text}`"), rules).alias("__verdict"))
+    return judged.select(*own, *[F.col(f"__verdict.{c}").alias(c) for c in made])
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass every rule, with their own columns (clashing names too)."""
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("_t"))
-    return annotate(row, rules, "_t").where("kept").select("row.*")
+    return docs.where(verdict(F.col(f"`{text}`"), rules)["kept"])

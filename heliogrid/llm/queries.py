@@ -97,9 +97,9 @@ def _rules_sql() -> str:
     stops = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
 
     def fails(r: quality_rules.Rule) -> str:
-        value = r.value.replace("100D", "100.0::double").replace("1D", "1.0::double")
-        tests = [f"{value} < {r.low}::double"] * (r.low is not None) + [f"{value} > {r.high}::double"] * (r.high is not None)
-        return f"case when n_words >= {r.min_words} and ({' or '.join(tests)}) then '{r.name}' end"
+        value = f"{float(r.scale)}::double * {r.top}" + (f" / {r.over}" if r.over else "")
+        tests = [f"{value} {sign} {float(x)}::double" for sign, x in (("<", r.low), (">", r.high)) if x is not None]
+        return f"case when {r.least} >= {r.at_least} and ({' or '.join(tests)}) then '{r.name}' end"
 
     return f"""with d as (select row_number() over () as k, doc_id, coalesce(text, '') as text from documents),
 w as (select k, doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as w,

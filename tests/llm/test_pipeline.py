@@ -17,8 +17,8 @@ def keeps(text):
     lines = [x for x in text.split("\n") if words(x)]
     stats = {"n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat, "n_lines": len(lines), "n_stop_words": sum(w in STOP_WORDS for w in words(text))}
     for r in RULES:
-        v = eval(r.value.replace("100D", "100.0").replace("1D", "1.0"), {}, stats)
-        if n >= r.min_words and ((r.low is not None and v < r.low) or (r.high is not None and v > r.high)):
+        v = r.scale * stats[r.top] / (stats[r.over] if r.over else 1)
+        if stats[r.least] >= r.at_least and ((r.low is not None and v < r.low) or (r.high is not None and v > r.high)):
             return False
     return True
 

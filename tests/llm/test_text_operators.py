@@ -235,6 +235,22 @@ def test_rules_match_brute_force(spark, docs, edges, empty):
     assert quality_rules.keep(edges).columns == edges.columns
 
 
+def test_rules_columns_and_plan(spark, edges):
+    """Fixed columns first; dotted names pass; a filter on the verdict does not repeat the expression."""
+    got = quality_rules.annotate(edges.select("doc_id", F.lit(1).alias("a.b"), "text").withColumn("n_lines", F.lit("x")))
+    assert got.columns == ["doc_id", "a.b", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_stop_words", "failed"]
+    assert got.count() == len(EDGES) and quality_rules.keep(edges.withColumn("a.b", F.lit(1))).columns[-1] == "a.b"
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for df in (quality_rules.keep(edges), quality_rules.annotate(edges).where("kept").select("doc_id")):
+        assert plan(df).count("split(") == plan(quality_rules.annotate(edges)).count("split(")
+
+
+def test_short_texts_with_one_repeated_line_stay(spark):
+    text = "Good line\n" + " ".join(f"the word{i} of it" for i in range(30)) + "\nGood line"
+    row = quality_rules.annotate(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.kept and row.n_dup_lines == 1 and row.n_lines == 3
+
+
 def test_rules_keep_good_documents(spark):
     got = queries.op9_quality_rules(spark, "/root/testdata/sf0.01").toPandas()
     m = got.merge(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas(), on="doc_id")
