@@ -414,3 +414,48 @@ def test_lattice_n_best(spark, docs, edges, empty):
     back = piece_lattice.decode(piece_lattice.encode(spark.createDataFrame(docs[["doc_id", "text"]].head(40)), path), path).toPandas()
     assert dict(zip(back.doc_id, back.text)) == dict(zip(docs.doc_id.head(40), docs.text.head(40)))
     assert piece_lattice.digest(empty, path).count() == 0
+
+
+def brute_scores(m, text, n):
+    """The n best scores of a whole text: n best of every position, from left to right, without cuts at words."""
+    t = piece_lattice.BLANK + text.replace(" ", piece_lattice.BLANK) if text else ""
+    best = [[0.0]]
+    for j in range(1, len(t) + 1):
+        got = [s + m.pieces[t[i:j]][1] for i in range(max(0, j - m.longest), j) if t[i:j] in m.pieces for s in best[i]]
+        if t[j - 1] not in m.pieces:
+            got += [s + m.unknown for s in best[j - 1]]
+        best.append(sorted(got, reverse=True)[:n])
+    return best[-1]
+
+
+def test_lattice_query_against_whole_texts(spark, docs):
+    m = piece_lattice.Lattice(queries.vocabulary("piece_bpe_32k.model"))
+    got = queries.op5_piece_lattice(spark, SF).toPandas().set_index("doc_id")
+    assert len(got) == len(docs)
+    for i, t in zip(docs.doc_id, docs.text):
+        r = got.loc[i]
+        assert list(r.scores) == pytest.approx(brute_scores(m, t or "", piece_lattice.N_BEST), abs=1e-6)
+        ids, _, _ = m.encode(t or "")
+        assert (r.n_pieces, r.ids_crc32, r.exact) == (len(ids) // 4, zlib.crc32(ids), True)
+        names = {i: s for i, s in m.pieces.values()}
+        assert sum(names.get(x, 0.0) for x in np.frombuffer(ids, "<u4").tolist()) >= r.scores[0] - 1e-6 and m.decode(np.frombuffer(ids, "<u4").tolist()) == (t or "")
+
+
+def test_lattice_of_long_words_and_forgotten_ones(monkeypatch):
+    import tracemalloc
+
+    m = piece_lattice.Lattice(queries.vocabulary("piece_bpe_32k.model"))
+    rng = np.random.default_rng(8)
+    text = "a" * 50_000 + "".join(rng.choice(list("abcdefgh漢1"), 50_000))
+    tracemalloc.start()
+    ids, scores, picks = m.encode(text)
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    assert m.decode(np.frombuffer(ids, "<u4").tolist()) == text and scores == sorted(scores, reverse=True)
+    assert all(m.decode(m.ids(text, p)) == text for p in picks)
+    monkeypatch.setattr(piece_lattice, "MEMO", 90)
+    texts = [" ".join("".join(rng.choice(list("abcdé"), rng.integers(0, 7))) for _ in range(40)) for _ in range(30)]
+    fresh = piece_lattice.Lattice(queries.vocabulary("piece_bpe_32k.model"))
+    for t in texts:
+        ids, scores, _ = m.encode(t)
+        assert (ids, scores) == fresh.encode_all([t]).__next__()[:2] and scores == pytest.approx(brute_scores(m, t, 4))
