@@ -11,19 +11,25 @@ transpose counts overlaps, and a size-derived bound discards pairs early:
   pairs before they travel. Of two sets, one has its last prefix column first; all its later
   columns number ``ceil(t n) - 1``, so a pair whose prefix overlap plus that bound stays
   below ``ceil(3 (na + nb) / 7)`` is dropped. What is left is verified on the whole sets.
-* A column shared by many sets doesn't emit all its pairs. It meets every set with a few hubs, and
-  in some more rounds with members of the column's largest component;
-  the verified links form components, and only sets of one column that are still in different
-  components are compared, in blocks that count each pair over all crowded columns and drop it at
-  the bound before it travels. So no link between different texts is
-  lost, while a group of many near copies costs a few comparisons a copy.
+* A column shared by many sets doesn't emit all its pairs. It meets every set with a few hubs, and in some
+  more rounds with members of the column's largest component; the verified links form components. Sets of
+  a crowded column that are then still in different components are settled exactly (``_settle``): their
+  whole sets are counted once more among themselves. Two of them that share a column of few sets are
+  verified as a pair. Two that share none overlap in crowded columns alone, so all sets with the same crowded
+  columns form a class, in which only sizes differ: the smallest member links with whatever any member links
+  with. Classes are compared in blocks by exact overlap, and a block emits a spanning forest of
+  its links and the best partner of each class, at most a few rows for each row it has read.
+
+So no link between different texts is lost, while a group of very many near copies, or of texts around one
+common passage, costs a few rows a text. The number of column parts follows the number of shingles.
 
 Equal sets share one row of the matrix (keyed by a 63-bit hash of the set), so exact copies cost
-nothing but their membership row. Shingles are 64-bit hashes.
+nothing but their membership row. Shingles are 64-bit hashes, of which the whole-set checks keep 48 bits.
 
 Defined results: a null, empty or blank text has no shingle and is linked with nothing (component:
 its own doc_id); rows that share a doc_id belong to one component; a null doc_id takes part, and
-is the component only where no other id is in it; an empty table gives no rows.
+is the component only where no other id is in it; an empty table gives no rows; a very long text is one set
+like any other, in memory in proportion to its length; columns besides doc_id and text are left out.
 """
 
 from __future__ import annotations
@@ -47,8 +53,10 @@ SLICES = 16
 ALL_PAIRS = 16
 HUBS = 3
 ROUNDS = 3
-#: Sets of a crowded column that meet in one task.
+#: Classes of a bundle of crowded columns that meet in one task, on either side.
 PIECE = 1000
+#: Shingles whose prefixes make up one part of the columns.
+PART = 4_000_000
 
 
 def _need(n: np.ndarray | Column):
@@ -75,20 +83,20 @@ def _count(docs: DataFrame) -> DataFrame:
     """Of every document its set's size and key; and slices of the sketch of column counts, one set a task."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, names = np.zeros(SKETCH, np.int64), ["doc_id", "n", "node", "slice", "counts"]
+        counts, names = np.zeros(SKETCH, np.int64), ["doc_id", "key", "n", "node", "slice", "counts"]
         for batch in it:
             for first, doc, sh, size in _texts(batch):
                 n = np.bincount(doc, minlength=size)
                 counts += np.bincount((sh & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-                ids = batch.column("doc_id").slice(first, size)
+                ids, keys = (batch.column(c).slice(first, size) for c in ("doc_id", "key"))
                 none = pa.nulls(size, pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(_nodes(doc, sh, n)), none, pa.nulls(size, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([ids, keys, pa.array(n), pa.array(_nodes(doc, sh, n)), none, pa.nulls(size, pa.binary())], names)
         if counts.any():
             parts = [zstandard.compress(x.astype("<u4").tobytes()) for x in np.split(counts, SLICES)]
             none = pa.nulls(SLICES, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(SLICES), pa.int64()), pa.array(parts, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(SLICES), pa.int64()), pa.array(parts, pa.binary())], names)
 
-    return staged(map_arrow(docs, run, "doc_id long, n long, node long, slice long, counts binary"), "sets")
+    return staged(map_arrow(docs, run, "doc_id long, key long, n long, node long, slice long, counts binary"), "sets")
 
 
 def _sketch(counted: DataFrame) -> np.ndarray:
@@ -209,13 +217,9 @@ def _may_link(na: Column, nb: Column, shared: Column) -> Column:
     return 7 * reach >= 3 * (na + nb)
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b, na, nb) that reach 0.75 on their whole sets."""
-    pairs = staged(pairs.select("a", "b", "na", "nb"), "pairs")
-    if pairs.isEmpty():
-        return pairs.select("a", "b")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    first = sets.join(wanted, "node").groupBy("node").agg(F.min_by("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("doc_id"))
+def _held(wanted: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, set) of the wanted nodes: the whole set as 48-bit numbers, from one row that has it."""
+    first = sets.join(wanted, "node").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("f")).select("node", F.col("f.doc_id").alias("d"), F.col("f.key").alias("k"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -227,20 +231,31 @@ def _verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
                 ok = pa.array(node == batch.column("node").slice(first_row, size).to_numpy())
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(six, pa.binary())], ["node", "set"]).filter(ok)
 
-    texts = docs.join(first.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "text")
-    held = staged(map_arrow(texts, run, "node long, set binary"), "held").dropDuplicates(["node"])
+    # a row is found by doc_id and text, so that very many rows of one doc_id, or of none, don't meet each other
+    texts = docs.join(first, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("node", "text")
+    return staged(map_arrow(texts, run, "node long, set binary"), "held").dropDuplicates(["node"])
+
+
+def _six(x: bytes) -> np.ndarray:
+    """48-bit numbers of a set of ``_held``."""
+    out = np.zeros((len(x) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b, na, nb) that reach 0.75 on their whole sets."""
+    pairs = staged(pairs.select("a", "b", "na", "nb"), "pairs")
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
+    held = _held(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), docs, sets)
     both = pairs.join(held.toDF("a", "sa"), "a").join(held.toDF("b", "sb"), "b")
 
     def check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def load(x: bytes) -> np.ndarray:
-            out = np.zeros((len(x) // 6, 8), np.uint8)
-            out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
-            return out.view("<u8").ravel()
-
         for batch in it:
             ok = []
             for x, y in zip(batch.column("sa"), batch.column("sb")):
-                s, t = load(x.as_py()), load(y.as_py())
+                s, t = _six(x.as_py()), _six(y.as_py())
                 both_n = len(np.intersect1d(s, t, assume_unique=True))
                 ok.append(100 * both_n >= 75 * (len(s) + len(t) - both_n))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -273,69 +288,197 @@ def _stars(crowd: DataFrame, turn: int) -> DataFrame:
     return best.select(low.getField("node").alias("a"), high.getField("node").alias("b"), low.getField("n").alias("na"), high.getField("n").alias("nb")).distinct()
 
 
-def _meetings(crowd: DataFrame) -> DataFrame:
-    """Pairs (a, b, na, nb) in different components with ``c``, the crowded columns they share, where c lets them link.
+def _shared_columns(held: DataFrame, parts: int) -> DataFrame:
+    """The whole sets once more by column: pairs that share a column of few sets, with their number; and of every set its crowded columns.
 
-    Every row of a column carries all crowded columns of its set, so that a block counts a pair whole, in the first
-    column that the pair shares, and drops it there. A column of more than ``PIECE`` sets meets piece by piece.
+    Rows (a, b, na, nb, shared) of pairs; rows (a, na, shared, x0, x1, columns) of sets, one a part: number, hashes and list.
     """
-    sets = crowd.groupBy("node", "n", "component").agg(F.sort_array(F.collect_list(F.struct("column", "weight"))).alias("v"))
-    rows = sets.select("node", "n", "component", F.explode("v.column").alias("column"), F.col("v.column").alias("columns"), F.col("v.weight").alias("weights"))
-    pieces = staged(crowd.groupBy("column").agg(F.ceil(F.count("*") / PIECE).alias("pieces")), "pieces")
-    p, last = F.col("piece"), F.col("pieces") - 1
-    one = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
-    before = F.when(p > 0, F.sequence(F.lit(0).cast("long"), p - 1)).otherwise(F.array().cast("array<bigint>"))
-    meets = F.concat(F.transform(F.sequence(p, last), lambda j: one(p, j, 0)), F.transform(before, lambda i: one(i, p, 1)))
-    rows = rows.join(pieces, "column").withColumn("piece", F.pmod(F.xxhash64("node", F.lit(11)), F.col("pieces")))
-    rows = rows.select("column", F.explode(meets).alias("m"), "node", "n", "component", "columns", "weights")
 
-    def flat(t: pa.Table, c: str) -> np.ndarray:
-        return t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            nodes, sets = batch.column("node").to_numpy(), [_six(x.as_py()) for x in batch.column("set")]
+            some = np.cumsum(list(map(len, sets))) // 1_000_000  # about a million numbers at a time
+            for first in np.flatnonzero(np.diff(some, prepend=-1)).tolist():
+                last = int(np.searchsorted(some, some[first], side="right"))
+                node, got = nodes[first:last], sets[first:last]
+                n = np.array(list(map(len, got)), np.int64)
+                row, col = np.repeat(np.arange(len(node)), n), np.concatenate(got)
+                part = (mix(col) % U(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                row, col, part = row[order], col[order], part[order]
+                edges = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+                cols: list[list] = [[], [], [], [], []]
+                for s, e in zip(edges, [*edges[1:], len(part)]):
+                    rows, counts = np.unique(row[s:e], return_counts=True)
+                    for c, x in zip(cols, (int(part[s]), node[rows].tobytes(), n[rows].astype("<u4").tobytes(), counts.astype("<u4").tobytes(), col[s:e].astype("<u8").tobytes())):
+                        c.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["part", "nodes", "ns", "counts", "columns"])
+
+    names = ["a", "b", "na", "nb", "shared", "x0", "x1", "columns"]
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        own, i, j = (k.as_py() for k in key)
-        side = t.column("side").to_numpy()
-        node, n, comp = (t.column(c).to_numpy() for c in ("node", "n", "component"))
-        at = np.repeat(np.arange(len(node)), t.column("columns").combine_chunks().value_lengths().to_numpy())
-        cols, weights = flat(t, "columns"), flat(t, "weights")
-        rest = n - _need(n) + 1 - np.bincount(at, weights, minlength=len(node)).astype(np.int64)
-        order = np.argsort(cols, kind="stable")
-        cols, weights, at = cols[order], weights[order], at[order]
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if i == j else 1))
-        place = np.zeros(len(node), np.int64)
-        place[left] = np.arange(len(left))
-        place[right] = np.arange(len(right))
-        c, met = np.zeros((len(left), len(right)), np.int64), np.zeros((len(left), len(right)), bool)
-        edges = [*np.flatnonzero(np.diff(cols, prepend=cols[0] - 1)).tolist(), len(cols)] if len(cols) else [0]
-        for s, e in zip(edges, edges[1:]):
-            here = at[s:e]
-            x, y = (here, here) if i == j else (here[side[here] == 0], here[side[here] == 1])
-            if e - s > 1 and len(x) and len(y):
-                cell = np.ix_(place[x], place[y])
-                c[cell] += weights[s]
-                if cols[s] < own:  # met in that column already
-                    met[cell] = True
-        na, nb = n[left][:, None], n[right][None]
-        reach = c + np.minimum(rest[left][:, None], rest[right][None]) + np.maximum(_need(na), _need(nb)) - 1
-        ok = ~met & (comp[left][:, None] != comp[right][None]) & (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)) & (7 * reach >= 3 * (na + nb))
-        if i == j:
-            ok &= node[left][:, None] < node[right][None]
-        x, y = np.nonzero(ok)
-        a, b = left[x], right[y]
-        a, b = np.where(node[a] < node[b], a, b), np.where(node[a] < node[b], b, a)
-        return pa.table({"a": node[a], "b": node[b], "na": n[a], "nb": n[b], "c": c[x, y]})
-
-    dealt = rows.select("column", "m.i", "m.j", "m.side", "node", "n", "component", "columns", "weights")
-    return group_arrow(dealt, ["column", "i", "j"], run, "a long, b long, na long, nb long, c long")
+        get = lambda c, k: np.concatenate([np.frombuffer(x.as_py(), k) for x in t.column(c)])
+        counts = get("counts", "<u4")
+        node, n, col = np.repeat(get("nodes", "<i8"), counts), np.repeat(get("ns", "<u4").astype(np.int64), counts), get("columns", "<u8")
+        order = np.lexsort((node, col))
+        node, n, col = node[order], n[order], col[order]
+        starts = np.flatnonzero(np.concatenate([[True], col[1:] != col[:-1]]))
+        sizes = np.diff(np.concatenate([starts, [len(col)]]))
+        small = _pairs_within(node, n, starts, sizes)
+        none = lambda m, kind=pa.int64(): pa.nulls(m, kind)
+        m = len(small[0])
+        out = [pa.table([*[pa.array(x) for x in small], none(m), none(m), none(m, pa.binary())], names)]
+        many = np.repeat(sizes, sizes)
+        at = np.flatnonzero(many > ALL_PAIRS)
+        if len(at):
+            at = at[np.argsort(node[at], kind="stable")]
+            first = np.flatnonzero(np.concatenate([[True], node[at][1:] != node[at][:-1]]))
+            k = np.diff(np.concatenate([first, [len(at)]]))
+            x = [np.bitwise_xor.reduceat(mix(col[at] ^ U(salt)), first).view(np.int64) for salt in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)]
+            packed = np.stack([many[at].astype("<u8"), col[at]], 1).tobytes()
+            lists = [packed[16 * s : 16 * (s + m)] for s, m in zip(first.tolist(), k.tolist())]
+            m = len(first)
+            out.append(pa.table([pa.array(node[at][first]), none(m), pa.array(n[at][first]), none(m), pa.array(k), *map(pa.array, x), pa.array(lists, pa.binary())], names))
+        return pa.concat_tables(out)
 
+    dealt = map_arrow(held, deal, "part long, nodes binary, ns binary, counts binary, columns binary")
+    return staged(group_arrow(dealt, ["part"], run, "a long, b long, na long, nb long, shared long, x0 long, x1 long, columns binary"), "shared")
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+
+def _class_columns(classes: DataFrame) -> DataFrame:
+    """Classes with ``columns`` as one list, and in ``prefix`` those by which they may meet: the first k - ceil(3 n / 4) + 1, rare ones first."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            lists, prefixes = [], []
+            for n, parts in zip(batch.column("n").to_pylist(), batch.column("parts").to_pylist()):
+                c = np.frombuffer(b"".join(parts), "<u8").reshape(-1, 2)
+                c = c[np.lexsort((c[:, 1], c[:, 0])), 1]
+                lists.append(c.tobytes())
+                prefixes.append(c[: max(0, len(c) - (3 * n + 3) // 4 + 1)].astype(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("cls", "n", "k", "component", "mixed", "x0", "x1")], pa.array(lists, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["cls", "n", "k", "component", "mixed", "x0", "x1", "columns", "prefix"])
+
+    return staged(map_arrow(classes, run, "cls long, n long, k long, component long, mixed boolean, x0 long, x1 long, columns binary, prefix array<long>"), "classes")
+
+
+def _class_links(classes: DataFrame) -> DataFrame:
+    """Rows (a, b, room) of linked classes in different components: a forest (room null), and partners b of a.
+
+    Every member of a whose size is at most ``room`` / 3 links with the smallest member of b.
+    """
+    light = classes.select("cls", "component", F.explode("prefix").alias("column"))
+    # columns whose classes are nearly the same mostly have the same class of least hash: they are bundled by it, so
+    # that a class takes part in few bundles, whatever the number of its columns
+    columns = light.groupBy("column").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("cls", F.xxhash64("cls")).alias("bundle"))
+    columns = staged(columns.where("lo <> hi").select("column", "bundle"), "bundles")
+    rows = staged(light.join(columns, "column").select("bundle", "cls", "component").distinct(), "bundled")
+    sizes = rows.groupBy("bundle", "component").agg(F.count("*").alias("m"))
+    sizes = sizes.groupBy("bundle").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.sum("m").alias("all"), F.max("m").alias("most"))
+    sizes = staged(sizes.select("bundle", "main", F.ceil(F.col("all") / PIECE).alias("js"), F.ceil((F.col("all") - F.col("most")) / PIECE).alias("is")), "pieces")
+    # those outside the largest component on one side, all on the other
+    i, j = F.pmod(F.xxhash64("cls", F.lit(11)), F.col("is")), F.pmod(F.xxhash64("cls", F.lit(12)), F.col("js"))
+    one = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    left = F.when(F.col("component") != F.col("main"), F.transform(upto(F.col("js")), lambda x: one(i, x, 0))).otherwise(F.array().cast("array<struct<i:bigint,j:bigint,side:int>>"))
+    right = F.transform(upto(F.col("is")), lambda x: one(x, j, 1))
+    dealt = rows.join(sizes, "bundle").where("is > 0").select("bundle", "cls", F.explode(F.concat(left, right)).alias("at"))
+    dealt = dealt.join(classes.select("cls", "n", "component", "columns"), "cls").select("bundle", "at.*", "cls", "n", "component", "columns")
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        side = t.column("side").to_numpy()
+        cls, n, comp = (t.column(c).to_numpy() for c in ("cls", "n", "component"))
+        lists = [np.frombuffer(x.as_py(), "<u8") for x in t.column("columns")]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        flat = lambda at: (np.repeat(np.arange(len(at)), [len(lists[k]) for k in at]), np.concatenate([lists[k] for k in at] or [np.zeros(0, "<u8")]))
+        (x, p), (y, q) = flat(left), flat(right)
+        both = np.intersect1d(p, q)
+        over = np.zeros((len(left), len(right)), np.float32)
+        for s in range(0, len(both), 2048):  # the product of the two incidence matrices, some columns at a time
+            some = both[s : s + 2048]
+            dense = []
+            for rows, cols, m in ((x, p, len(left)), (y, q, len(right))):
+                at = np.minimum(np.searchsorted(some, cols), len(some) - 1)
+                hit = some[at] == cols
+                a = np.zeros((m, len(some)), np.float32)
+                a[rows[hit], at[hit]] = 1
+                dense.append(a)
+            over += dense[0] @ dense[1].T
+        # counts are whole and below 2**24 wherever a set has fewer shingles than that
+        room = 7 * over.astype(np.int64)
+        ok = (room >= 3 * (n[left][:, None] + n[right][None])) & (comp[left][:, None] != comp[right][None])
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray | None]] = []
+        none = np.iinfo(np.int64).min
+        for r, a, b in ((np.where(ok, room - 3 * n[right][None], none), left, right), (np.where(ok, room - 3 * n[left][:, None], none).T, right, left)):
+            if r.size:
+                best = r.argmax(1)
+                top = r[np.arange(len(a)), best]
+                out.append((cls[a][top > none], cls[b[best]][top > none], top[top > none]))
+        a, b = _forest(ok)
+        out.append((cls[left[a]], cls[right[b]], None))
+        return pa.concat_tables([pa.table({"a": pa.array(a), "b": pa.array(b), "room": pa.nulls(len(a), pa.int64()) if r is None else pa.array(r)}) for a, b, r in out])
+
+    return staged(group_arrow(dealt, ["bundle", "i", "j"], run, "a long, b long, room long"), "classlinks")
+
+
+def _forest(ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the entries of a Boolean matrix that make up a spanning forest of its bipartite graph."""
+    rows, cols, a, b = np.zeros(ok.shape[0], bool), np.zeros(ok.shape[1], bool), [], []
+    for s in np.flatnonzero(ok.any(1)).tolist():
+        todo = [] if rows[s] else [(True, s)]
+        rows[s] = True
+        while todo:
+            is_row, k = todo.pop()
+            near = np.flatnonzero(ok[k] & ~cols if is_row else ok[:, k] & ~rows).tolist()
+            (cols if is_row else rows)[near] = True
+            todo += [(not is_row, x) for x in near]
+            a += [k] * len(near) if is_row else near
+            b += near if is_row else [k] * len(near)
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _settle(crowd: DataFrame, comp: DataFrame, docs: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """Links (a, b) that connect all sets of crowded columns as far as they are linked.
+
+    With "few" and "many" counted over the whole sets of all of them: two that share a column of few sets
+    are a pair here. Two that share none overlap in columns of many sets only, K1 and K2, and link where
+    3 (na + nb) <= 7 |K1 and K2|. That depends on their classes and sizes, so where any two members of two
+    classes link, both link with the smallest member of the other class, and these with each other.
+    """
+    shared = _shared_columns(staged(_held(crowd.select("node").distinct(), docs, sets), "affected"), parts)
+    crowded = shared.where("b is null").groupBy(F.col("a").alias("node")).agg(F.first("na").alias("n"), F.sum("shared").alias("k"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1"), F.collect_list("columns").alias("parts"))
+    crowded = crowded.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    crowded = staged(crowded, "members")
+
+    pairs = shared.where("b is not null").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("shared").alias("shared"))
+    for c in ("a", "b"):
+        pairs = pairs.join(crowded.select(F.col("node").alias(c), F.col("k").alias(f"k{c}")), c, "left").join(comp.toDF(c, f"c{c}"), c, "left")
+        pairs = pairs.withColumns({f"k{c}": F.coalesce(f"k{c}", F.lit(0)), f"c{c}": F.coalesce(f"c{c}", c)})
+    found = _verify(pairs.where("ca <> cb and 7 * (shared + least(ka, kb)) >= 3 * (na + nb)"), docs, sets)
+
+    members = crowded.select("node", "n", "x0", "x1")
+    least = F.min(F.struct("n", "node")).alias("m")
+    classes = crowded.groupBy("x0", "x1").agg(least, F.first("k").alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    classes = classes.select("x0", "x1", "k", F.col("m.node").alias("cls"), F.col("m.n").alias("n"), F.expr("lo <> hi").alias("mixed"), F.expr("if(lo <> hi, -1 - m.node, lo)").alias("component"))
+    classes = classes.join(crowded.select(F.col("node").alias("cls"), "parts"), "cls")
+    classes = _class_columns(classes)
+    met = _class_links(classes)
+    partner = met.where("room is not null").groupBy(F.col("a").alias("cls")).agg(F.max_by("b", F.struct("room", "b")).alias("b"), F.max("room").alias("room"))
+    partner = staged(classes.select("cls", "x0", "x1").join(partner, "cls").select("x0", "x1", "b", "room"), "partners")
+    own = staged(classes.where("mixed").select("x0", "x1", F.col("cls").alias("b"), (7 * F.col("k") - 3 * F.col("n")).alias("room")), "own")
+    attached = [members.join(x, ["x0", "x1"]).where("3 * n <= room and node <> b").select(F.col("node").alias("a"), "b") for x in (partner, own)]
+    return staged(found.union(met.where("room is null").select("a", "b")).union(attached[0]).union(attached[1]), "settled")
+
+
+def link(docs: DataFrame, one_by_id: bool = True) -> DataFrame:
+    """doc_id, key (hash of the text), n_shingles, component (a number) and component_id of every row of ``docs`` (doc_id, text).
+
+    With ``one_by_id`` rows that share a doc_id are one document, else documents of their own.
+    """
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("key"))
     counted = _count(docs)
-    sets = counted.where("slice is null").select("doc_id", "n", "node")
-    product = _product(_prefixes(docs, _sketch(counted), n_parts(spark)))
+    sets = counted.where("slice is null").select("doc_id", "key", "n", "node")
+    parts = max(n_parts(docs.sparkSession), -(-(sets.agg(F.sum("n")).first()[0] or 0) // PART))
+    product = _product(_prefixes(docs, _sketch(counted), parts))
 
     sums = product.where("column is null").groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("na", "nb")], *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("shared", "hub")])
     sums = staged(sums, "overlaps")
@@ -359,22 +502,38 @@ def join(docs: DataFrame) -> DataFrame:
         links = links.union(more)
         comp = staged(components(links), "comp")
         crowd = _crowded(product, comp)
-    # what is still in different components meets in blocks of each column
-    met = _meetings(crowd).join(sums.where("shared > 0").select("a", "b", "shared"), ["a", "b"], "left")
-    met = met.where(_may_link(F.col("na"), F.col("nb"), F.col("c") + F.coalesce("shared", F.lit(0))))
-    if not crowd.isEmpty() and not (more := _verify(met, docs, sets)).isEmpty():
-        links = links.union(more)
+    if not crowd.isEmpty():
+        links = links.union(_settle(crowd, comp, docs, sets, parts))
         comp = staged(components(links), "comp")
 
+    if one_by_id:
+        ends = sets.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
+        same = staged(sets.where("n > 0").join(ends, "doc_id").select("a", F.col("node").alias("b")).distinct(), "same")
+        if not same.isEmpty():
+            comp = staged(components(links.union(same)), "comp")
     first = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     named = first.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    # rows that share a doc_id are one document: their components become one
-    shared = sets.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("all")).where("a <> b")
-    if not shared.isEmpty():
-        more = shared.select("a", F.explode("all").alias("b"))
-        comp = staged(components(links.union(more)), "comp")
-        named = first.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_node = named.join(least, "component").select("node", "component_id")
+    of_node = named.join(least, "component").select("node", "component", "component_id")
     out = sets.join(of_node, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), "component", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
+    return link(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """Of each component of ``docs`` (doc_id, text, any others) the row of least doc_id, nulls last, then of least hash of its text.
+
+    Of rows that share doc_id and text one stays; rows that share a doc_id only are documents of their own. Rows
+    without a word are linked with nothing and stay.
+    """
+    rows = link(docs.select("doc_id", "text"), one_by_id=False).where("n_shingles > 0")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("w")).select(F.col("w.doc_id").alias("__d"), F.col("w.key").alias("__k"))
+    keyed = docs.withColumns({"__key": F.xxhash64("text"), "__id": F.col("doc_id").cast("long")})
+    blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    stay = keyed.join(staged(first, "first"), F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left_semi").where(~blank).dropDuplicates(["__id", "__key"])
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return stay.select(*own).union(docs.where(blank).select(*own))

@@ -149,6 +149,41 @@ def test_join_of_texts_made_of_shared_passages(spark, monkeypatch):
     assert comp == got.component_id.to_dict()
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_join_settles_crowded_columns_in_classes(spark, monkeypatch, seed):
+    """Few sets make a column crowded and no rounds go before: classes, partners and pairs have to find all."""
+    for name, value in (("PIECE", 5), ("ALL_PAIRS", 3), ("ROUNDS", 0), ("HUBS", 1), ("PART", 3000)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = np.random.default_rng(seed)
+    passages = [[f"p{k}_{i}" for i in range(rng.integers(10, 50))] for k in range(8)]
+    rows = []
+    for i in range(150):
+        w = [x for k in rng.choice(8, rng.integers(1, 4), replace=False) for x in passages[k]]
+        w += [f"own{i}_{k}" for k in range(rng.integers(0, 25))]
+        if i % 6 == 0:
+            w[int(rng.integers(len(w)))] = f"x{i % 12}"
+        rows.append((i, " ".join(w)))
+    seen = []
+    settle = ngram_join._settle
+    monkeypatch.setattr(ngram_join, "_settle", lambda *x: seen.append(settle(*x)) or seen[-1])
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")
+    comp, sets = brute_components(rows)
+    assert comp == got.component_id.to_dict() and len(set(comp.values())) > 5
+    assert seen and 0 < seen[0].count() <= 12 * len(rows)
+
+
+def test_rows_of_one_doc_id_or_none(spark):
+    near = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, near, 1), (None, near + " x", 2), (None, near, 3), (7, near + " y", 4), (7, "another text of six plain words", 5), (None, "", 6), (None, None, 7), (9, "another text of six plain words", 8)]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, `n.o` int, component long".replace("component long", "component string"))
+    got = ngram_join.join(docs).toPandas()
+    assert list(got.columns) == ["doc_id", "n_shingles", "component_id"] and len(got) == len(rows)
+    assert set(got.component_id[got.n_shingles > 0]) == {7.0}  # both texts of 7 make one component
+    kept = ngram_join.representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["n.o"] for r in kept.collect()) == [4, 5, 6, 7]
+
+
 def test_join_edges(spark, edges, empty):
     got = ngram_join.join(edges).toPandas()
     of = {k: set(zip(g.n_shingles, g.component_id)) for k, g in got.groupby("doc_id")}
