@@ -3,6 +3,11 @@
 Quality rules, exact n-gram Jaccard join, removal of repeated passages, redaction of secrets, and
 packing into training sequences. Every stage works on all that the one before it kept; all but the
 last return the columns of ``documents``.
+
+Defined results: a null or empty text has no word, so the quality rules reject it; a null or repeated
+doc_id passes through all stages, as each works on texts; ties of near copies go by doc_id, then by a hash of
+the text; columns besides doc_id and text (n_chars apart, which follows the text) pass unchanged up to the
+last stage; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,14 +33,11 @@ def stage_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def stage_ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id.
+    """One document of each group of near copies stays: the one of least doc_id, rows without an id last.
 
-    Documents without a doc_id can't be told apart by it and stay; of rows that share a doc_id
-    and a component, one stays.
+    Of rows that share doc_id and text one stays; rows that share a doc_id only are documents of their own.
     """
-    found = ngram_join.join(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return ngram_join.representatives(docs)
 
 
 def stage_suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
