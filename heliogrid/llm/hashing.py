@@ -24,25 +24,26 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     def row(base: int) -> np.ndarray:
         out = np.full(n, base, U)
         out[0] = 1
         return np.multiply.accumulate(out)
 
-    return row(_BASE), row(pow(_BASE, -1, 1 << 64))
+    return row(base), row(pow(base, -1, 1 << 64))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
     size = _CHUNK
     while size < n:
         size *= 2
-    p, q = _powers(size)
+    p, q = _powers(size, base)
     return p[:n], q[:n]
 
 
-def window_hashes(b: np.ndarray, w: int) -> np.ndarray:
-    """64-bit hash of b[i : i + w] for every i, modulo 2**64, mixed."""
+def window_hashes(b: np.ndarray, w: int, seed: int = 0) -> np.ndarray:
+    """64-bit hash of b[i : i + w] for every i, modulo 2**64, mixed; another function for each seed."""
+    base = (_BASE + 2 * seed * 0x632BE59BD9B4E019) % (1 << 64)
     n = len(b) - w + 1
     if n <= 0:
         return np.zeros(0, U)
@@ -50,7 +51,7 @@ def window_hashes(b: np.ndarray, w: int) -> np.ndarray:
     for s in range(0, n, _CHUNK - w):
         part = b[s : s + _CHUNK - 1]
         m = min(len(part) - w + 1, _CHUNK - w)
-        p, q = powers(len(part))
+        p, q = powers(len(part), base)
         c = np.zeros(len(part) + 1, U)
         np.cumsum((part.astype(U) + U(1)) * p, out=c[1:])
         out[s : s + m] = mix((c[w : w + m] - c[:m]) * q[:m])

@@ -200,6 +200,26 @@ def test_suffix_dedup_matches_brute_force(spark, docs):
     assert want == {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.iterrows()}
 
 
+def test_suffix_dedup_with_colliding_names(spark, docs, monkeypatch):
+    """Names of eight bits collide; the comparison of bytes sees it, and only true repeats go."""
+    tries = []
+    found = suffix_dedup._found
+    monkeypatch.setattr(suffix_dedup, "_found", lambda *x: tries.append(found(*x)) or tries[-1])
+    some = docs.head(60)
+    got = suffix_dedup.dedup(spark.createDataFrame(some[["doc_id", "text"]]), name_bits=8).toPandas().set_index("doc_id")
+    assert tries[0] is None and tries[-1] is not None
+    assert dict(zip(some.doc_id, brute_removed(some.text))) == {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.iterrows()}
+
+
+def test_chosen_passages_cover_all_bytes():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        at = np.unique(rng.integers(0, 300, rng.integers(1, 60)))
+        some = at[suffix_dedup._cover(at, 20)]
+        bytes_of = lambda x: set(np.concatenate([np.arange(i, i + 20) for i in x]))
+        assert bytes_of(at) == bytes_of(some) and len(some) <= 2 * len(bytes_of(at)) / 20 + 1
+
+
 def test_suffix_dedup_edges(spark, edges, empty):
     got = suffix_dedup.dedup(edges.withColumnRenamed("source", "n_spans")).toPandas()
     want = sorted(brute_removed([r[1] for r in EDGES]))
