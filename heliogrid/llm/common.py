@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder is set.
+    Only where the session names none and runs on one machine (tests) a
+    temporary folder is set; on a cluster no machine's own folder would do.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="heliogrid-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -92,3 +95,19 @@ def components(edges: DataFrame) -> DataFrame:
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return nodes.union(roots)
+
+
+def spanning_forest(ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the entries of a Boolean matrix that make up a spanning forest of its bipartite graph."""
+    rows, cols, a, b = np.zeros(ok.shape[0], bool), np.zeros(ok.shape[1], bool), [], []
+    for s in np.flatnonzero(ok.any(1)).tolist():
+        todo = [] if rows[s] else [(True, s)]
+        rows[s] = True
+        while todo:
+            is_row, k = todo.pop()
+            near = np.flatnonzero(ok[k] & ~cols if is_row else ok[:, k] & ~rows).tolist()
+            (cols if is_row else rows)[near] = True
+            todo += [(not is_row, x) for x in near]
+            a += [k] * len(near) if is_row else near
+            b += near if is_row else [k] * len(near)
+    return np.array(a, np.int64), np.array(b, np.int64)

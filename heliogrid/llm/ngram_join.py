@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliogrid.llm.common import components, group_arrow, map_arrow, n_parts, staged
+from heliogrid.llm.common import components, group_arrow, map_arrow, n_parts, spanning_forest, staged
 from heliogrid.llm.hashing import U, mix, shingle_sets
 from heliogrid.llm.tokens import batches
 
@@ -413,29 +413,13 @@ def _class_links(classes: DataFrame) -> DataFrame:
                 best = r.argmax(1)
                 top = r[np.arange(len(a)), best]
                 out.append((cls[a][top > none], cls[b[best]][top > none], top[top > none]))
-        a, b = _forest(ok)
+        a, b = spanning_forest(ok)
         out.append((cls[left[a]], cls[right[b]], None))
         return pa.concat_tables([pa.table({"a": pa.array(a), "b": pa.array(b), "room": pa.nulls(len(a), pa.int64()) if r is None else pa.array(r)}) for a, b, r in out])
 
     return staged(group_arrow(dealt, ["bundle", "i", "j"], run, "a long, b long, room long"), "classlinks")
 
 
-def _forest(ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the entries of a Boolean matrix that make up a spanning forest of its bipartite graph."""
-    rows, cols, a, b = np.zeros(ok.shape[0], bool), np.zeros(ok.shape[1], bool), [], []
-    for s in np.flatnonzero(ok.any(1)).tolist():
-        todo = [] if rows[s] else [(True, s)]
-        rows[s] = True
-        while todo:
-            is_row, k = todo.pop()
-            near = np.flatnonzero(ok[k] & ~cols if is_row else ok[:, k] & ~rows).tolist()
-            (cols if is_row else rows)[near] = True
-            todo += [(not is_row, x) for x in near]
-            a += [k] * len(near) if is_row else near
-            b += near if is_row else [k] * len(near)
-    return np.array(a, np.int64), np.array(b, np.int64)
-
-
 def _settle(crowd: DataFrame, comp: DataFrame, docs: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     """Links (a, b) that connect all sets of crowded columns as far as they are linked.
 

@@ -52,7 +52,7 @@ def test_recall_and_split_windows(spark, monkeypatch):
     rows = near()
     links, _ = brute(rows)
     total = sum(map(len, links.values()))
-    for pieces in (2000, 7):
+    for pieces, tile in ((2000, 500), (7, 3)):
         monkeypatch.setattr(embedding_dedup, "ROWS", pieces)
         got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, SHAPE)).toPandas().set_index("vec_id")
         assert 0.98 * total <= got.n_links.sum() <= total
@@ -66,3 +66,43 @@ def test_edges(spark):
     assert got.n_links.to_dict() == {1: 2, 2: 2, 3: 0, 4: 0, 5: 0, 6: 0, 7: 0, 8: 0, 9: 2, 10: 0, 11: 0}
     assert got.component_id[9] == 1 and got.component_id[4] == 4 and not got.kept[2] and got.kept[1]
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], SHAPE)).count() == 0
+
+
+def test_recall_on_a_whole_table(spark):
+    """The embeddings of sf0.1 hold no links; each valid one gets a partner just above the threshold."""
+    assert embedding_dedup.recall(0.98) > 0.999
+    rng = np.random.default_rng(11)
+    rows = []
+    for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect():
+        v = r.embedding
+        if r.label is not None and v is not None and None not in v and np.isfinite(v).all() and np.any(v):
+            u = np.array(v, float) / np.linalg.norm(v)
+            w = rng.standard_normal(len(u))
+            w -= (w @ u) * u
+            w /= np.linalg.norm(w)
+            c = rng.uniform(0.9801, 0.983)
+            rows += [(2 * len(rows), u.tolist(), r.label), (2 * len(rows) + 1, (c * u + np.sqrt(1 - c * c) * w).tolist(), r.label)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).toPandas()
+    got = got.set_index("vec_id").n_links
+    total = found = 0
+    for label in {r[2] for r in rows}:
+        ids, x = zip(*[(r[0], r[1]) for r in rows if r[2] == label])
+        x = np.array(x)
+        x /= np.sqrt((x * x).sum(1, keepdims=True))
+        n, mine = (x @ x.T >= 0.98).sum(1) - 1, got[list(ids)].to_numpy()
+        assert (mine <= n).all()
+        total, found = total + n.sum(), found + mine.sum()
+    assert total >= len(rows) and found >= 0.998 * total
+
+
+def test_output_grows_with_rows_not_pairs(spark, monkeypatch):
+    """A group in which all are linked: rows of counts and a forest leave the tasks, and rows of one vec_id count apart."""
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal(64)
+    rows = [(i % 290, (base + 0.02 * rng.standard_normal(64)).astype(np.float32).tolist(), 0) for i in range(300)]
+    sizes = []
+    staged = embedding_dedup.staged
+    monkeypatch.setattr(embedding_dedup, "staged", lambda df, name: sizes.append((name, staged(df, name))) or sizes[-1][1])
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, SHAPE)).toPandas()
+    assert len(got) == 300 and set(got.n_links) == {299} and set(got.component_id) == {0}
+    assert dict(sizes)["links"].count() <= 2 * 3 * 2 * 300
