@@ -5,12 +5,15 @@ takes the large pieces, longest first, and pairs each with the longest large pie
 still fits beside it (at most two in a bin); then the smaller pieces, longest first, go to
 the bin whose gap they fill best, and open a bin only when no gap is wide enough.
 
-Rows are dealt to shards by a hash of the document, about ``SHARD_TOKENS`` each, so that
-every shard sees the same mix of lengths; the cost of sharding is at most a few bins each.
+Rows are dealt to shards by a hash of their number, about ``SHARD_TOKENS`` and at most about ``SHARD_ROWS``
+each, so that every shard sees the same mix of lengths and equal rows don't meet in one; the cost of sharding
+is at most a few bins each.
 Only lengths travel: the texts are encoded where they are read.
 
 Defined results: a null or empty text is its end id alone; repeated rows are packed once
-each; a null doc_id is packed like any other; an empty table gives no rows.
+each; a null doc_id is packed like any other; pieces of equal length go in order of doc_id and start; a
+very long text is one row like any other, in memory of some 10 times its size; columns besides doc_id and text are
+left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from heliogrid.llm.common import group_arrow, map_arrow, staged
 from heliogrid.llm.tokens import batches, encoder
 
 SHARD_TOKENS = 8_000_000
+SHARD_ROWS = 250_000
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
@@ -120,18 +124,18 @@ def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 
 def packed(cut: DataFrame, capacity: int = 1024) -> DataFrame:
     """``pieces`` rows with sequence_id and offset."""
-    cut = staged(cut, "pieces")
-    total = cut.agg(F.sum("length")).first()[0] or 0
-    shards = max(1, -(-total // SHARD_TOKENS))
+    cut = staged(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")  # written at once, so the numbers hold
+    total, n = cut.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+    shards = max(1, -(-total // SHARD_TOKENS), -(-n // SHARD_ROWS))
 
     def one(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         b, o = pack(t.column("length").to_numpy(), capacity)
         t = t.append_column("sequence_id", pa.array(b * shards + key[0].as_py())).append_column("offset", pa.array(o))
-        return t.drop_columns(["shard"])
+        return t.drop_columns(["shard", "row"])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
     return group_arrow(dealt, ["shard"], one, schema)
 
 
