@@ -7,17 +7,18 @@ whose codeword has the least loss-weighted distance to its margins: the logistic
 bit, weighted by how far apart the two sides of that bit are. Where the runner-up is within
 ``MARGIN`` of the best, the row is flagged ambiguous.
 
-Training sums n-gram counts a language over partitions; the model is languages x 2**15 counts, a
-size fixed by the number of languages. Scoring is a narrow map.
-
-Defined results: ``und`` with score 0 for texts that are null or without a letter, and for all rows
-where nothing could be learned; repeated rows give repeated results; an empty table gives no rows.
+Training sums n-gram counts a language over partitions; the model is languages x 2**15 counts, of the
+``LANGUAGES`` languages with most rows at most, so a column of dirty values doesn't make it grow. Scoring is a
+narrow map.
+
+Defined results: ``und`` with score 0 for texts that are null or without a letter (Unicode category L), and
+for all rows where nothing could be learned; of languages at equal distance the first by name; repeated rows
+give repeated results; a very long text is one row like any other, in memory of some 20 times its size; columns
+besides those named are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -28,7 +29,12 @@ from heliogrid.llm.common import group_arrow, map_arrow
 
 BUCKETS = 1 << 15
 MARGIN = 0.05
-LETTER = re.compile(r"[^\W\d_]")
+#: Languages that are learned at most, those with most rows (ties by name).
+LANGUAGES = 256
+
+
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))  # isalpha: category L
 
 
 def _grams(text: str) -> np.ndarray:
@@ -67,7 +73,7 @@ def train(rows: DataFrame) -> dict | None:
         sums: dict[str, np.ndarray] = {}
         for batch in it:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                if lang is not None and text and LETTER.search(text):
+                if has_letter(text):
                     got = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
                     got += np.bincount(_grams(text), minlength=BUCKETS)
         if sums:
@@ -78,7 +84,10 @@ def train(rows: DataFrame) -> dict | None:
         return pa.table({"lang": [key[0].as_py()], "counts": [zstandard.compress(total.tobytes())]})
 
     kind = "lang string, counts binary"
-    got = group_arrow(map_arrow(rows.select("text", "lang"), run, kind), ["lang"], add, kind).collect()
+    rows = rows.select("text", F.col("lang").cast("string").alias("lang")).where("lang is not null")
+    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    rows = rows.where(F.col("lang").isin([r["lang"] for r in known.collect()]))
+    got = group_arrow(map_arrow(rows, run, kind), ["lang"], add, kind).collect()
     if not got:
         return None
     got.sort(key=lambda r: r["lang"])
@@ -116,7 +125,7 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
         for batch in it:
             lang, score, doubt = [], [], []
             for text in batch.column("text").to_pylist():
-                if m is None or not text or not LETTER.search(text):
+                if m is None or not has_letter(text):
                     lang.append("und"), score.append(0.0), doubt.append(True)
                     continue
                 grams = _grams(text)
