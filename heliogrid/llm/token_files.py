@@ -9,8 +9,13 @@ manifest, which lists one attempt a part, is not touched by retries or lost exec
 The base of a part, which turns its offsets into offsets of the whole set, is the prefix sum
 of the parts before it. The files are read back through a memory map.
 
+Texts are encoded where they are read; what is sorted by doc_id is the ids, about half a byte a character. The
+number of parts follows their size. Rows of one doc_id, or of none, may be split over parts.
+
 Defined results: a null or empty text is its end id alone; rows that share a doc_id follow
-each other, ordered by text; a null doc_id sorts first and is kept; an empty table gives no files.
+each other, ordered by a hash of their ids; a null doc_id sorts first and is kept; a very long text is one row like
+any other, in memory of some 10 times its size; an id too large for the files' integers ends the job; columns
+besides doc_id and text are left out; an empty table gives no files.
 """
 
 from __future__ import annotations
@@ -30,6 +35,8 @@ from heliogrid.llm.common import map_arrow, n_parts, new_folder, staged
 from heliogrid.llm.tokens import batches, encoder
 
 NULL_ID = -(2**63)
+#: Bytes of ids in one part.
+PART = 64 << 20
 
 
 def _place(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -39,36 +46,56 @@ def _place(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder)
 
 
-def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, vocabulary: int = 49_408) -> DataFrame:
-    """Write the files; the manifest: part, bin, idx, n_docs, n_ids, first doc and base of every part."""
-    kind = "<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4"
+def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, vocabulary: int | None = None) -> DataFrame:
+    """Write the files; the manifest: part, bin, idx, n_docs, n_ids, first doc and base of every part.
+
+    ``vocabulary``: ids are below it; by default the size of the tokenizer's.
+    """
+    vocabulary = vocabulary or encoder(path, end_id, False).library.get_vocab_size(with_added_tokens=True)
+    kind = np.dtype("<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4")
+
+    def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path, end_id, False)
+        for batch in it:
+            for first, texts in batches(batch.column("text").to_pylist()):
+                got = enc.encode_all(texts)
+                sizes = np.array(list(map(len, got))) // 4
+                ids = np.frombuffer(b"".join(got), "<u4")
+                if int(ids.max()) > np.iinfo(kind).max:
+                    raise ValueError(f"id {ids.max()} doesn't fit into {kind.itemsize} bytes")
+                raw, ends = ids.astype(kind).tobytes(), (np.cumsum(sizes) * kind.itemsize).tolist()
+                parts = [raw[s:e] for s, e in zip([0, *ends], ends)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(got)), pa.array(sizes), pa.array(parts, pa.binary())], ["doc_id", "n", "ids"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
         store, top = _place(folder)
         store.create_dir(top, recursive=True)
-        enc, n, docs_n = encoder(path, end_id, False), 0, 0
+        n, docs_n = 0, 0
         with store.open_output_stream(f"{top}/{name}.bin") as ids, store.open_output_stream(f"{top}/{name}.idx") as idx:
             for batch in it:
+                if not batch.num_rows:
+                    continue
                 keys = batch.column("doc_id").fill_null(NULL_ID).to_numpy()
-                for first, texts in batches(batch.column("text").to_pylist()):
-                    got = enc.encode_all(texts)
-                    ends = n + np.cumsum([len(b) // 4 for b in got])
-                    n = int(ends[-1])
-                    ids.write(np.frombuffer(b"".join(got), "<u4").astype(kind).tobytes())
-                    idx.write(np.stack([keys[first : first + len(got)], ends], 1).astype("<i8").tobytes())
-                    docs_n += len(got)
+                ends = n + np.cumsum(batch.column("n").to_numpy())
+                n = int(ends[-1])
+                for x in batch.column("ids"):
+                    ids.write(x.as_buffer())
+                idx.write(np.stack([keys, ends], 1).astype("<i8").tobytes())
+                docs_n += batch.num_rows
         if docs_n:
-            yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "bin": [f"{name}.bin"], "idx": [f"{name}.idx"], "n_docs": [docs_n], "n_ids": [n], "bytes": [np.dtype(kind).itemsize]})
+            yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "bin": [f"{name}.bin"], "idx": [f"{name}.idx"], "n_docs": [docs_n], "n_ids": [n], "bytes": [kind.itemsize]})
         else:
             for end in (".bin", ".idx"):
                 store.delete_file(f"{top}/{name}{end}")
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    dealt = rows.repartitionByRange(n_parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), encode, "doc_id long, n long, ids binary")
+    rows = staged(rows.withColumn("tie", F.xxhash64("ids")), "encoded")
+    parts = max(n_parts(docs.sparkSession), -(-(rows.agg(F.sum("n")).first()[0] or 0) * kind.itemsize // PART))
+    dealt = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     done = staged(map_arrow(dealt, run, "part long, bin string, idx string, n_docs long, n_ids long, bytes long"), "manifest")
-    # one row a part: the prefix sum over parts is a small window
+    # one row a part, so the prefix sum over parts fits one task: some 10 MB for a million parts of 64 MB
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return done.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
@@ -103,6 +130,6 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
     return map_arrow(dealt, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, path: str, end_id: int = 2, vocabulary: int = 49_408, folder: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, end_id: int = 2, vocabulary: int | None = None, folder: str | None = None) -> DataFrame:
     folder = folder or new_folder(docs.sparkSession, "tokens")
     return read(write(docs, folder, path, end_id, vocabulary), folder)

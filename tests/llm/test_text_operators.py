@@ -5,8 +5,12 @@ from __future__ import annotations
 import base64
 import collections
 import hashlib
+import json
 import re
+import tempfile
+import unicodedata
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -315,7 +319,6 @@ def test_rules_keep_good_documents(spark):
 
 def ids_of(name, end=2):
     t = Tokenizer.from_file(queries.vocabulary(name))
-    t.encode_special_tokens = True
     return lambda x: np.array(t.encode(x or "", add_special_tokens=False).ids + [end], "<u4")
 
 
@@ -369,6 +372,26 @@ def test_token_files(spark, docs, edges, empty):
     assert token_files.round_trip(empty, path).count() == 0
 
 
+def test_ids_too_large_for_the_files_end_the_job(spark):
+    docs = spark.createDataFrame([(1, "hello"), (None, "a"), (None, "b")], "doc_id long, text string")
+    path = queries.vocabulary("word_bpe_49k.json")
+    small = token_files.round_trip(docs, path, end_id=60_000).toPandas()
+    large = token_files.round_trip(docs, path, end_id=70_000).toPandas()  # the end id makes four bytes
+    assert list(small.n_tokens) == list(large.n_tokens) == [2, 2, 2]
+    with pytest.raises(Exception, match="doesn't fit into 2 bytes"):
+        token_files.round_trip(docs, _grown(path), end_id=2, vocabulary=100).count()
+
+
+def _grown(path):
+    """The vocabulary with a token whose id needs more than 16 bits."""
+    spec = json.loads(Path(path).read_text())
+    spec["added_tokens"].append({"id": 70_001, "content": "hello", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True})
+    spec["model"]["vocab"]["hello"] = 70_001
+    at = Path(tempfile.mkdtemp()) / "grown.json"
+    at.write_text(json.dumps(spec))
+    return str(at)
+
+
 def test_units_give_the_library_ids():
     from heliogrid.llm.tokens import UnitEncoder
 
@@ -414,6 +437,86 @@ def test_language_held_out(spark, edges, empty):
     assert len({tuple(r) for r in code}) == 20
 
 
+def brute_language_scores(train, texts):
+    """Counts, output codes and loss-weighted decoding once more, one text and one n-gram at a time."""
+
+    def grams(t):
+        b = f" {t.lower()} ".encode()
+        out = []
+        for k, by in ((2, 2654435761), (3, 2246822519), (4, 3266489917)):
+            out += [(int.from_bytes(b[i : i + k], "little") * by) % 2**32 >> 17 for i in range(len(b) - k + 1)]
+        return out
+
+    count = collections.defaultdict(collections.Counter)
+    for t, lang in train:
+        if lang is not None and any(unicodedata.category(c)[0] == "L" for c in t or ""):
+            count[lang].update(grams(t))
+    langs = sorted(count)
+    size = language_id.BUCKETS
+    model = {g: np.array([(count[g][k] + 0.5) / (count[g].total() + 0.5 * size) for k in range(size)]) for g in langs}
+    code = language_id.codewords(len(langs))
+    out = []
+    bits = []
+    for column in code.T:
+        on, off = (np.mean([model[g] for g, c in zip(langs, column) if c == side], axis=0) for side in (1, -1))
+        weight = np.log(on) - np.log(off)
+        bits.append((weight, ((on - off) * weight).sum()))
+    for t in texts:
+        if not any(unicodedata.category(c)[0] == "L" for c in t or ""):
+            out.append(("und", 0.0))
+            continue
+        g = grams(t)
+        margins = [2 * sum(w[k] for k in g) / len(g) / apart for w, apart in bits]
+        trust = [apart / sum(a for _, a in bits) for _, apart in bits]
+        loss = [sum(q * np.log1p(np.exp(-4 * m * c)) for q, m, c in zip(trust, margins, row)) for row in code]
+        odds = [np.exp(-6 * (x - min(loss))) for x in loss]
+        out.append((langs[int(np.argmin(loss))], max(odds) / sum(odds)))
+    return out
+
+
+def test_language_against_brute_force(spark, docs):
+    rows = [(int(i), t, g) for i, t, g in zip(docs.doc_id.head(80), docs.text.head(80), docs.lang.head(80))]
+    rows += [(900, "½ ² ①", "en"), (901, None, "de"), (902, "a", None), (903, "漢字 ǅ", "fr")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id.predict(table, language_id.train(table)).collect()}
+    for (i, _, _), (lang, score) in zip(rows, brute_language_scores([(t, g) for _, t, g in rows], [t for _, t, _ in rows])):
+        assert got[i].lang_pred == lang and got[i].score == pytest.approx(score, abs=1e-5)
+    assert got[900].lang_pred == got[901].lang_pred == "und" and got[903].lang_pred != "und"
+
+
+def test_languages_learned_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    rows = [("plain words", "en")] * 3 + [("schöne wörter", "de")] * 2 + [("dirty", f"x{i}") for i in range(5)]
+    assert language_id.train(spark.createDataFrame(rows, "text string, lang string"))["langs"] == ["de", "en"]
+
+
+def test_quality_against_a_direct_fit(spark, docs):
+    """The sums over partitions and folds give the same scores as matrices of all rows at once."""
+    table = spark.createDataFrame(docs[["doc_id", "text"]])
+    labels = spark.read.parquet(f"{SF}/labels.parquet").selectExpr("doc_id", "cast(quality as double) as y").where("y is not null")
+    stats = quality_classifier.measure(table)
+    model = quality_classifier.fit(stats.join(labels, "doc_id"))
+    got = quality_classifier.score(stats, model).toPandas().set_index("doc_id").score
+    rows = stats.join(labels, "doc_id").select("doc_id", "stats", "y", F.pmod(F.xxhash64("doc_id"), F.lit(quality_classifier.FOLDS)).alias("fold")).toPandas()
+    x, y, fold = np.stack(rows.stats.to_list()), rows.y.to_numpy(), rows.fold.to_numpy()
+    plain = {i: quality_classifier.statistics(t or "") for i, t in zip(docs.doc_id, docs.text)}
+    assert np.allclose(x, [plain[i] for i in rows.doc_id])
+    f = quality_classifier.Fourier(x.mean(0), np.maximum(x.std(0), 1e-6))
+    z = f(x)
+    eye = np.eye(z.shape[1])
+    eye[-1, -1] = 1e-6
+    solve = lambda at: np.linalg.solve(z[at].T @ z[at] + eye, z[at].T @ y[at])
+    unseen = np.empty(len(y))
+    for k in range(quality_classifier.FOLDS):
+        unseen[fold == k] = z[fold == k] @ solve(fold != k)
+    place = np.clip((unseen + 0.5) / 2 * quality_classifier.BINS, 0, quality_classifier.BINS - 1).astype(int)
+    bins = sorted(set(place.tolist()))
+    centre, level = quality_classifier.isotonic(np.array(bins, float), np.array([(place == b).sum() for b in bins], float), np.array([y[place == b].sum() for b in bins]))
+    at = np.clip((f(np.stack([plain[i] for i in docs.doc_id])) @ solve(np.ones(len(y), bool)) + 0.5) / 2 * quality_classifier.BINS, 0, quality_classifier.BINS)
+    want = np.clip(0.999 * np.interp(at, centre, level) + 0.001 * at / quality_classifier.BINS, 0, 1)
+    assert np.abs(got[docs.doc_id].to_numpy() - want).max() < 1e-3 and np.median(np.abs(got[docs.doc_id].to_numpy() - want)) < 1e-9
+
+
 def test_quality_held_out(spark, empty):
     got = queries.op2_quality_classifier(spark, "/root/testdata/sf0.01").toPandas()
     m = got.merge(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas(), on="doc_id")
