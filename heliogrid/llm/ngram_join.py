@@ -55,6 +55,8 @@ HUBS = 3
 ROUNDS = 3
 #: Classes of a bundle of crowded columns that meet in one task, on either side.
 PIECE = 1000
+#: Characters of text that are hashed at a time: some 100 bytes of arrays for each.
+BATCH = 1 << 19
 #: Shingles whose prefixes make up one part of the columns.
 PART = 4_000_000
 
@@ -65,7 +67,7 @@ def _need(n: np.ndarray | Column):
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
-    for first, texts in batches(batch.column("text").to_pylist(), 2 << 20):
+    for first, texts in batches(batch.column("text").to_pylist(), BATCH):
         doc, sh = shingle_sets([t.encode() for t in texts])
         yield first, doc, sh, len(texts)
 
@@ -428,7 +430,7 @@ def _settle(crowd: DataFrame, comp: DataFrame, docs: DataFrame, sets: DataFrame,
     3 (na + nb) <= 7 |K1 and K2|. That depends on their classes and sizes, so where any two members of two
     classes link, both link with the smallest member of the other class, and these with each other.
     """
-    shared = _shared_columns(staged(_held(crowd.select("node").distinct(), docs, sets), "affected"), parts)
+    shared = _shared_columns(_held(crowd.select("node").distinct(), docs, sets), parts)
     crowded = shared.where("b is null").groupBy(F.col("a").alias("node")).agg(F.first("na").alias("n"), F.sum("shared").alias("k"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1"), F.collect_list("columns").alias("parts"))
     crowded = crowded.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     crowded = staged(crowded, "members")
