@@ -11,12 +11,16 @@ def decimal_or_null(text: Column) -> Column:
 
 
 def int_or_null(value: Column) -> Column:
-    """Whole numbers in text, or numbers cut towards zero; "3.9" as text is null."""
-    return F.when(value.cast("string").rlike(r"^\s*[+-]?\d+\s*$"), F.trim(value.cast("string")).try_cast("long"))
+    """Whole numbers in text; numbers cut towards zero, flags as 1 and 0. "3.9" as text is null."""
+    text = value.cast("string")
+    whole = F.when(text.rlike(r"^\s*[+-]?\d+(_\d+)*\s*$"), F.regexp_replace(F.trim(text), "_", "").try_cast("long"))
+    return F.when(F.typeof(value) == "string", whole).otherwise(value.try_cast("long"))
 
 
 def date_or_null(text: Column) -> Column:
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(text, 1, 10).try_cast("date"))
+    """A calendar date and nothing else: YYYY-MM-DD or YYYYMMDD."""
+    long = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))
+    return F.coalesce(long, F.when(text.rlike(r"^\d{8}$"), F.regexp_replace(text, r"(\d{4})(\d\d)(\d\d)", "$1-$2-$3").try_cast("date")))
 
 
 def kind_of(variant: Column) -> Column:
@@ -37,6 +41,23 @@ def loose_number_at(variant: Column, path: str) -> Column:
     return F.when(kind_of(node) != "BOOLEAN", F.try_variant_get(variant, path, "string").try_cast("double"))
 
 
+def int_at(variant: Column, path: str) -> Column:
+    """``int_or_null`` of the value at a path, by its JSON type."""
+    node = F.try_variant_get(variant, path, "variant")
+    kind, as_ = kind_of(node), lambda t: F.try_variant_get(node, "$", t)
+    return (
+        F.when(kind == "STRING", int_or_null(as_("string")))
+        .when(kind.isin("BIGINT", "INT", "BOOLEAN"), as_("long"))
+        .when(kind.isin("DECIMAL", "DOUBLE", "FLOAT"), as_("double").try_cast("long"))
+    )
+
+
+def date_at(variant: Column, path: str) -> Column:
+    """``date_or_null`` of a string at a path; other types give null."""
+    node = F.try_variant_get(variant, path, "variant")
+    return F.when(kind_of(node) == "STRING", date_or_null(F.try_variant_get(node, "$", "string")))
+
+
 def percent(part: Column, whole: Column) -> Column:
     """Share in percent within 0..100, one decimal; null where there is no whole."""
     return F.when(whole > 0, F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), part * 100.0 / whole)), 1))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliogrid.functions.timebucket import time_bucket, working_flags
+from heliogrid.operators.upsert import replace_by_key
 
 #: Device id prefixes of the two meter kinds, and the power metric of each phase.
 PREFIXES = {"plug": "shellyplug", "three_phase": "shellypro3em"}
@@ -91,3 +93,36 @@ def totals(rows: DataFrame, columns: list[str], per_device: bool = True) -> Data
     """Sums of energy columns a device, or over all (then always one row, zeros if there is nothing)."""
     sums = [F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in columns]
     return rows.groupBy("device_id").agg(*sums) if per_device else rows.agg(*sums)
+
+
+#: Keys of a stored energy window.
+WINDOW = ["device_id", "window_start", "window_end"]
+PHASE_COLUMNS = ["a_energy_wh", "b_energy_wh", "c_energy_wh", "total_energy_wh"]
+
+
+def refresh(current: DataFrame, rows: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Stored windows with those that ``rows`` fill computed anew by ``compute`` and put in place of the old ones.
+
+    ``rows`` are all samples of the windows in question, late ones included. A window that can't be computed any
+    more (a reset counter, a single time) keeps its stored value.
+    """
+    return replace_by_key(current, compute(rows), WINDOW)
+
+
+def listing_of(ids: list[str], plug: DataFrame, three_phase: DataFrame, start: datetime, end: datetime, working_only: bool = False) -> DataFrame:
+    """``listing`` of the given devices; each kind is read for its own devices only."""
+    kinds = split_devices(ids)
+    plug, three_phase = (x.where(F.col("device_id").isin(kinds[k])) if kinds[k] else x.limit(0) for x, k in ((plug, "plug"), (three_phase, "three_phase")))
+    return listing(plug, three_phase, start, end, working_only=working_only)
+
+
+def totals_of(ids: list[str], plug: DataFrame, three_phase: DataFrame, start: datetime, end: datetime, working_only: bool = False) -> DataFrame:
+    """A row for every given device, in order of the ids: its kind and the sums of its kind's columns, zeros if there is nothing."""
+    spark = plug.sparkSession
+    split_devices(ids)
+    wanted = spark.createDataFrame(list(enumerate(ids)), "_n int, device_id string").withColumn("device_type", device_type(F.col("device_id")))
+    rows = listing_of(ids, plug, three_phase, start, end, working_only)
+    sums = rows.groupBy("device_id").agg(*[F.sum(c).alias(c) for c in ("energy_wh", *PHASE_COLUMNS)])
+    zero = lambda c, kind: F.when(F.col("device_type") == kind, F.round(F.coalesce(c, F.lit(0.0)), 3)).alias(c)
+    out = wanted.join(sums, "device_id", "left").orderBy("_n")
+    return out.select("device_id", "device_type", zero("energy_wh", "plug"), *[zero(c, "three_phase") for c in PHASE_COLUMNS])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -64,8 +64,15 @@ def hourly_records(rows: DataFrame, run_id: int, columns: list[str], at: str = "
     return rows.select(F.lit(run_id).alias("run_id"), F.col(at).alias("forecast_timestamp"), F.to_date(at).alias("forecast_date"), F.hour(at).cast("short").alias("forecast_hour"), "predicted_power_kw", F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("raw_features"))
 
 
-def report(rows: DataFrame, at: str = "forecast_timestamp") -> list[str]:
-    """Console lines of one day: an hour each, then the day's energy."""
-    day = rows.select(at, "predicted_power_kw").orderBy(at).limit(48).collect()
-    lines = [f"{r[0]:%Y-%m-%d %H:%M}  {r[1]:.3f} kW" for r in day]
-    return [*lines, f"daily energy {sum(r[1] or 0.0 for r in day):.3f} kWh"]
+def pv_response(rows: DataFrame) -> DataFrame:
+    """(run_id, hours): of each run its hours in order of time, with the power as a number."""
+    hour = F.struct(F.col("forecast_timestamp").alias("timestamp"), F.col("forecast_hour").alias("hour"), F.col("predicted_power_kw").cast("double").alias("predicted_power_kw"))
+    return rows.groupBy("run_id").agg(F.sort_array(F.collect_list(hour)).alias("hours"))
+
+
+def report(rows: DataFrame, at: str = "forecast_timestamp") -> Iterator[str]:
+    """Console lines, an hour each, then the energy of all of them; one partition at a time comes to the driver."""
+    for r in rows.select(at, "predicted_power_kw").orderBy(at).toLocalIterator():
+        yield f"{r[0]:%Y-%m-%d %H:%M}  {'-' if r[1] is None else f'{r[1]:.2f} kW'}"
+    total = rows.agg(F.coalesce(F.sum("predicted_power_kw"), F.lit(0.0))).first()[0]
+    yield f"daily energy {total:.2f} kWh"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heliogrid.functions.safe import decimal_or_null, int_or_null, kind_of
+from heliogrid.functions.safe import date_at, decimal_or_null, int_at, kind_of
 from heliogrid.operators.upsert import last_by_key
 
 #: Names of the totals and of a room's metrics in a response.
@@ -49,8 +49,8 @@ def run_columns(rows: DataFrame, response: str = "response_json") -> DataFrame:
     summary, totals, load = _object(body, "summary"), _object(body, "school_totals"), _object(body, "hourly_load")
     return rows.withColumns(
         {n: text(body, n) for n in ("status", "simulation_engine")}
-        | {"external_run_id": text(body, "run_id"), "day_ahead_date": text(body, "day_ahead_date").try_cast("date")}
-        | {n: int_or_null(text(summary, n)) for n in ROOMS}
+        | {"external_run_id": text(body, "run_id"), "day_ahead_date": date_at(body, "$.day_ahead_date")}
+        | {n: int_at(summary, f"$.{n}") for n in ROOMS}
         | {n: decimal_or_null(text(totals, n)) for n in TOTALS}
         | {"hourly_load": F.to_json(load)}
     )
@@ -65,6 +65,25 @@ def room_results(rows: DataFrame, response: str = "response_json", run: str = "r
     return last_by_key(out, ["run_id", "room_id"], ["position"]).drop("position")
 
 
+def room_response(rooms: DataFrame) -> DataFrame:
+    """(run_id, rooms): the rooms of each run in order of their ids; metrics only where the room succeeded, error null where there is none."""
+    metrics = F.when(F.col("status") == "success", F.struct(*[F.col(m).cast("double").alias(m) for m in ROOM]))
+    one = F.struct("room_id", "room_label", "status", metrics.alias("metrics"), F.col("error_text").alias("error"))
+    return rooms.groupBy("run_id").agg(F.sort_array(F.collect_list(one)).alias("rooms"))
+
+
+def day_ahead_response(run: DataFrame, rooms: DataFrame) -> DataFrame:
+    """One struct a run: its identity, summary, totals as numbers, hourly load as landed, and its rooms (empty if there are none)."""
+    body = F.struct(
+        F.col("id"), "school_id", "day_ahead_date", "status", "simulation_engine", "external_run_id",
+        F.struct(*ROOMS).alias("summary"),
+        F.struct(*[F.col(n).cast("double").alias(n) for n in TOTALS]).alias("school_totals"),
+        "hourly_load",
+        F.coalesce("rooms", F.expr("filter(array(rooms[0]), x -> false)")).alias("room_results"),
+    )
+    return run.join(room_response(rooms), run["id"] == F.col("run_id"), "left").select(body.alias("response"))
+
+
 def create(runs: DataFrame, requests: DataFrame, key: str = "id") -> DataFrame:
     """``requests`` with ids that follow the greatest one there is, in order of all their columns."""
     top = runs.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]

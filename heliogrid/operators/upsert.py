@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def last_by_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row a key: the last by ``order`` (nulls first)."""
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """One row a key: the last by ``order`` (nulls first). A maximum, so a hot key is reduced where it is read."""
+    last = F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("_last")
+    return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(last).select(*[F.col(f"_last.{c}").alias(c) for c in rows.columns])
 
 
 def replace_by_key(current: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
@@ -80,3 +80,12 @@ class VersionedTable:
         rows.write.mode("overwrite").parquet(f"{self.path}/v{v}")
         self.spark.createDataFrame([(v, batch)], "version long, batch long").coalesce(1).write.mode("append").parquet(f"{self.path}/pointer")
         return v
+
+    def vacuum(self, keep: int = 2) -> list[int]:
+        """Delete all but the last ``keep`` versions; readers of those must be done."""
+        last = self.version() or 0
+        gone = [v for v in range(1, last - keep + 1) if self._exists(f"{self.path}/v{v}")]
+        for v in gone:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{v}")
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        return gone

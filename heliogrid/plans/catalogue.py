@@ -6,6 +6,8 @@ line items for registries, runs and children. Times are literals, never the cloc
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -13,11 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliogrid.functions.params import HistoryParams
-from heliogrid.functions.safe import int_or_null, number_at, percent
+from heliogrid.functions.safe import date_at, int_at, int_or_null, number_at, percent
 from heliogrid.functions.timebucket import time_bucket, truncate_hour, working_flags
-from heliogrid.operators import energy, fleet, history, pv, rollup, runs
+from heliogrid.operators import energy, fleet, history, pv, rollup, rollup_job, runs
 from heliogrid.operators.upsert import cascade, last_by_key, merge_registry, replace_by_key
 from heliogrid.sources import forecast, messages
+from heliogrid.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 NOW = datetime(2024, 1, 31)
@@ -43,6 +46,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``, or in a temporary one where all runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="heliogrid-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")
     return e.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("device_id"), F.col("event_type").alias("metric"), "value", F.expr(UNIT).alias("unit"), F.col("ts").alias("event_time"))
@@ -69,11 +82,11 @@ def latest_minute_snapshots(spark, sf_dir):
 
 @query(f"""with m as ({MEASURES}), a as ({_averages("1 minute", f"device_id = '{DEVICE}'")}),
 last as (select distinct bucket from a order by bucket desc nulls first limit 30)
-select device_id, bucket, count(distinct metric) as n_metrics, string_agg(metric || '=' || coalesce(unit, ''), ',' order by metric) as measurements
+select device_id, bucket, count(distinct metric) as n_metrics, string_agg(metric || '=' || round(value * 1000)::bigint || coalesce(unit, ''), ',' order by metric) as measurements
 from a where bucket in (select bucket from last) group by device_id, bucket""")
 def snapshot_maps(spark, sf_dir):
     rows = history.snapshots(history.latest(measures(spark, sf_dir), DEVICE, limit=30))
-    text = F.transform(F.map_entries("measurements"), lambda e: F.concat(e.key, F.lit("="), F.coalesce(e.value.unit, F.lit(""))))
+    text = F.transform(F.map_entries("measurements"), lambda e: F.concat(e.key, F.lit("="), F.round(e.value.value * 1000).cast("long").cast("string"), F.coalesce(e.value.unit, F.lit(""))))
     return rows.select("device_id", "bucket", F.size("measurements").cast("long").alias("n_metrics"), F.array_join(text, ",").alias("measurements"))
 
 
@@ -171,11 +184,12 @@ def rollup_batch_stats(spark, sf_dir):
     return rollup.batch_stats(rollup.next_batch(measures(spark, sf_dir), WATERMARK, 2500))
 
 
-@query(f"""with m as ({MEASURES}), old as ({_rollup_sql('1 hour', "and id <= 9000")}), fresh as ({_rollup_sql('1 hour', "and event_time >= timestamp '2024-01-29'")})
+@query(f"""with m as ({MEASURES}), old as ({_rollup_sql('1 hour')}), fresh as ({_rollup_sql('1 hour', "and event_time >= timestamp '2024-01-28 23:40:00'")})
 select * from old where (device_id, metric, bucket_start) not in (select (device_id, metric, bucket_start) from fresh) union all select * from fresh""")
 def rollup_seed(spark, sf_dir):
+    """All rows were rolled up; the look-back from twenty to the hour rebuilds its first bucket from its rest only."""
     m = measures(spark, sf_dir)
-    return _six(rollup.seed(rollup.build(m.where("id <= 9000"), 3600), m, 3600, NOW), "value_avg")
+    return _six(rollup.seed(rollup.build(m, 3600), m, 3600, NOW - timedelta(minutes=20), aligned=False), "value_avg")
 
 
 @query(f"with m as ({MEASURES}) {_rollup_sql('1 hour')}")
@@ -186,6 +200,19 @@ def rollup_seed_whole(spark, sf_dir):
     return _six(rollup.seed(rollup.build(old, 3600), m, 3600, NOW), "value_avg")
 
 
+@query(f"""with m as ({MEASURES}), s as (select max(id) + 1 as last_id from m)
+select '5min' as rollup, r.*, s.last_id from ({_rollup_sql('5 minutes')}) r, s union all select 'hourly', r.*, s.last_id from ({_rollup_sql('1 hour')}) r, s""")
+def rollup_job_tables(spark, sf_dir):
+    """The job in bounded batches from an empty store: both rollups and the watermark of its last commit. Ids start at 1."""
+    m = measures(spark, sf_dir).withColumn("id", F.col("id") + 1)
+    store = rollup_job.RollupStore(spark, work_folder(spark, "job"))
+    rollup_job.initialize(store, m.limit(0), NOW)
+    rollup_job.run(store, m, m.count() // 2 + 1)
+    names = ["device_id", "metric", "unit", "bucket_start", "value_avg", "value_min", "value_max", "sample_count"]
+    one = lambda n: store.table(n).select(F.lit(n).alias("rollup"), *names, F.lit(store.last_id()).cast("long").alias("last_id"))
+    return _six(one("5min").unionByName(one("hourly")), "value_avg")
+
+
 _DOOMED = f"select event_id as id, ts as event_time from events where ts < timestamp '2024-01-24' and event_id <= {WATERMARK} order by event_id limit 4000"
 
 
@@ -275,13 +302,7 @@ def energy_listing(spark, sf_dir):
     return out.select("device_id", "device_type", "window_start", "window_end", "energy_wh", "a_energy_wh", "total_energy_wh")
 
 
-@query(f"select device_id, round(coalesce(sum(energy_wh), 0), 3) as energy_wh from {_PLUG} where {_INSIDE} group by 1")
-def energy_totals_working(spark, sf_dir):
-    rows = energy.select_windows(_windows(spark, sf_dir)[0], _START, _END, working_only=True)
-    return energy.totals(rows, ["energy_wh"]).withColumn("energy_wh", F.round("energy_wh", 3))
-
-
-PHASE_COLUMNS = ["a_energy_wh", "b_energy_wh", "c_energy_wh", "total_energy_wh"]
+PHASE_COLUMNS = energy.PHASE_COLUMNS
 _PHASE_SUMS = ", ".join(f"round(coalesce(sum({c}), 0), 3) as {c}" for c in PHASE_COLUMNS)
 
 
@@ -290,6 +311,14 @@ def _three(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.round(c, 3) for c in df.columns if c.endswith("_wh")})
 
 
+@query(f"""select device_id, round(coalesce(sum(wh), 0), 3) as energy_wh from (select device_id, energy_wh as wh from {_PLUG} where {_INSIDE}
+union all select device_id, total_energy_wh from {_THREE} where {_INSIDE}) group by 1""")
+def energy_totals_working(spark, sf_dir):
+    """One number a device of either kind, in working periods."""
+    rows = energy.listing(*_windows(spark, sf_dir), _START, _END, working_only=True)
+    return _three(energy.totals(rows.withColumn("energy_wh", F.coalesce("energy_wh", "total_energy_wh")), ["energy_wh"]))
+
+
 @query(f"""select device_id, 'plug' as device_type, round(coalesce(sum(energy_wh), 0), 3) as energy_wh, {", ".join(f"null::double as {c}" for c in PHASE_COLUMNS)} from {_PLUG} where {_INSIDE} group by 1
 union all select device_id, 'three_phase', null, {_PHASE_SUMS} from {_THREE} where {_INSIDE} group by 1""")
 def energy_totals_working_both(spark, sf_dir):
@@ -310,11 +339,109 @@ def energy_total_both(spark, sf_dir):
     return _three(energy.totals(rows, ["energy_wh", *PHASE_COLUMNS], per_device=False))
 
 
-@query("select 0.0::double as energy_wh")
+_ONE = f"{energy.PREFIXES['plug']}-2"
+
+
+@query(f"select round(coalesce(sum(energy_wh), 0), 3) as energy_wh from {_PLUG} where {_RANGE} and device_id = '{_ONE}'")
 def energy_total_single(spark, sf_dir):
-    """No window in the range: one row of zeros."""
-    rows = energy.select_windows(_windows(spark, sf_dir)[0], datetime(2031, 1, 1), datetime(2031, 1, 2), [energy.PREFIXES["plug"] + "-2"])
-    return energy.totals(rows, ["energy_wh"], per_device=False)
+    """The sum of one device's windows in the range."""
+    rows = energy.select_windows(_windows(spark, sf_dir)[0], _START, _END, [_ONE])
+    return _three(energy.totals(rows, ["energy_wh"], per_device=False))
+
+
+_IDS = [f"{energy.PREFIXES[k]}-{n}" for k, n in (("three_phase", 7), ("plug", 2), ("plug", 99_999_998), ("three_phase", 3), ("plug", 14))]
+_WANTED = f"(select unnest([{', '.join(repr(i) for i in _IDS)}]) as device_id)"
+
+
+@query(f"""select device_id, 'plug' as device_type, window_start, energy_wh, null::double as total_energy_wh from {_PLUG} where {_RANGE} and device_id in (select device_id from {_WANTED})
+union all select device_id, 'three_phase', window_start, null, total_energy_wh from {_THREE} where {_RANGE} and device_id in (select device_id from {_WANTED})""")
+def energy_listing_by_devices(spark, sf_dir):
+    """Windows of named devices, each looked up among those of its kind."""
+    return energy.listing_of(_IDS, *_windows(spark, sf_dir), _START, _END).select("device_id", "device_type", "window_start", "energy_wh", "total_energy_wh")
+
+
+@query(f"""select device_id, case when device_id like '{energy.PREFIXES['plug']}%' then 'plug' else 'three_phase' end as device_type,
+case when device_type = 'plug' then coalesce(p.energy_wh, 0) end as energy_wh, {", ".join(f"case when device_type = 'three_phase' then coalesce(t.{c}, 0) end as {c}" for c in PHASE_COLUMNS)} from {_WANTED}
+left join (select device_id, round(sum(energy_wh), 3) as energy_wh from {_PLUG} where {_RANGE} group by 1) p using (device_id) left join (select device_id, {_PHASE_SUMS} from {_THREE} where {_RANGE} group by 1) t using (device_id)""")
+def energy_totals_by_devices(spark, sf_dir):
+    """Sums of named devices of both kinds; one without windows has zeros."""
+    return energy.totals_of(_IDS, *_windows(spark, sf_dir), _START, _END)
+
+
+_EARLY = "metric in ('click', 'view', 'error')"
+
+
+@query(f"""with fresh as (with m as ({MEASURES}) {_counter_sql('1 hour')}), old as (with m as (select * from ({MEASURES}) where {_EARLY}) {_counter_sql('1 hour')})
+select * from fresh union all select * from old where (device_id, window_start) not in (select (device_id, window_start) from fresh)""")
+def energy_refresh_plug(spark, sf_dir):
+    """Windows stored from the metrics that came first; with the late ones all are computed anew from the whole table and replaced."""
+    m = measures(spark, sf_dir)
+    return energy.refresh(energy.counter_delta(m.where(_EARLY)), m, energy.counter_delta)
+
+
+@query(f"""with fresh as (with m as ({MEASURES}) {_phase_sql('1 hour')}), old as (with m as (select * from ({MEASURES}) where metric = 'click') {_phase_sql('1 hour')})
+select * from fresh union all select * from old where (device_id, window_start) not in (select (device_id, window_start) from fresh)""")
+def energy_refresh_phases(spark, sf_dir):
+    """The same for three phases, of which one came first."""
+    m, compute = measures(spark, sf_dir), lambda rows: energy.phase_energy(rows, PHASES)
+    return energy.refresh(compute(m.where("metric = 'click'")), m, compute)
+
+
+def _as_messages(spark, sf_dir, topic: str, payload) -> DataFrame:
+    e = load(spark, sf_dir, "events")
+    return e.select(F.expr(topic).alias("topic"), F.to_json(payload).alias("payload"), F.timestamp_add("HOUR", F.lit(1), F.col("ts").cast("timestamp_ntz")).alias("ingestion_time"))
+
+
+def _meter_rows(spark, sf_dir) -> DataFrame:
+    """Events as status messages: counters with a minute, or phases with text in one of them; some on other topics."""
+    seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    third, fifth = F.col("event_id") % 3 == 0, F.col("event_id") % 5 == 0
+    counter = F.when(~third, F.struct(F.when(fifth, F.lit(1.5)).otherwise(F.col("event_id").cast("double")).alias("total"), seconds.alias("minute_ts")))
+    payload = F.struct(F.when(~third, F.col("value")).alias("apower"), counter.alias("aenergy"), F.when(third, F.col("value")).alias("total_act_power"), F.when(third, F.lit("7.5")).alias("a_act_power"), F.when(third, F.lit(True)).alias("b_act_power"))
+    return messages.meter_messages(_as_messages(spark, sf_dir, "user_id || case when event_id % 7 = 0 then '/online' else '/status/x:0' end", payload))
+
+
+@query("""with e as (select *, date_trunc('second', ts) as sent from events where event_id % 7 <> 0)
+select user_id::varchar as device_id, 'apower' as metric, value, 'W' as unit, sent as event_time from e where event_id % 3 <> 0 and value is not null
+union all select user_id::varchar, 'aenergy_total', case when event_id % 5 = 0 then 1.5 else event_id end::double, 'Wh', sent from e where event_id % 3 <> 0
+union all select user_id::varchar, 'total_act_power', value, 'W', ts + interval 1 hour from e where event_id % 3 = 0 and value is not null""")
+def meter_messages_parsed(spark, sf_dir):
+    return messages.meter_measurements(_meter_rows(spark, sf_dir))
+
+
+def _uplinks(spark, sf_dir) -> DataFrame:
+    at = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("789Z"))
+    ids = F.struct(F.when(F.col("event_id") % 11 > 0, F.col("user_id").cast("string")).otherwise("").alias("device_id"), F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("dev_eui"))
+    environmental = F.struct(F.col("value").alias("temperature"), F.col("event_id").cast("string").alias("relative_humidity"))
+    decoded = F.struct(environmental.alias("environmental"), F.struct((F.col("event_id") % 2 == 0).alias("co2")).alias("co2"), F.struct(F.lit("high").alias("voc")).alias("voc_index"))
+    payload = F.struct(ids.alias("end_device_ids"), at.alias("received_at"), F.struct(decoded.alias("decoded_payload")).alias("uplink_message"))
+    return messages.environmental_messages(_as_messages(spark, sf_dir, "'up'", payload))
+
+
+@query("""with e as (select * from events where event_id % 11 > 0)
+select user_id::varchar as device_id, 'temperature' as metric, value, 'C' as unit, ts as event_time from e where value is not null
+union all select user_id::varchar, 'relative_humidity', event_id::double, '%', ts from e""")
+def uplink_messages_parsed(spark, sf_dir):
+    """Numbers and texts that read as numbers; flags and other texts don't count, nor do messages without a device."""
+    return messages.environmental_measurements(_uplinks(spark, sf_dir))
+
+
+@query("""select 'ttn' as source, user_id::varchar as device_id, arg_max(struct_pack(v := case when event_id % 2 = 0 then event_type end), ts).v as dev_eui, user_id::varchar as name from events where event_id % 11 > 0 group by user_id""")
+def uplink_registry(spark, sf_dir):
+    """Devices by source and id, named by their id, with what their last message says."""
+    known = spark.createDataFrame([], ingest.REGISTRY)
+    return merge_registry(known, ingest.registry_rows(_uplinks(spark, sf_dir)), ["source", "device_id"], ["dev_eui"], ["name"], "at")
+
+
+@query("""select o_orderkey, trunc(o_totalprice)::bigint as number, case when o_totalprice = trunc(o_totalprice) then null end::bigint as fraction_text, o_orderkey::bigint as whole_text, 1::bigint as flag,
+o_orderdate::date::varchar as day, null::varchar as day_and_time, o_orderdate::date::varchar as compact_day from orders""")
+def loose_values(spark, sf_dir):
+    """Numbers are cut, text has to be whole, flags count as 1; a date is a date alone."""
+    o = load(spark, sf_dir, "orders")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    body = F.struct(F.col("o_totalprice").alias("number"), F.concat(F.col("o_orderkey").cast("string"), F.lit(".5")).alias("fraction_text"), F.concat(F.lit(" "), F.col("o_orderkey").cast("string"), F.lit(" ")).alias("whole_text"), F.lit(True).alias("flag"), day.alias("day"), F.concat(day, F.lit("T05")).alias("day_and_time"), F.date_format("o_orderdate", "yyyyMMdd").alias("compact_day"))
+    v = F.parse_json(F.to_json(body))
+    return o.select("o_orderkey", *[int_at(v, f"$.{c}").alias(c) for c in ("number", "fraction_text", "whole_text", "flag")], *[date_at(v, f"$.{c}").cast("string").alias(c) for c in ("day", "day_and_time", "compact_day")])
 
 
 @query(f"""with m as (select distinct c_custkey::varchar as device_id, 'environmental' as kind from customer union all select distinct 's' || s_suppkey, 'meter' from supplier),
@@ -433,20 +560,13 @@ def dimension_listing(spark, sf_dir):
 @query(f"with m as ({MEASURES}) {_rollup_sql('1 hour')}")
 def stream_rollup(spark, sf_dir):
     """The rollup of a stream of event files, merged micro-batch by micro-batch."""
-    import tempfile
-    import uuid
-
-    from heliogrid.streaming.ingest import rollup_stream
-    from heliogrid.operators.upsert import VersionedTable
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="heliogrid-")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = work_folder(spark, "stream")
     load(spark, sf_dir, "events").repartition(3, "event_id").write.parquet(f"{folder}/in")
     schema = load(spark, sf_dir, "events").schema
     e = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     stream = e.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("device_id"), F.col("event_type").alias("metric"), "value", F.expr(UNIT).alias("unit"), F.col("ts").alias("event_time"))
-    rollup_stream(stream, f"{folder}/out", f"{folder}/checkpoint", 3600).awaitTermination()
-    out = VersionedTable(spark, f"{folder}/out").read()
+    ingest.rollup_stream(stream, f"{folder}/out", f"{folder}/checkpoint", 3600).awaitTermination()
+    out = rollup_job.RollupStore(spark, f"{folder}/out").table(ingest.ROLLED)
     return _six(out.select("device_id", "metric", "unit", "bucket_start", "value_avg", "value_min", "value_max", "sample_count"), "value_avg")
 
 

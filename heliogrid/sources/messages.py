@@ -37,6 +37,10 @@ METER = [
 ]
 
 
+#: Fixed value: source of devices that report by uplink.
+UPLINK = "ttn"
+
+
 def _naive_utc(seconds: Column) -> Column:
     return F.timestamp_add("MICROSECOND", (seconds * 1_000_000).cast("long"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
@@ -56,12 +60,12 @@ def meter_messages(rows: DataFrame) -> DataFrame:
 
 
 def environmental_messages(rows: DataFrame) -> DataFrame:
-    """Uplink messages with device_id, dev_eui and event_time; text that isn't JSON fails, no device id goes."""
+    """Uplink messages with source, device_id, dev_eui and event_time; text that isn't JSON fails, no device id goes."""
     body = F.parse_json("payload")
     rows = rows.withColumn("body", body)
     get = lambda p: F.try_variant_get("body", p, "string")
     at = F.to_timestamp_ntz(F.regexp_replace(get("$.received_at"), r"(\.\d{6})\d*|Z$|[+-]\d\d:\d\d$", "$1"))
-    out = rows.select(get("$.end_device_ids.device_id").alias("device_id"), get("$.end_device_ids.dev_eui").alias("dev_eui"), "topic", "payload", at.alias("event_time"), "ingestion_time", "body")
+    out = rows.select(F.lit(UPLINK).alias("source"), get("$.end_device_ids.device_id").alias("device_id"), get("$.end_device_ids.dev_eui").alias("dev_eui"), "topic", "payload", at.alias("event_time"), "ingestion_time", "body")
     return out.where("device_id is not null and device_id <> ''")
 
 

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from heliogrid.operators import rollup
+from heliogrid.operators.rollup_job import RollupStore
 from heliogrid.operators.upsert import VersionedTable, merge_registry
 from heliogrid.sources.messages import environmental_measurements, environmental_messages, meter_measurements, meter_messages
 
 MESSAGES = "topic string, payload string, ingestion_time timestamp_ntz"
+#: Name of the rollup of a stream in its store.
+ROLLED = "rollup"
+REGISTRY = "source string, device_id string, dev_eui string, name string"
 
 
 def message_stream(spark: SparkSession, folder: str, per_trigger: int = 100) -> DataFrame:
@@ -20,41 +22,80 @@ def message_stream(spark: SparkSession, folder: str, per_trigger: int = 100) ->
     return spark.readStream.schema(MESSAGES).option("maxFilesPerTrigger", per_trigger).json(folder)
 
 
+def numbered(rows: DataFrame, folder: str, base: int) -> tuple[DataFrame, int]:
+    """``rows`` with ``id`` from base + 1 on without gaps, in order of their partitions; and the last id.
+
+    The rows are written with their place in their partition first. Only the number of rows of each partition
+    comes to the driver, so no task sees more than its own rows.
+    """
+    spark = rows.sparkSession
+    place = F.monotonically_increasing_id()
+    rows.withColumns({"_part": F.shiftright(place, 33).cast("int"), "_at": place.bitwiseAND(F.lit((1 << 33) - 1))}).write.mode("overwrite").parquet(folder)
+    held = spark.read.parquet(folder)
+    sizes = held.groupBy("_part").count().orderBy("_part").collect()
+    bases, last = [], base
+    for r in sizes:
+        bases.append((r["_part"], last))
+        last += r["count"]
+    start = spark.createDataFrame(bases, "_part int, _base long")
+    return held.join(start, "_part").withColumn("id", F.col("_base") + F.col("_at") + 1).select("id", *rows.columns), last
+
+
+def last_id(spark: SparkSession, folder: str, before: int) -> int:
+    """The greatest id given by the batches before ``before``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/ids")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return 0
+    ids = spark.read.schema("last_id long, batch long").parquet(f"{folder}/ids")
+    return ids.where(F.col("batch") < before).agg(F.coalesce(F.max("last_id"), F.lit(0).cast("long"))).first()[0]
+
+
 def ingest(stream: DataFrame, folder: str, checkpoint: str, kind: str = "meter") -> StreamingQuery:
-    """Parse each micro-batch; append raw rows and measurements, merge the registry.
+    """Parse each micro-batch; append raw rows and measurements with their ids, merge the registry.
 
-    Batch ids are part of the written paths, so a repeated batch replaces what it wrote before.
+    Ids follow the batches, so a batch is a range of ids past all that came before: the watermark of the rollups counts
+    by them. Batch ids are part of the written paths and the first id of a batch depends on the batches before it
+    only, so a repeated batch replaces what it wrote before with the same ids.
     """
     parse, measure = (meter_messages, meter_measurements) if kind == "meter" else (environmental_messages, environmental_measurements)
+    keys = ["device_id"] if kind == "meter" else ["source", "device_id"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         messages = parse(batch).persist()
         try:
             messages.drop("body").write.mode("overwrite").parquet(f"{folder}/raw/batch={batch_id}")
-            measure(messages).write.mode("overwrite").parquet(f"{folder}/measurements/batch={batch_id}")
-            table = VersionedTable(batch.sparkSession, f"{folder}/devices")
+            rows, last = numbered(measure(messages), f"{folder}/staged/batch={batch_id}", last_id(spark, folder, batch_id))
+            rows.write.mode("overwrite").parquet(f"{folder}/measurements/batch={batch_id}")
+            spark.createDataFrame([(last,)], "last_id long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/ids/batch={batch_id}")
+            table = VersionedTable(spark, f"{folder}/devices")
             if not table.has_batch(batch_id):
-                eui = F.col("dev_eui") if "dev_eui" in messages.columns else F.lit(None).cast("string")
-                seen = messages.select("device_id", eui.alias("dev_eui"), F.lit(None).cast("string").alias("name"), F.col("ingestion_time").alias("at"))
-                known = table.read("device_id string, dev_eui string, name string")
-                table.write(merge_registry(known, seen, ["device_id"], ["dev_eui"], ["name"], "at"), batch_id)
+                known = table.read(REGISTRY)
+                table.write(merge_registry(known, registry_rows(messages), keys, ["dev_eui"], ["name"], "at"), batch_id)
+                table.vacuum()
         finally:
             messages.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def registry_rows(messages: DataFrame) -> DataFrame:
+    """(source, device_id, dev_eui, name, at) of parsed messages; a device of an uplink is named by its id."""
+    has = lambda c: F.col(c) if c in messages.columns else F.lit(None).cast("string")
+    name = F.col("device_id") if "dev_eui" in messages.columns else F.lit(None).cast("string")
+    return messages.select(has("source").alias("source"), "device_id", has("dev_eui").alias("dev_eui"), name.alias("name"), F.col("ingestion_time").alias("at"))
+
+
 def rollup_stream(stream: DataFrame, folder: str, checkpoint: str, stride: int) -> StreamingQuery:
-    """Merge every micro-batch of measurements into a versioned rollup; late rows reach their old buckets."""
-    return merge_stream(stream, folder, checkpoint, lambda b: rollup.build(b, stride), rollup.merge)
+    """Merge every micro-batch of measurements into the rollup of a store; late rows reach their old buckets.
 
+    A batch rewrites the bucket days that its rows touch and no others; a repeated batch changes nothing.
+    """
 
-def merge_stream(stream: DataFrame, folder: str, checkpoint: str, build: Callable, merge: Callable) -> StreamingQuery:
     def write(batch: DataFrame, batch_id: int) -> None:
-        table = VersionedTable(batch.sparkSession, folder)
-        if table.has_batch(batch_id):
-            return
-        fresh = build(batch)
-        table.write(fresh if table.version() is None else merge(table.read(), fresh), batch_id)
+        store = RollupStore(batch.sparkSession, folder)
+        if not store.manifests.has_batch(batch_id):
+            store.commit(0, {ROLLED: rollup.build(batch, stride)}, rollup.merge, batch_id)
+            store.vacuum()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

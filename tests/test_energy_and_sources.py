@@ -6,11 +6,13 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from heliogrid.functions.params import HistoryParams
 from heliogrid.functions.timebucket import working_flags
-from heliogrid.operators import energy, fleet, pv, rollup, runs
+from heliogrid.operators import energy, fleet, history, pv, rollup, rollup_job, runs
+from heliogrid.operators.rollup_job import RollupStore
 from heliogrid.operators.upsert import VersionedTable, cascade, checked, merge_registry
 from heliogrid.sources import forecast, messages
-from heliogrid.streaming.ingest import ingest, message_stream, rollup_stream
+from heliogrid.streaming.ingest import ROLLED, ingest, message_stream, rollup_stream
 
 M = "id long, device_id string, metric string, value double, unit string, event_time timestamp_ntz"
 T = datetime(2026, 7, 1, 10)
@@ -172,8 +174,80 @@ def test_rollup_stream_takes_late_rows(spark, tmp_path):
     stream = spark.readStream.schema(M).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     rollup_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), 300).awaitTermination()
     key = lambda d: sorted((r.bucket_start, round(r.value_avg, 9), r.sample_count) for r in d.collect())
-    table = VersionedTable(spark, str(tmp_path / "out"))
-    assert key(table.read()) == key(rollup.build(rows, 300)) and table.version() >= 2
+    store = RollupStore(spark, str(tmp_path / "out"))
+    assert key(store.table(ROLLED)) == key(rollup.build(rows, 300)) and store.manifests.version() >= 2
+
+
+def test_commit_rewrites_touched_days_only(spark, tmp_path):
+    rows = spark.createDataFrame([(k, "d", "t", float(k), "C", T + timedelta(days=k % 3, minutes=k)) for k in range(1, 40)], M)
+    store = RollupStore(spark, str(tmp_path / "s"))
+    with pytest.raises(ValueError, match="seed"):
+        rollup_job.run_batch(store, rows)
+    assert rollup_job.initialize(store, rows.where("id <= 20"), T + timedelta(days=4), timedelta(days=30)) == 20 == store.last_id()
+    late = rows.where("id > 20 and day(event_time) = 1")
+    stats = rollup_job.run_batch(store, late, 100)
+    assert stats == {"n_rows": late.count(), "first_id": 21, "last_id": store.last_id()}
+    versions = {(r["name"], r["day"]): r["version"] for r in store._manifest() if r["day"]}
+    assert {v for (_, d), v in versions.items() if d == "2026-07-01"} == {2} and {v for (_, d), v in versions.items() if d != "2026-07-01"} == {1}
+    spark.range(5).write.parquet(str(tmp_path / "s" / "data" / "v3" / "5min" / "day=2026-07-01"))  # a job that died before its commit
+    assert store.table("5min").agg(F.sum("sample_count")).first()[0] == 20 + late.count()
+    assert rollup_job.run_batch(store, late)["n_rows"] == 0 and store.manifests.version() == 2
+    rest = rows.withColumn("id", F.col("id") + 100).where("id > 120 and day(event_time) <> 1")
+    assert rollup_job.run(store, rest, 7) == rest.count()
+    both = rows.where("id <= 20").unionByName(late).unionByName(rest)
+    for name, stride in rollup.STRIDES.items():
+        key = lambda d: sorted((r.bucket_start, r.metric, round(r.value_avg, 9), r.sample_count) for r in d.collect())
+        assert key(store.table(name)) == key(rollup.build(both, stride))
+    assert store.vacuum() and key(store.table("hourly")) == key(rollup.build(both, 3600))
+
+
+def test_from_messages_to_hybrid_history(spark, tmp_path):
+    """Messages in several batches get ids that go on without gaps; the job rolls some up, history adds the rest."""
+    (tmp_path / "in").mkdir()
+    values = [float(k) for k in range(24)]
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    land = lambda some: [(tmp_path / "in" / f"{int(v):02d}.json").write_text(json.dumps({"topic": "plug-1/status/x", "payload": json.dumps({"apower": v, "aenergy": {"total": 1, "minute_ts": 1782900000 + 60 * int(v)}}), "ingestion_time": "2026-07-01T10:00:00"})) for v in some]
+    read = lambda: spark.read.parquet(f"{out}/measurements").drop("batch")
+    store = RollupStore(spark, str(tmp_path / "rollups"))
+    land(values[:10])
+    ingest(message_stream(spark, str(tmp_path / "in"), 4), out, checkpoint).awaitTermination()
+    assert sorted(r.id for r in read().collect()) == list(range(1, 21))
+    rollup_job.initialize(store, read(), T, None)
+    land(values[10:])
+    ingest(message_stream(spark, str(tmp_path / "in"), 4), out, checkpoint).awaitTermination()
+    rows = read()
+    assert sorted(r.id for r in rows.collect()) == list(range(1, 49))
+    batches = spark.read.parquet(f"{out}/measurements").groupBy("batch").agg(F.min("id").alias("a"), F.max("id").alias("b")).orderBy("batch").collect()
+    assert all(x.b + 1 == y.a for x, y in zip(batches, batches[1:]))
+    rollup_job.run_batch(store, rows, 6)
+    assert store.last_id() == 26
+    params = HistoryParams(metrics=["apower"], start="2026-07-01", end="2026-07-02", aggregate="avg", bucket_unit="hour", bucket_size=1)
+    got = history.history(rows, {n: store.table(n) for n in rollup.STRIDES}, store.last_id(), "plug-1", params, T).collect()
+    assert sum(r.value for r in got) == pytest.approx(sum(values) / len(values)) and len(got) == 1
+
+
+def test_registry_of_uplinks(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k, eui in enumerate(("E1", None)):
+        body = {"end_device_ids": {"device_id": "n1", "dev_eui": eui}, "received_at": "2026-07-01T10:00:00Z"}
+        (tmp_path / "in" / f"{k}.json").write_text(json.dumps({"topic": "up", "payload": json.dumps(body), "ingestion_time": f"2026-07-01T1{k}:00:00"}))
+    ingest(message_stream(spark, str(tmp_path / "in"), 1), str(tmp_path / "out"), str(tmp_path / "cp"), "environmental").awaitTermination()
+    rows = VersionedTable(spark, str(tmp_path / "out" / "devices")).read().collect()
+    assert [(r.source, r.device_id, r.dev_eui, r.name) for r in rows] == [("ttn", "n1", None, "n1")]
+
+
+def test_energy_of_named_devices(spark):
+    plug = energy.with_window(spark.createDataFrame([("shellyplug-1", T, 1.5), ("shellyplug-2", T, 9.0)], "device_id string, window_start timestamp_ntz, energy_wh double"))
+    three = energy.with_window(spark.createDataFrame([("shellypro3em-1", T, 1.0, 2.0, 3.0, 6.0)], "device_id string, window_start timestamp_ntz, a_energy_wh double, b_energy_wh double, c_energy_wh double, total_energy_wh double"))
+    day = (datetime(2026, 7, 1), datetime(2026, 7, 2))
+    ids = ["shellypro3em-1", "shellyplug-1", "shellyplug-9"]
+    assert [r.device_id for r in energy.listing_of(ids, plug, three, *day).collect()] == ["shellyplug-1", "shellypro3em-1"]
+    got = energy.totals_of(ids, plug, three, *day).collect()
+    assert [(r.device_id, r.energy_wh, r.total_energy_wh) for r in got] == [("shellypro3em-1", None, 6.0), ("shellyplug-1", 1.5, None), ("shellyplug-9", 0.0, None)]
+    with pytest.raises(ValueError):
+        energy.totals_of(["other-1"], plug, three, *day)
+    late = energy.refresh(plug, spark.createDataFrame([(1, "shellyplug-1", "t", 1.0, "Wh", at(1)), (2, "shellyplug-1", "t", 5.0, "Wh", at(9))], M), energy.counter_delta)
+    assert {r.device_id: r.energy_wh for r in late.collect()} == {"shellyplug-1": 4.0, "shellyplug-2": 9.0}
 
 
 def test_replayed_batch_rewrites_its_version(spark, tmp_path):

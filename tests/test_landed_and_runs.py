@@ -4,8 +4,8 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from heliogrid.functions.params import non_negative, required_text, resolve
-from heliogrid.functions.safe import date_or_null, decimal_or_null, int_or_null
+from heliogrid.functions.params import non_negative, required_text, resolve, retry_delay
+from heliogrid.functions.safe import date_at, date_or_null, decimal_or_null, int_at, int_or_null
 from heliogrid.operators import pv, runs
 from heliogrid.operators.upsert import replace_by_key
 from heliogrid.sources import forecast, landed
@@ -55,13 +55,37 @@ def test_pv_records(spark):
     rows = spark.createDataFrame([(datetime(2026, 7, 2, h), float(h), None) for h in (0, 1)], "forecast_timestamp timestamp_ntz, predicted_power_kw double, x double")
     got = pv.hourly_records(rows, 3, ["x"]).orderBy("forecast_hour").collect()
     assert [r.forecast_hour for r in got] == [0, 1] and json.loads(got[0].raw_features) == {"x": None}
-    assert pv.report(rows)[-1] == "daily energy 1.000 kWh"
+    assert list(pv.report(rows)) == ["2026-07-02 00:00  0.00 kW", "2026-07-02 01:00  1.00 kW", "daily energy 1.00 kWh"]
+    days = spark.createDataFrame([(datetime(2026, 7, d, h), 1.0) for d in (1, 2, 3) for h in range(24)], "forecast_timestamp timestamp_ntz, predicted_power_kw double")
+    assert len(list(pv.report(days))) == 73 and list(pv.report(days))[-1] == "daily energy 72.00 kWh"
+    hours = pv.pv_response(pv.hourly_records(rows, 3, ["x"])).first()
+    assert hours.run_id == 3 and [(h.hour, h.predicted_power_kw) for h in hours.hours] == [(0, 0.0), (1, 1.0)]
 
 
 def test_safe_casts(spark):
-    rows = spark.createDataFrame([("3",), ("3.9",), ("x",), ("2026-01-02T05",), (None,)], "t string")
+    rows = spark.createDataFrame([("3",), ("3.9",), ("x",), ("2026-01-02T05",), ("2026-01-02",), ("20260102",), ("2026",), ("2026-02-30",), (None,)], "t string")
     got = rows.select(int_or_null(F.col("t")), decimal_or_null(F.col("t")).cast("double"), date_or_null(F.col("t"))).collect()
-    assert [tuple(r) for r in got] == [(3, 3.0, None), (None, 3.9, None), (None, None, None), (None, None, date(2026, 1, 2)), (None, None, None)]
+    day = date(2026, 1, 2)
+    assert [tuple(r) for r in got] == [(3, 3.0, None), (None, 3.9, None), (None, None, None), (None, None, None), (None, None, day), (20260102, 20260102.0, day), (2026, 2026.0, None), (None, None, None), (None, None, None)]
+    numbers = spark.createDataFrame([(3.9, 7, True), (-3.9, None, False), (float("nan"), -1, None)], "d double, i int, b boolean")
+    assert [tuple(r) for r in numbers.select(*[int_or_null(F.col(c)) for c in "dib"]).collect()] == [(3, 7, 1), (-3, None, 0), (None, -1, None)]
+    json_ = spark.range(1).select(F.parse_json(F.lit('{"a": 3.9, "b": "3.9", "c": " 4 ", "d": true, "e": null, "f": [], "g": 2026, "h": "2026-01-02"}')).alias("v"))
+    assert list(json_.select(*[int_at(F.col("v"), f"$.{c}") for c in "abcdefx"]).first()) == [3, None, 4, 1, None, None, None]
+    assert list(json_.select(*[date_at(F.col("v"), f"$.{c}") for c in "gh"]).first()) == [None, day]
+
+
+def test_retry_delay():
+    assert retry_delay(1, 2.0, 10.0) == 2.0 and retry_delay(4, 2.0, 10.0) == 10.0
+    assert retry_delay(1, 2.0, 10.0, retry_after=9999) == 10.0 and retry_delay(1, 2.0, 10.0, retry_after=3) == 3
+    assert retry_delay(2, 2.0, 10.0, retry_after=-5) == 4.0 and retry_delay(4, 2.0, 10.0, jitter=1.0) == 12.0
+
+
+def test_day_ahead_response(spark):
+    run = spark.createDataFrame([(1, "s", date(2026, 7, 2), "ok", "e", "x", 2, 1, 1, *[1.5] * 6, "{}"), (2, "s", None, "ok", "e", "y", None, None, None, *[None] * 6, None)], "id int, school_id string, day_ahead_date date, status string, simulation_engine string, external_run_id string, requested_rooms long, successful_rooms long, failed_rooms long, " + ", ".join(f"{n} double" for n in runs.TOTALS) + ", hourly_load string")
+    rooms = spark.createDataFrame([(1, "b", "B", "failed", "no", *[None] * 8), (1, "a", "A", "success", None, *[2.0] * 8)], "run_id int, room_id string, room_label string, status string, error_text string, " + ", ".join(f"{n} double" for n in runs.ROOM))
+    got = {r.response.id: r.response for r in runs.day_ahead_response(run, rooms).collect()}
+    assert [(x.room_id, x.error, x.metrics and x.metrics.facility_kwh) for x in got[1].room_results] == [("a", None, 2.0), ("b", "no", None)]
+    assert got[1].school_totals.facility_kwh == 1.5 and got[1].summary.requested_rooms == 2 and got[2].room_results == []
 
 
 def test_settings():
