@@ -14,7 +14,9 @@ each distinct word of a task once, then 16,384 sums.
 
 Places count code points, ends are exclusive. Defined results: a null or empty text has no span;
 repeated rows give repeated results; other columns pass through (clashing result names: the result
-wins); with an empty table the models are uniform and nothing is found.
+wins); spans of equal start go in order of their kinds, those of the models last, and a token that touches a
+base span is none of theirs; a very long text is one row like any other, in memory of a few times its size; with
+an empty table the models are uniform and nothing is found.
 """
 
 from __future__ import annotations
@@ -172,6 +174,6 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, model: list[float], text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mark``; overlapping spans become one."""
-    found = scan(docs, model, text)
-    new = _replaced(F.col(f"`{text}`"), F.col("secrets"), mark)
-    return found.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    found = scan(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("t")), model, "t")
+    new = _replaced(F.col("t"), F.col("secrets"), mark)
+    return found.select(*[new.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

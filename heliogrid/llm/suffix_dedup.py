@@ -48,6 +48,8 @@ from heliogrid.llm.common import group_arrow, map_arrow, n_parts, staged
 from heliogrid.llm.hashing import U, mix, window_hashes
 
 BLOCK = 2 << 20
+#: Column that holds the columns besides the text.
+OTHERS = "__others"
 #: Hash functions that are tried before giving up.
 ATTEMPTS = 4
 #: Bytes of text whose names make up one part.
@@ -211,7 +213,7 @@ def _blocks(docs: DataFrame, text: str) -> DataFrame:
         squeeze, task, made = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId(), 0
         for batch in it:
             texts = [(t or "").encode() for t in batch.column(text).to_pylist()]
-            others = batch.drop_columns([text])
+            others = pa.RecordBatch.from_struct_array(batch.column(OTHERS))
             first = 0
             while first < len(texts):
                 last, n = first, 0
@@ -352,8 +354,10 @@ def dedup(docs: DataFrame, length: int = 200, text: str = "text", q: int = 11, w
     """
     if difference_cover(q)[0] + 2 > length or 3 * (length - difference_cover(q)[0] + 1) < length:
         raise ValueError("length must leave three tuples that cover it: choose a smaller q")
-    schema = T.StructType([f for f in docs.schema.fields if f.name != text and f.name not in RESULT])
-    docs = docs.select(*[F.col(f"`{f.name}`") for f in schema.fields], F.col(f"`{text}`").alias("__text"))
+    own = [c for c in docs.columns if c != text and c not in RESULT]
+    # as one struct, so that names with dots in them pass; one field more, as a struct can't be without any
+    packed = F.struct(*[F.col(f"`{c}`") for c in own], F.lit(0).alias(OTHERS)).alias(OTHERS)
+    docs = docs.select(packed, F.col(f"`{text}`").alias("__text"))
     blocks = _blocks(docs, "__text")
     size = blocks.agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     parts = max(n_parts(docs.sparkSession), -(-size // PART))
@@ -384,9 +388,9 @@ def dedup(docs: DataFrame, length: int = 200, text: str = "text", q: int = 11, w
                 out["kept"].append(kept.decode(errors="ignore") if with_text else None)
             kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
             cols = [pa.array(out[c], kinds.get(c, pa.string())) for c in RESULT]
-            yield pa.RecordBatch.from_arrays([*others.columns, *cols], [*others.schema.names, *RESULT])
+            packed = pa.StructArray.from_arrays(others.columns, fields=list(others.schema))
+            yield pa.RecordBatch.from_arrays([packed, *cols], [OTHERS, *RESULT])
 
     final = blocks.drop("mark").join(found, "block", "left")
-    for c, t in RESULT.items():
-        schema = schema.add(c, T._parse_datatype_string(t))
-    return map_arrow(final, last, schema)
+    schema = T.StructType([docs.schema[OTHERS], *[T.StructField(c, T._parse_datatype_string(t)) for c, t in RESULT.items()]])
+    return map_arrow(final, last, schema).select(*[F.col(f"{OTHERS}.`{c}`").alias(c) for c in own], *RESULT)

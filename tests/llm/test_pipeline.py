@@ -69,3 +69,22 @@ def test_stages_on_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_stages_on_edge_cases(spark):
+    """Null and repeated ids, null and empty texts, extra and clashing columns: no crash, clean texts stay, columns stay."""
+    prose = lambda k: " ".join(f"the word{k}_{i} of it" for i in range(12))
+    rows = [(None, prose(1)), (None, prose(1)), (None, prose(2)), (7, prose(3)), (7, prose(4)), (8, prose(3) + " end"), (9, None), (10, ""), (11, prose(5) + " password = hunter2hunter2"), (None, None)]
+    docs = spark.createDataFrame([(i, t, k, "x", True) for k, (i, t) in enumerate(rows)], "doc_id long, text string, `a.b` int, n_removed string, kept boolean")
+    columns, counts = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.staged(stage(spark, docs, SF), f"edge-{name}")
+        counts[name] = docs
+        if name != "best_fit_packing":
+            assert docs.columns == columns
+    texts = lambda name: sorted(r.text for r in counts[name].collect())
+    assert texts("quality_rules") == sorted(t for _, t in rows if t)
+    assert texts("ngram_jaccard_join") == sorted([prose(1), prose(2), prose(3), prose(4), prose(5) + " password = hunter2hunter2"])
+    assert sorted(texts("secret_scans")) == sorted([prose(1), prose(2), prose(3), prose(4), prose(5) + " [SECRET]"])
+    packed = counts["best_fit_packing"].toPandas()
+    assert len(packed) == 5 and packed.doc_id.isna().sum() == 2

@@ -273,6 +273,22 @@ def test_clean_names_are_no_secrets_at_any_size(spark):
     assert max(abs(x - y) for x, y in zip(*shift)) < 0.35
 
 
+def test_precision_and_recall_of_the_models(spark):
+    """1,200 random tokens of four alphabets and 1,200 clean names with digits, made of corpus words; trained on sf0.1."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = secret_scan.train(docs)
+    rng = np.random.default_rng(12)
+    words_of = [w for r in docs.select("text").limit(300).collect() for w in re.findall(r"\b[a-z]{4,10}\b", r.text or "")]
+    kinds = {"hex": "0123456789ABCDEF", "lower": "abcdefghijklmnopqrstuvwxyz0123456789", "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+    rows = [(k, "".join(rng.choice(list(a), rng.integers(24, 48)))) for k, a in kinds.items() for _ in range(300)]
+    join = lambda sep, n: sep.join(f"{w}{rng.integers(1, 100)}" if rng.random() < 0.4 else w for w in rng.choice(words_of, n)) + str(rng.integers(0, 10))
+    rows += [("clean", join(str(rng.choice(["_", "-", "/"])), int(rng.integers(4, 7)))) for _ in range(1200)]
+    table = spark.createDataFrame([(i, k, f"see {t} here") for i, (k, t) in enumerate(rows)], "doc_id long, kind string, text string")
+    got = secret_scan.scan(table, model).select("kind", (F.size(F.filter("secrets", lambda x: x.rank == 3)) > 0).alias("hit")).toPandas().groupby("kind").hit.mean()
+    print(got.to_dict())
+    assert got["clean"] <= 0.01 and got[["lower", "mixed", "base64"]].mean() >= 0.95
+
+
 def test_ordinary_samples_keep_clear_of_base_spans(spark):
     text = "ordinary/name1 deadbeefdeadbeefdeadbeef01 password=hunter2hunter2 xx_deadbeefdeadbeefdeadbeef01_yyyyyyyyyy"
     t = spark.createDataFrame([(text,)], "t string")
@@ -372,6 +388,23 @@ def test_token_files(spark, docs, edges, empty):
     assert token_files.round_trip(empty, path).count() == 0
 
 
+def test_token_files_in_many_parts(spark, monkeypatch):
+    """A third of the rows without a doc_id, one doc_id very often: both are split over parts, and all is in order."""
+    monkeypatch.setattr(token_files, "PART", 2_000)
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"text number {i} " + "x y z " * (i % 40)) for i in range(600)]
+    path = queries.vocabulary("word_bpe_49k.json")
+    folder = token_files.new_folder(spark, "many")
+    done = token_files.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), folder, path)
+    sizes = [r.n_docs for r in done.collect()]
+    assert sum(sizes) == 600 and len(sizes) > 10 and max(sizes) < 150
+    got = token_files.read(done, folder).toPandas().sort_values("start")
+    encode = ids_of("word_bpe_49k.json")
+    assert (got.start.to_numpy() == np.concatenate([[0], got.n_tokens.cumsum()[:-1]])).all()
+    ids = got.doc_id.fillna(-1).to_numpy()
+    assert (np.diff(ids) >= 0).all()
+    assert collections.Counter(zip(ids, got.ids_crc32)) == collections.Counter((-1 if i is None else i, zlib.crc32(encode(t).tobytes())) for i, t in rows)
+
+
 def test_ids_too_large_for_the_files_end_the_job(spark):
     docs = spark.createDataFrame([(1, "hello"), (None, "a"), (None, "b")], "doc_id long, text string")
     path = queries.vocabulary("word_bpe_49k.json")
