@@ -42,8 +42,9 @@ def stage_ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def stage_suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 200 bytes or more that occur elsewhere leave the texts; a text that is nothing else goes."""
-    out = suffix_dedup.dedup(docs)
-    return _columns(out.where("n_removed < n_bytes or n_bytes = 0").withColumn("text", F.col("kept")), docs)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    out = suffix_dedup.dedup(row).where("n_removed < n_bytes or n_bytes = 0")
+    return _columns(out.select(*[F.col("kept").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]), docs)
 
 
 def stage_secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
