@@ -81,8 +81,16 @@ def doomed(rows: DataFrame, last_id: int | None, now: datetime, keep: timedelta,
     return rows.where(old & (F.col("id") <= last_id)).orderBy("id").limit(size)
 
 
-def survivors(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    return rows.join(gone.select("id"), "id", "left_anti")
+def survivors(rows: DataFrame, last_id: int | None, now: datetime, keep: timedelta, size: int) -> DataFrame:
+    """What stays once the ``doomed`` rows are gone.
+
+    Those are all rows past retention up to some id, so that id is all that has to be known: a filter, no join.
+    """
+    top = doomed(rows.select("id", "event_time"), last_id, now, keep, size).agg(F.max("id")).first()[0]
+    if top is None:
+        return rows
+    old = F.coalesce(F.col("event_time") < F.lit(now - keep).cast("timestamp_ntz"), F.lit(False))
+    return rows.where(~(old & (F.col("id") <= top)) | F.col("id").isNull())
 
 
 def expire(rows: DataFrame, now: datetime, keep: timedelta) -> DataFrame:

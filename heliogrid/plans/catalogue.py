@@ -223,8 +223,7 @@ def retention_doomed(spark, sf_dir):
 
 @query(f"select event_id as id, ts as event_time from events where event_id not in (select id from ({_DOOMED}))")
 def retention_survivors(spark, sf_dir):
-    m = measures(spark, sf_dir)
-    return rollup.survivors(m, rollup.doomed(m, WATERMARK, NOW, timedelta(days=7), 4000)).select("id", "event_time")
+    return rollup.survivors(measures(spark, sf_dir), WATERMARK, NOW, timedelta(days=7), 4000).select("id", "event_time")
 
 
 @query("select event_id as id, ts as event_time from events where ts is null or ts >= timestamp '2024-01-17'")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,8 @@ WEATHER = {
     "precipitation": "precipitation_mm",
     "cloud_cover": "cloud_cover_percent",
 }
+#: Fixed value: source of the hourly weather.
+WEATHER_SOURCE = "open-meteo"
 UPSERT_KEYS = ["source", "latitude", "longitude", "forecast_timestamp"]
 
 
@@ -45,11 +48,22 @@ def array_rows(rows: DataFrame, arrays: dict[str, Column], position: str = "posi
 
 
 def hourly_rows(payload: DataFrame, variables: dict[str, str] = WEATHER) -> DataFrame:
-    """Rows of landed payloads: naive local forecast_timestamp, its date and hour, and the renamed variables."""
+    """Rows of landed payloads: naive local forecast_timestamp, its date and hour, and the renamed variables.
+
+    A payload without times fails, as does one in which a variable is missing or of another length.
+    """
+    some = F.when(F.coalesce(F.size("hourly.time"), F.lit(0)) > 0, F.lit(True)).otherwise(F.raise_error(F.lit("the payload holds no times")).cast("boolean"))
     arrays = {"time": F.col("hourly.time")} | {c: F.col(f"hourly.{v}") for v, c in variables.items()}
-    rows = array_rows(payload, arrays).drop("hourly", "position")
+    rows = array_rows(payload.where(some), arrays).drop("hourly", "position")
     at = F.col("time").cast("timestamp_ntz")
-    return rows.withColumns({"forecast_timestamp": at, "forecast_date": F.to_date(at), "forecast_hour": F.hour(at)}).drop("time")
+    rows = rows.withColumns({"forecast_timestamp": at, "forecast_date": F.to_date(at), "forecast_hour": F.hour(at)}).drop("time")
+    return rows.withColumn("weather_code", F.col("weather_code").cast("int")) if "weather_code" in rows.columns else rows
+
+
+def weather_rows(payload: DataFrame, request: dict[str, str], source: str = WEATHER_SOURCE, variables: dict[str, str] = WEATHER) -> DataFrame:
+    """``hourly_rows`` with their source, the values as landed and the request that they answer, the latter two as JSON."""
+    raw = F.to_json(F.struct(*[F.col(c).alias(v) for v, c in variables.items()]), {"ignoreNullFields": "false"})
+    return hourly_rows(payload, variables).withColumns({"source": F.lit(source), "raw_values": raw, "raw_request": F.lit(json.dumps(request))})
 
 
 def in_range(rows: DataFrame, start: datetime, end: datetime, at: str = "forecast_timestamp") -> DataFrame:

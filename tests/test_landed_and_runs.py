@@ -32,6 +32,19 @@ def test_landed_payload(spark, tmp_path):
     assert merged.count() == 3 and merged.where("forecast_hour = 1").first().cloud_cover_percent == 9.0
     assert forecast.nearest_future(rows, datetime(2026, 8, 8, 1, 40)).first().forecast_hour == 1
     assert landed.health(spark)
+    kept = forecast.weather_rows(spark.read.schema(forecast.schema(list(forecast.WEATHER))).json(str(tmp_path)), {"latitude": "1.5"}).orderBy("forecast_hour").collect()
+    assert kept[0].source == "open-meteo" and kept[0].weather_code == 1 and kept[1].weather_code is None and json.loads(kept[0].raw_request) == {"latitude": "1.5"}
+    assert json.loads(kept[1].raw_values) == {v: None for v in forecast.WEATHER}
+    for broken in ([], None):
+        bad = spark.createDataFrame([(1.0, 2.0, "UTC", (broken, [1.0]))], forecast.schema(["cloud_cover"]))
+        with pytest.raises(Exception, match="no times"):
+            forecast.hourly_rows(bad, {"cloud_cover": "c"}).collect()
+
+
+def test_day_ahead_answers(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"run_id": 4, "response_json": json.dumps({"status": "ok", "day_ahead_date": "2026-07-02"})}))
+    row = runs.run_columns(landed.day_ahead_answers(spark, str(tmp_path))).first()
+    assert (row.run_id, row.status, row.day_ahead_date) == (4, "ok", date(2026, 7, 2))
 
 
 def test_measurements_push_down(spark, tmp_path):
