@@ -97,6 +97,15 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.union(roots)
 
 
+def joined_components(comp: DataFrame, more: DataFrame) -> DataFrame:
+    """``comp`` (node, component) once the links ``more`` (a, b) are there too: only what they join is worked on."""
+    for c in ("a", "b"):
+        more = more.join(comp.toDF(c, f"c{c}"), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
+    small = staged(components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "joined")
+    moved = comp.join(small.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return staged(moved.union(small.join(comp.select("node"), "node", "left_anti")), "comp")
+
+
 def spanning_forest(ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the entries of a Boolean matrix that make up a spanning forest of its bipartite graph."""
     rows, cols, a, b = np.zeros(ok.shape[0], bool), np.zeros(ok.shape[1], bool), [], []

@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliogrid.llm.common import components, group_arrow, map_arrow, n_parts, spanning_forest, staged
+from heliogrid.llm.common import components, group_arrow, joined_components, map_arrow, n_parts, spanning_forest, staged
 from heliogrid.llm.hashing import U, mix, shingle_sets
 from heliogrid.llm.tokens import batches
 
@@ -59,6 +59,8 @@ PIECE = 1000
 BATCH = 1 << 19
 #: Shingles whose prefixes make up one part of the columns.
 PART = 4_000_000
+#: Shingles of whole sets that make up one part, where sets of crowded columns are counted once more.
+WHOLE = 1_000_000
 
 
 def _need(n: np.ndarray | Column):
@@ -422,7 +424,7 @@ def _class_links(classes: DataFrame) -> DataFrame:
     return staged(group_arrow(dealt, ["bundle", "i", "j"], run, "a long, b long, room long"), "classlinks")
 
 
-def _settle(crowd: DataFrame, comp: DataFrame, docs: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+def _settle(crowd: DataFrame, comp: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) that connect all sets of crowded columns as far as they are linked.
 
     With "few" and "many" counted over the whole sets of all of them: two that share a column of few sets
@@ -430,7 +432,9 @@ def _settle(crowd: DataFrame, comp: DataFrame, docs: DataFrame, sets: DataFrame,
     3 (na + nb) <= 7 |K1 and K2|. That depends on their classes and sizes, so where any two members of two
     classes link, both link with the smallest member of the other class, and these with each other.
     """
-    shared = _shared_columns(_held(crowd.select("node").distinct(), docs, sets), parts)
+    nodes = crowd.select("node", "n").distinct()
+    size = nodes.agg(F.sum("n")).first()[0]
+    shared = _shared_columns(_held(nodes.select("node"), docs, sets), -(-size // WHOLE))
     crowded = shared.where("b is null").groupBy(F.col("a").alias("node")).agg(F.first("na").alias("n"), F.sum("shared").alias("k"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1"), F.collect_list("columns").alias("parts"))
     crowded = crowded.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     crowded = staged(crowded, "members")
@@ -471,32 +475,28 @@ def link(docs: DataFrame, one_by_id: bool = True) -> DataFrame:
     # first one link a set, to the partner it shares most with; then what is still apart
     both = sums.select(F.col("b").alias("x"), "a", "b", "na", "nb", "shared", "hub").union(sums.select("a", "a", "b", "na", "nb", "shared", "hub"))
     nearest = both.groupBy("x").agg(F.max_by(F.struct("a", "b", "na", "nb"), F.struct(F.col("shared") + F.col("hub"), -F.col("a"))).alias("p")).select("p.*").distinct()
-    links = _verify(nearest, docs, sets)
-    comp = staged(components(links), "comp")
+    comp = staged(components(_verify(nearest, docs, sets)), "comp")
     likely = sums.where(_may_link(F.col("na"), F.col("nb"), F.col("shared") + F.col("hub")))
     for c in ("a", "b"):
         likely = likely.join(comp.toDF(c, f"c{c}"), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
     more = _verify(likely.where("ca <> cb").join(nearest.select("a", "b"), ["a", "b"], "left_anti"), docs, sets)
     if not more.isEmpty():
-        links = links.union(more)
-        comp = staged(components(links), "comp")
+        comp = joined_components(comp, more)
     # crowded columns: sets apart from the largest component of a column try a member of it, round by round
     crowd = _crowded(product, comp)
     for turn in range(ROUNDS):
         if crowd.isEmpty() or (more := _verify(_stars(crowd, turn), docs, sets)).isEmpty():
             break
-        links = links.union(more)
-        comp = staged(components(links), "comp")
+        comp = joined_components(comp, more)
         crowd = _crowded(product, comp)
     if not crowd.isEmpty():
-        links = links.union(_settle(crowd, comp, docs, sets, parts))
-        comp = staged(components(links), "comp")
+        comp = joined_components(comp, _settle(crowd, comp, docs, sets))
 
     if one_by_id:
         ends = sets.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
         same = staged(sets.where("n > 0").join(ends, "doc_id").select("a", F.col("node").alias("b")).distinct(), "same")
         if not same.isEmpty():
-            comp = staged(components(links.union(same)), "comp")
+            comp = joined_components(comp, same)
     first = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     named = first.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))

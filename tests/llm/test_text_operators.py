@@ -156,7 +156,7 @@ def test_join_of_texts_made_of_shared_passages(spark, monkeypatch):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_join_settles_crowded_columns_in_classes(spark, monkeypatch, seed):
     """Few sets make a column crowded and no rounds go before: classes, partners and pairs have to find all."""
-    for name, value in (("PIECE", 5), ("ALL_PAIRS", 3), ("ROUNDS", 0), ("HUBS", 1), ("PART", 3000)):
+    for name, value in (("PIECE", 5), ("ALL_PAIRS", 3), ("ROUNDS", 0), ("HUBS", 1), ("PART", 3000), ("WHOLE", 3000)):
         monkeypatch.setattr(ngram_join, name, value)
     rng = np.random.default_rng(seed)
     passages = [[f"p{k}_{i}" for i in range(rng.integers(10, 50))] for k in range(8)]
