@@ -100,8 +100,9 @@ def history(raw: DataFrame, rollups: dict[str, DataFrame], last_id: int | None,
     return rollup_history(rollups[table], raw, last_id, device_id, params, now)
 
 
-def snapshots(rows: DataFrame) -> DataFrame:
-    """(device_id, bucket, measurements: metric -> (value, unit)); of two units of a metric the last in order stays."""
+def snapshots(rows: DataFrame, metrics: list[str] | None = None) -> DataFrame:
+    """(device_id, bucket, measurements: metric -> (value, unit)), of some metrics; of two units of a metric the last in order stays."""
+    rows = rows.where(F.col("metric").isin(metrics)) if metrics else rows
     last = rows.groupBy("device_id", "bucket", "metric").agg(F.max_by(F.struct("value", "unit"), F.coalesce("unit", F.lit(""))).alias("m"))
     pairs = F.sort_array(F.collect_list(F.struct("metric", "m")))
     return last.groupBy("device_id", "bucket").agg(F.map_from_entries(pairs).alias("measurements"))

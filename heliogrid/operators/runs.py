@@ -65,6 +65,24 @@ def room_results(rows: DataFrame, response: str = "response_json", run: str = "r
     return last_by_key(out, ["run_id", "room_id"], ["position"]).drop("position")
 
 
+def record_rooms(current: DataFrame, answers: DataFrame, response: str = "response_json", run: str = "run_id") -> DataFrame:
+    """``current`` room rows with those of the answered runs replaced whole: rooms that an answer no longer names go."""
+    asked = answers.select(F.col(run).alias("run_id")).distinct()
+    return current.join(asked, "run_id", "left_anti").unionByName(room_results(answers, response, run), allowMissingColumns=True)
+
+
+#: Columns of a recorded room and the names of its defaults in a response.
+RECORDING = ["id", "run_id", "school_id", "recording_date", "room_id", "label", "physical_instance_count", "idf_file", "zone_name", "thermostat_type"]
+DEFAULTS = ["occupancy", "heating_setpoint", "cooling_setpoint", "lighting_w_per_m2", "infiltration_ach"]
+
+
+def recording_response(rows: DataFrame) -> DataFrame:
+    """One struct a recorded room: its columns, what it supports, its defaults (numbers but for the occupancy) and the item as recorded."""
+    defaults = [F.col(f"default_{d}").cast("double").alias(d) if d != "occupancy" else F.col("default_occupancy").alias(d) for d in DEFAULTS]
+    supports = F.struct(F.col("supports_cooling_setpoint").alias("cooling_setpoint"))
+    return rows.select(F.struct(*RECORDING, supports.alias("supports"), F.struct(*defaults).alias("defaults"), "raw_item", "created_at", "updated_at").alias("response"))
+
+
 def room_response(rooms: DataFrame) -> DataFrame:
     """(run_id, rooms): the rooms of each run in order of their ids; metrics only where the room succeeded, error null where there is none."""
     metrics = F.when(F.col("status") == "success", F.struct(*[F.col(m).cast("double").alias(m) for m in ROOM]))

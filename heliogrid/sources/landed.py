@@ -47,6 +47,11 @@ def weather_payloads(spark: SparkSession, path: str, variables: dict[str, str] =
     return forecast.hourly_rows(spark.read.schema(forecast.schema(list(variables))).json(path), variables)
 
 
+def pv_payloads(spark: SparkSession, path: str) -> DataFrame:
+    """Hourly rows of landed photovoltaic weather, under the names of the variables."""
+    return weather_payloads(spark, path, {v: v for v in PV_VARIABLES})
+
+
 def day_ahead_answers(spark: SparkSession, path: str) -> DataFrame:
     """Landed answers of day-ahead requests, one JSON document a line: run_id and the answer as text, for ``runs.run_columns``."""
     return spark.read.schema("run_id long, response_json string").json(path)

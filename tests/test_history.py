@@ -26,6 +26,10 @@ def test_route(size, unit, table):
     assert history.route(HistoryParams()) == "raw"
 
 
+def test_interval_text():
+    assert HistoryParams(aggregate="avg", bucket_unit="hour", bucket_size=6).interval == "6 hours" and HistoryParams(aggregate="avg", bucket_unit="day").interval == "1 day"
+
+
 def test_rollup_and_tail(spark):
     made = spark.createDataFrame([("d", "t", "C", at(10, 0), 20.0, 10.0, 30.0, 3)], R)
     raw = spark.createDataFrame([(90, "d", "t", 30.0, "C", at(10, 4)), (101, "d", "t", 50.0, "C", at(10, 4, 30))], M)

@@ -1,5 +1,6 @@
 import json
 from datetime import date, datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,7 +91,29 @@ def test_safe_casts(spark):
 def test_retry_delay():
     assert retry_delay(1, 2.0, 10.0) == 2.0 and retry_delay(4, 2.0, 10.0) == 10.0
     assert retry_delay(1, 2.0, 10.0, retry_after=9999) == 10.0 and retry_delay(1, 2.0, 10.0, retry_after=3) == 3
-    assert retry_delay(2, 2.0, 10.0, retry_after=-5) == 4.0 and retry_delay(4, 2.0, 10.0, jitter=1.0) == 12.0
+    assert retry_delay(2, 2.0, 10.0, retry_after=-5) == 4.0 and retry_delay(1, 2.0, 10.0, retry_after="soon") == 2.0 and retry_delay(1, 2.0, 10.0, retry_after="3.5") == 3.5 and retry_delay(4, 2.0, 10.0, jitter=1.0) == 12.0
+
+
+def test_rooms_of_a_run_are_replaced(spark):
+    room = lambda i, s: {"room_id": i, "status": s, "metrics": {"facility_kwh": 1}}
+    answer = lambda run, *rooms: (run, json.dumps({"room_results": list(rooms)}))
+    first = spark.createDataFrame([answer(1, room("a", "ok"), room("b", "ok")), answer(2, room("c", "ok"))], "run_id long, response_json string")
+    again = spark.createDataFrame([answer(1, room("b", "old"), room("b", "new"))], "run_id long, response_json string")
+    rooms = runs.record_rooms(runs.room_results(first), again)
+    assert sorted((r.run_id, r.room_id, r.status) for r in rooms.collect()) == [(1, "b", "new"), (2, "c", "ok")]
+
+
+def test_recording_response(spark):
+    kinds = ["id int", "run_id int", "school_id string", "recording_date date", "room_id string", "label string", "physical_instance_count int", "idf_file string", "zone_name string", "thermostat_type string", "supports_cooling_setpoint boolean", "default_occupancy string", *[f"default_{d} decimal(6,2)" for d in runs.DEFAULTS[1:]], "raw_item string", "created_at timestamp_ntz", "updated_at timestamp_ntz"]
+    row = (1, 2, "s", date(2026, 7, 2), "a", "A", 3, "f", "z", "t", True, "o", Decimal("20.50"), None, None, None, "{}", datetime(2026, 7, 2), None)
+    got = runs.recording_response(spark.createDataFrame([row], ", ".join(kinds))).first().response
+    assert got.supports.cooling_setpoint and got.defaults.heating_setpoint == 20.5 and got.defaults.cooling_setpoint is None and got.defaults.occupancy == "o"
+
+
+def test_pv_payload(spark, tmp_path):
+    body = {"latitude": 1.5, "longitude": 2.5, "timezone": "UTC", "hourly": {"time": ["2026-08-08T00:00"]} | {v: [1.0] for v in landed.PV_VARIABLES}}
+    (tmp_path / "a.json").write_text(json.dumps(body))
+    assert set(landed.PV_VARIABLES) <= set(landed.pv_payloads(spark, str(tmp_path)).columns)
 
 
 def test_day_ahead_response(spark):
