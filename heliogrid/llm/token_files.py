@@ -37,6 +37,8 @@ from heliogrid.llm.common import map_arrow, n_parts, new_folder, staged
 from heliogrid.llm.tokens import batches, encoder
 
 NULL_ID = -(2**63)
+#: Characters of text that are encoded at a time.
+BATCH = 2 << 20
 #: Bytes of ids in one part.
 PART = 64 << 20
 
@@ -85,7 +87,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, vocabulary:
             keys, tie = batch.column("doc_id").fill_null(NULL_ID).to_numpy(), batch.column("tie").to_numpy()
             low, high = np.searchsorted(bounds, keys, "left"), np.searchsorted(bounds, keys, "right")
             part = low + tie % (high - low + 1)
-            for first, texts in batches(batch.column("text").to_pylist()):
+            for first, texts in batches(batch.column("text").to_pylist(), BATCH):
                 got = enc.encode_all(texts)
                 here = slice(first, first + len(got))
                 sizes = np.array(list(map(len, got))) // 4
