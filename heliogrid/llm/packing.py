@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from heliogrid.llm.common import group_arrow, map_arrow, staged
 from heliogrid.llm.tokens import batches, encoder
 
+#: Characters of text that are encoded at a time.
+BATCH = 1 << 20
 SHARD_TOKENS = 8_000_000
 SHARD_ROWS = 250_000
 
@@ -40,7 +42,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) ->
         enc = encoder(path, end_id, True)
         for batch in it:
             ids = batch.column("doc_id")
-            for first, texts in batches(batch.column("text").to_pylist()):
+            for first, texts in batches(batch.column("text").to_pylist(), BATCH):
                 rows: list[tuple[int, int, int, int, int]] = []
                 for k, b in enumerate(enc.encode_all(texts), first):
                     n = len(b) // 4
@@ -51,6 +53,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) ->
                     [ids.take(pa.array(a[:, 0])), pa.array(a[:, 1].astype(np.int32)), pa.array(a[:, 2]), pa.array(a[:, 3]), pa.array(a[:, 4])],
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        enc.rest()
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -12,14 +12,17 @@ import re
 from array import array
 from collections.abc import Iterable
 from functools import cache
+from itertools import islice
 
 import numpy as np
 
 #: Code points that libraries class differently as white space, and all white space but the blank and the line end.
 _ODD = [9, 11, 12, 13, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]
 _ODD_SET = re.compile("[" + "".join(map(chr, _ODD)) + "]")
-#: Entries kept by one Python worker; about 200 bytes each.
+#: Entries kept by one Python worker during a task; about 200 bytes each.
 MEMO = 800_000
+#: Entries that stay for its next task where memory counts more than time.
+RESTING = 150_000
 
 
 class UnitEncoder:
@@ -109,6 +112,12 @@ class UnitEncoder:
         return out
 
 
+    def rest(self) -> None:
+        """Keep the units met first, the frequent ones, so that the worker doesn't hold the others through tasks of other kinds."""
+        if len(self.memo) > RESTING:
+            self.memo = dict(islice(self.memo.items(), RESTING))
+
+
 @cache
 def encoder(path: str, end_id: int, blank_joins: bool) -> UnitEncoder:
     """One encoder, with its memo, per Python worker."""
