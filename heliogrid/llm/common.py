@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,7 +46,32 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for made in _recording:
+        made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._path = path
+    return out
+
+
+#: Lists that note the paths of staged tables while an operator works.
+_recording: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """Notes what is staged inside; calling it with the tables that are still read deletes all others."""
+    made: list[str] = []
+    _recording.append(made)
+
+    def keep(*tables: DataFrame) -> None:
+        for path in set(made) - {t._path for t in tables}:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    try:
+        yield keep
+    finally:
+        _recording.remove(made)
 
 
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:

@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliogrid.llm.common import components, group_arrow, joined_components, map_arrow, n_parts, spanning_forest, staged
+from heliogrid.llm.common import components, group_arrow, joined_components, map_arrow, n_parts, scratch, spanning_forest, staged
 from heliogrid.llm.hashing import U, mix, shingle_sets
 from heliogrid.llm.tokens import batches
 
@@ -459,12 +459,8 @@ def _settle(crowd: DataFrame, comp: DataFrame, docs: DataFrame, sets: DataFrame)
     return staged(found.union(met.where("room is null").select("a", "b")).union(attached[0]).union(attached[1]), "settled")
 
 
-def link(docs: DataFrame, one_by_id: bool = True) -> DataFrame:
-    """doc_id, key (hash of the text), n_shingles, component (a number) and component_id of every row of ``docs`` (doc_id, text).
-
-    With ``one_by_id`` rows that share a doc_id are one document, else documents of their own.
-    """
-    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("key"))
+def _linked(docs: DataFrame, one_by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """The counted sets, and (node, component) of all that are linked."""
     counted = _count(docs)
     sets = counted.where("slice is null").select("doc_id", "key", "n", "node")
     parts = max(n_parts(docs.sparkSession), -(-(sets.agg(F.sum("n")).first()[0] or 0) // PART))
@@ -497,6 +493,19 @@ def link(docs: DataFrame, one_by_id: bool = True) -> DataFrame:
         same = staged(sets.where("n > 0").join(ends, "doc_id").select("a", F.col("node").alias("b")).distinct(), "same")
         if not same.isEmpty():
             comp = joined_components(comp, same)
+    return counted, comp
+
+
+def link(docs: DataFrame, one_by_id: bool = True) -> DataFrame:
+    """doc_id, key (hash of the text), n_shingles, component (a number) and component_id of every row of ``docs`` (doc_id, text).
+
+    With ``one_by_id`` rows that share a doc_id are one document, else documents of their own.
+    """
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("key"))
+    with scratch(docs.sparkSession) as keep:
+        counted, comp = _linked(docs, one_by_id)
+        keep(counted, comp)  # the result reads these two only
+    sets = counted.where("slice is null").select("doc_id", "key", "n", "node")
     first = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     named = first.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
