@@ -169,11 +169,17 @@ def test_join_settles_crowded_columns_in_classes(spark, monkeypatch, seed):
         rows.append((i, " ".join(w)))
     seen = []
     settle = ngram_join._settle
-    monkeypatch.setattr(ngram_join, "_settle", lambda *x: seen.append(settle(*x)) or seen[-1])
+
+    def counted(*x):
+        out = settle(*x)
+        seen.append(out.count())  # its tables are gone once the join is done
+        return out
+
+    monkeypatch.setattr(ngram_join, "_settle", counted)
     got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")
     comp, sets = brute_components(rows)
     assert comp == got.component_id.to_dict() and len(set(comp.values())) > 5
-    assert seen and 0 < seen[0].count() <= 12 * len(rows)
+    assert seen and 0 < seen[0] <= 12 * len(rows)
 
 
 def test_rows_of_one_doc_id_or_none(spark):
