@@ -38,9 +38,9 @@ LONGEST = 4
 #: A candidate goes if a longer phrase around it has this share of its occurrences (in hundredths).
 CONTAINED = 80
 SCALE = 2_000_000
-BLOCK = 32 << 20
+BLOCK = 12 << 20
 #: Rows that leave a task at once.
-ROWS = 1 << 18
+ROWS = 1 << 17
 #: A-Z to lower case, piece breaks to line feeds, tabs to blanks; bytes of other characters stay.
 FOLD = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r\t", bytes(range(97, 123)) + b"\n" * 10 + b" ")
 BLOCKS = "block long, lang string, ids binary, words array<string>, counts array<int>"
