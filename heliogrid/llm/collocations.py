@@ -214,7 +214,8 @@ def _renamed(blocks: DataFrame, names: DataFrame, of_places: bool) -> DataFrame:
                 keys, at = _keys(old)
                 fresh, k = np.zeros(len(old), np.uint32), np.minimum(np.searchsorted(key, keys), len(key) - 1)
                 fresh[at] = np.where(key[k] == keys, new[k], 0)
-            out.append(fresh.tobytes())
+            # one break stands for any number, so what is left of a block shrinks with its phrases
+            out.append(fresh[(fresh > 0) | (np.concatenate([[1], fresh[:-1]]) > 0)].tobytes())
         block = left.column("block").slice(0, len(out))
         return pa.table({"block": block, "ids": pa.array(out, pa.binary())})
 
