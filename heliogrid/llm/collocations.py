@@ -41,11 +41,13 @@ SCALE = 2_000_000
 BLOCK = 12 << 20
 #: Rows that leave a task at once.
 ROWS = 1 << 17
+#: Members of frequent runs that a task holds before they leave it, packed by block.
+HELD = 1 << 20
 #: A-Z to lower case, piece breaks to line feeds, tabs to blanks; bytes of other characters stay.
 FOLD = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r\t", bytes(range(97, 123)) + b"\n" * 10 + b" ")
 BLOCKS = "block long, lang string, ids binary, words array<string>, counts array<int>"
 PARTIAL = "key long, block long, n int"
-RUNS = "part int, at long, key long, block long, a long"
+RUNS = "part int, at long, key long, a long, block long, keys binary, places binary"
 IDS = "block long, ids binary"
 
 
@@ -141,12 +143,26 @@ def _count_runs(least: int):
         held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
         open_key, open_sum, open_at = 0, -1, -1  # a run that has passed ``least`` and may go on; none if the sum is -1
 
-        def rows(at, keys, blocks, sums):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(keys), part, np.int32)), pa.array(at), pa.array(keys), blocks if isinstance(blocks, pa.Array) else pa.array(blocks), sums if isinstance(sums, pa.Array) else pa.array(sums)], names=["part", "at", "key", "block", "a"]
-            )
+        members: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        n_held = 0
+
+        def batch_of(at, key, a, block, keys, places):
+            n = max(len(at), len(block))
+            filled = [pa.array(x, k) if len(x) else pa.nulls(n, k) for x, k in zip((at, key, a, block, keys, places), (*[pa.int64()] * 4, pa.binary(), pa.binary()), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), *filled], names=[f.split()[0] for f in RUNS.split(", ")])
+
+        def packed():
+            """The members held so far, a row a block."""
+            nonlocal n_held
+            keys, blocks, places = (np.concatenate(x) for x in zip(*members, strict=True))
+            members.clear()
+            n_held = 0
+            order = np.argsort(blocks, kind="stable")
+            keys, blocks, places = keys[order], blocks[order], places[order]
+            starts = np.flatnonzero(np.diff(blocks, prepend=blocks[:1] - 1))
+            cut = lambda x: [y.tobytes() for y in np.split(x, starts[1:])]
+            return batch_of((), (), (), blocks[starts], cut(keys), cut(places))
 
-        none = lambda n: pa.nulls(n, pa.int64())
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -161,14 +177,18 @@ def _count_runs(least: int):
                     sums[0] += open_sum
                     at[0] = open_at
                 else:
-                    yield rows(np.array([open_at]), np.array([open_key]), none(1), np.array([open_sum]))
+                    yield batch_of([open_at], [open_key], [open_sum], (), (), ())
                 open_sum = -1
             passed = sums >= least
             named = passed & (at < 0)
             at[named] = fresh + np.arange(named.sum())
             fresh += int(named.sum())
             member = np.repeat(passed, lengths)
-            yield rows(np.repeat(at, lengths)[member], keys[member], blocks[member], none(int(member.sum())))
+            if member.any():
+                members.append((keys[member], blocks[member], np.repeat(at, lengths)[member]))
+                n_held += int(member.sum())
+                if n_held >= HELD:
+                    yield packed()
             if passed[-1]:
                 open_key, open_sum, open_at = int(heads[-1]), int(sums[-1]), int(at[-1])
                 held = tuple(x[:0] for x in (keys, blocks, n))
@@ -176,37 +196,53 @@ def _count_runs(least: int):
                 held = tuple(x[starts[-1] :] for x in (keys, blocks, n))
             closed = passed.copy()
             closed[-1] = False
-            yield rows(at[closed], heads[closed], none(int(closed.sum())), sums[closed])
+            if closed.any():
+                yield batch_of(at[closed], heads[closed], sums[closed], (), (), ())
+        if members:
+            yield packed()
         if open_sum >= 0:
-            yield rows(np.array([open_at]), np.array([open_key]), none(1), np.array([open_sum]))
+            yield batch_of([open_at], [open_key], [open_sum], (), (), ())
 
     return run
 
 
-def _numbered(rows: DataFrame, heads: DataFrame) -> DataFrame:
-    """``rows`` (part, at, ...) with dense 32-bit ``id`` from 1; ``heads`` has one row an id. One number a partition comes to the driver."""
-    bases, last = [], 0
-    for part, n in sorted((r["part"], r["n"]) for r in heads.groupBy("part").agg(F.count("*").alias("n")).collect()):
-        bases.append((part, last))
-        last += n
-    if last >= 1 << 32:
-        raise OverflowError(f"{last} ids of one length; a key holds two of 32 bits")
-    start = rows.sparkSession.createDataFrame(bases, "part int, base long")
-    return rows.join(start, "part").withColumn("id", F.col("base") + F.col("at") + 1).drop("part", "at", "base")
+def _bases(heads: DataFrame) -> list[int]:
+    """The number of ids before each partition's first, where ``heads`` has one row an id. One number a partition comes to the driver."""
+    sizes = {r["part"]: r["n"] for r in heads.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    out = [0]
+    for part in range(max(sizes, default=0)):
+        out.append(out[-1] + sizes.get(part, 0))
+    if out[-1] + sizes.get(len(out) - 1, 0) >= 1 << 32:
+        raise OverflowError("a key holds two ids of 32 bits, and one length has more phrases")
+    return out
 
 
-def _renamed(blocks: DataFrame, names: DataFrame, of_places: bool) -> DataFrame:
-    """Blocks in the ids of ``names`` (block, key, id): of places in the block's own list, or of keys; others become breaks."""
+def _numbered(heads: DataFrame, bases: list[int]) -> DataFrame:
+    """``heads`` (part, at, ...) with dense 32-bit ``id`` from 1."""
+    table = F.split(F.lit(",".join(map(str, bases))), ",").cast("array<long>")  # a literal once planned
+    return heads.withColumn("id", F.get(table, F.col("part")) + F.col("at") + 1).drop("part", "at")
+
+
+def _renamed(blocks: DataFrame, names: DataFrame, bases: list[int] | None = None) -> DataFrame:
+    """Blocks in the ids of ``names``; whatever has none becomes a break.
+
+    ``names`` are (block, key, id) of places in the block's own list; with ``bases``, packed members of runs, whose keys are pairs of ids.
+    """
     ship_package(blocks.sparkSession)
 
     def run(left, right):
-        key, new = (right.column(c).to_numpy() for c in ("key", "id"))
+        if bases is None:
+            key, new = (right.column(c).to_numpy() for c in ("key", "id"))
+        else:
+            get = lambda c: [np.frombuffer(x.as_buffer(), np.int64) for x in right.column(c)]
+            first = [np.array([], np.int64), *(bases[p] + 1 + x for p, x in zip(right.column("part").to_pylist(), get("places"), strict=True))]
+            key, new = np.concatenate([first[0], *get("keys")]), np.concatenate(first)
         order = np.argsort(key)
         key, new = key[order], new[order].astype(np.uint32)
         out = []
         for ids in left.column("ids").combine_chunks() if len(key) else []:
             old = np.frombuffer(ids.as_buffer(), np.uint32)
-            if of_places:
+            if bases is None:
                 table = np.zeros(int(old.max()) + 1, np.uint32)
                 table[key] = new
                 fresh = table[old]
@@ -219,7 +255,8 @@ def _renamed(blocks: DataFrame, names: DataFrame, of_places: bool) -> DataFrame:
         block = left.column("block").slice(0, len(out))
         return pa.table({"block": block, "ids": pa.array(out, pa.binary())})
 
-    return blocks.select("block", "ids").groupBy("block").cogroup(names.toDF(*names.columns).select(F.col("block").alias("of"), "key", "id").groupBy("of")).applyInArrow(run, IDS)
+    names = names.toDF(*names.columns).withColumnRenamed("block", "of")
+    return blocks.select("block", "ids").groupBy("block").cogroup(names.groupBy("of")).applyInArrow(run, IDS)
 
 
 def _ranked(rows: DataFrame, lang: str, *order: Column) -> DataFrame:
@@ -249,9 +286,9 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
         place = F.monotonically_increasing_id()
         words = lists.groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
         words = staged(words.withColumns({"part": F.shiftright(place, 33).cast("int"), "at": place.bitwiseAND(F.lit((1 << 33) - 1))}), "words")
-        words = staged(_numbered(words, words), "words")
+        words = staged(_numbered(words, _bases(words)), "words")
         names = lists.join(words, ["lang", "word"]).select("block", "key", "id")
-        ids = staged(_renamed(blocks, names, True), "ids")
+        ids = staged(_renamed(blocks, names), "ids")
         one = F.array("a")
         levels = [staged(words.select("lang", F.lit(1).alias("n_words"), "id", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), F.col("word").alias("phrase"), "a", one.alias("pre"), one.alias("suf"), F.col("word").alias("last")), "level")]
         keep(sizes, ids, *levels)
@@ -259,13 +296,14 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
             partial = map_arrow(ids, _count_block, PARTIAL).repartitionByRange(parts, "key").sortWithinPartitions("key")
             runs = staged(map_arrow(partial, _count_runs(least), RUNS), "runs")
             heads = runs.where("block is null").select("part", "at", "key", "a")
-            level = _numbered(heads, heads).select("id", "a", F.shiftrightunsigned("key", 32).alias("left"), F.col("key").bitwiseAND(F.lit((1 << 32) - 1)).alias("right"))
+            bases = _bases(heads)
+            level = _numbered(heads, bases).select("id", "a", F.shiftrightunsigned("key", 32).alias("left"), F.col("key").bitwiseAND(F.lit((1 << 32) - 1)).alias("right"))
             first = levels[-1].select(F.col("id").alias("left"), "lang", "phrase", "pre")
             second = levels[-1].select(F.col("id").alias("right"), "suf", "last")
             level = level.join(first, "left").join(second, "right")
             levels.append(staged(level.select("lang", F.lit(n).alias("n_words"), "id", "left", "right", F.concat_ws(" ", "phrase", "last").alias("phrase"), "a", F.array_append("pre", F.col("a")).alias("pre"), F.array_append("suf", F.col("a")).alias("suf"), "last"), "level"))
             if n < longest:
-                ids = staged(_renamed(ids, _numbered(runs.where("block is not null"), heads), False), "ids")
+                ids = staged(_renamed(ids, runs.where("block is not null").select("block", "part", "keys", "places"), bases), "ids")
             keep(sizes, ids, *levels)
         keep(sizes, *levels)
     out = levels[0]
