@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heliogrid.functions.rounding import round_exact
 from heliogrid.functions.timebucket import time_bucket, working_flags
 from heliogrid.operators.upsert import replace_by_key
 
@@ -50,7 +51,7 @@ def counter_delta(rows: DataFrame, stride: int = 3600) -> DataFrame:
         .groupBy("device_id", time_bucket(F.col("event_time"), stride).alias("window_start"))
         .agg((F.max_by("value", at) - F.min_by("value", at)).alias("delta"))
     )
-    return with_window(out.where("delta >= 0").select("device_id", "window_start", F.round("delta", 3).alias("energy_wh")), stride)
+    return with_window(out.where("delta >= 0").select("device_id", "window_start", round_exact(F.col("delta")).alias("energy_wh")), stride)
 
 
 def phase_energy(rows: DataFrame, phases: dict[str, str] = PHASES, stride: int = 3600) -> DataFrame:
@@ -68,7 +69,7 @@ def phase_energy(rows: DataFrame, phases: dict[str, str] = PHASES, stride: int =
     parts = {f"{p}_part": (F.col(p) + F.lag(p).over(w)) / 2 * hours for p in phases}
     sums = wide.withColumns(parts).groupBy("device_id", "window_start").agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(f"{p}_part"), F.lit(0.0)).alias(p) for p in phases])
     total = sum((F.col(p) for p in phases), F.lit(0.0))
-    out = sums.where("n >= 2").select("device_id", "window_start", *[F.round(p, 3).alias(f"{p}_energy_wh") for p in phases], F.round(total, 3).alias("total_energy_wh"))
+    out = sums.where("n >= 2").select("device_id", "window_start", *[round_exact(F.col(p)).alias(f"{p}_energy_wh") for p in phases], round_exact(total).alias("total_energy_wh"))
     return with_window(out, stride)
 
 
@@ -100,13 +101,50 @@ WINDOW = ["device_id", "window_start", "window_end"]
 PHASE_COLUMNS = ["a_energy_wh", "b_energy_wh", "c_energy_wh", "total_energy_wh"]
 
 
-def refresh(current: DataFrame, rows: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def refresh(current: DataFrame, rows: DataFrame, compute: Callable[[DataFrame], DataFrame], now: datetime | None = None) -> DataFrame:
     """Stored windows with those that ``rows`` fill computed anew by ``compute`` and put in place of the old ones.
 
     ``rows`` are all samples of the windows in question, late ones included. A window that can't be computed any
-    more (a reset counter, a single time) keeps its stored value.
+    more (a reset counter, a single time) keeps its stored value. With ``now`` rows have a created_at: a new window's
+    is ``now``, one that is replaced keeps its own.
     """
-    return replace_by_key(current, compute(rows), WINDOW)
+    fresh = compute(rows)
+    if now is not None:
+        born = current.select(*[F.col(k).alias(f"_{k}") for k in WINDOW], F.col("created_at").alias("_born"))
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in WINDOW]
+        fresh = fresh.join(born, same, "left").withColumn("created_at", F.coalesce("_born", F.lit(now).cast("timestamp_ntz"))).select(*fresh.columns, "created_at")
+    return replace_by_key(current, fresh, WINDOW)
+
+
+def touched(fresh: DataFrame, stride: int = 3600) -> DataFrame:
+    """(device_id, window_start, day) of the windows that new or late samples fall into."""
+    start = time_bucket(F.col("event_time"), stride)
+    rows = fresh.where("event_time is not null").select("device_id", start.alias("window_start"))
+    return rows.distinct().withColumn("day", F.to_date("window_start"))
+
+
+def recompute(samples: DataFrame, fresh: DataFrame, compute: Callable[[DataFrame], DataFrame], stride: int = 3600, day: str | None = None) -> DataFrame:
+    """The windows that ``fresh`` samples touch, computed from all ``samples`` (which hold the fresh ones), and no others.
+
+    Of the samples only those between the first and the last touched window are read, and where they are stored by ``day`` only the
+    touched days: both reach the scan as literals. Windows longer than a day need samples without ``day``. The semi-join is on
+    (device, window), so a device with very many samples is split by its windows.
+    """
+    windows = touched(fresh, stride)
+    first, last, days = windows.agg(F.min("window_start"), F.max("window_start"), F.collect_set("day")).first()
+    if first is None:
+        return compute(samples.limit(0))
+    end = last + timedelta(seconds=stride)
+    some = samples.where((F.col("event_time") >= F.lit(first).cast("timestamp_ntz")) & (F.col("event_time") < F.lit(end).cast("timestamp_ntz")))
+    if day is not None:
+        some = some.where(F.col(day).isin(days))
+    start = time_bucket(F.col("event_time"), stride)
+    return compute(some.withColumn("window_start", start).join(windows.drop("day"), ["device_id", "window_start"], "left_semi").drop("window_start"))
+
+
+def refresh_touched(current: DataFrame, samples: DataFrame, fresh: DataFrame, compute: Callable[[DataFrame], DataFrame], stride: int = 3600, day: str | None = None, now: datetime | None = None) -> DataFrame:
+    """``refresh`` for the windows that ``fresh`` samples touch; all other stored windows stay as they are."""
+    return refresh(current, samples, lambda rows: recompute(rows, fresh, compute, stride, day), now)
 
 
 def listing_of(ids: list[str], plug: DataFrame, three_phase: DataFrame, start: datetime, end: datetime, working_only: bool = False) -> DataFrame:

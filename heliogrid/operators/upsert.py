@@ -18,16 +18,21 @@ def replace_by_key(current: DataFrame, batch: DataFrame, keys: list[str]) -> Dat
     return current.join(batch, condition, "left_anti").unionByName(batch, allowMissingColumns=True)
 
 
-def merge_registry(current: DataFrame, batch: DataFrame, keys: list[str], overwrite: list[str], coalesce: list[str], order: str) -> DataFrame:
+def merge_registry(current: DataFrame, batch: DataFrame, keys: list[str], overwrite: list[str], coalesce: list[str], order: list[str]) -> DataFrame:
     """Registry upsert: of a key, ``overwrite`` columns take the last row's value even if null,
-    ``coalesce`` columns the last value that isn't null."""
-    rows = current.withColumn("_new", F.lit(0)).withColumn(order, F.lit(None).cast(batch.schema[order].dataType)) if order not in current.columns else current.withColumn("_new", F.lit(0))
-    rows = rows.unionByName(batch.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    at = F.struct("_new", order)
-    return rows.groupBy(*keys).agg(
-        *[F.max_by(c, at).alias(c) for c in overwrite],
-        *[F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), at)).alias(c) for c in coalesce],
-    )
+    ``coalesce`` columns the last value that isn't null.
+
+    The last row is that of greatest ``order``, whichever batch it came with. The registry keeps it, and for each coalesced column
+    the ``<column>_<order>`` of its value, so batches may come late and in any order.
+    """
+    own = lambda c: [f"{c}_{o}" for o in order]
+    there = lambda c: [F.when(F.col(c).isNotNull(), F.col(o)).alias(x) for o, x in zip(order, own(c), strict=True)]
+    rows = batch.select(*keys, *overwrite, *coalesce, *order, *[x for c in coalesce for x in there(c)])
+    rows = current.select(*rows.columns).unionByName(rows)
+    last = F.max_by(F.struct(*overwrite, *order), F.struct(*order)).alias("_last")
+    named = [F.max_by(F.struct(c, *own(c)), F.when(F.col(c).isNotNull(), F.struct(*own(c)))).alias(f"_{c}") for c in coalesce]
+    out = rows.groupBy(*keys).agg(last, *named)
+    return out.select(*keys, *[F.col(f"_last.{c}") for c in overwrite], *[F.col(f"_{c}.{c}") for c in coalesce], *[F.col(f"_last.{o}") for o in order], *[F.col(f"_{c}.{x}") for c in coalesce for x in own(c)])
 
 
 def cascade(children: DataFrame, removed_parents: DataFrame, key: str, parent_key: str = "id") -> DataFrame:

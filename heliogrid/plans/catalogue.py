@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliogrid.functions.params import HistoryParams
+from heliogrid.functions.rounding import round_exact
 from heliogrid.functions.safe import date_at, int_at, int_or_null, number_at, percent
 from heliogrid.functions.timebucket import time_bucket, truncate_hour, working_flags
-from heliogrid.operators import energy, fleet, history, pv, rollup, rollup_job, runs
+from heliogrid.operators import energy, fleet, history, pv, retention, rollup, rollup_job, runs
 from heliogrid.operators.upsert import cascade, last_by_key, merge_registry, replace_by_key
-from heliogrid.sources import forecast, messages
-from heliogrid.streaming import ingest
+from heliogrid.sources import forecast, landed, message_log, messages
+from heliogrid.streaming import ingest, liveness
 
 Query = Callable[[SparkSession, str], DataFrame]
 NOW = datetime(2024, 1, 31)
@@ -237,8 +238,13 @@ def _flags(at: str) -> str:
     return f"cast({day} as smallint) as is_working_day, cast({day} and hour({local}) >= 8 and hour({local}) < 14 as smallint) as is_working_hour"
 
 
+def _exact(x: str) -> str:
+    """Rounded to 3 digits by the binary value: what a number prints as."""
+    return f"printf('%.3f', {x})::double"
+
+
 def _counter_sql(interval: str) -> str:
-    return f"""select device_id, window_start, round(delta, 3) as energy_wh, window_start + interval '{interval}' as window_end, {_flags("window_start")} from
+    return f"""select device_id, window_start, {_exact('delta')} as energy_wh, window_start + interval '{interval}' as window_end, {_flags("window_start")} from
 (select device_id, {_bucket(interval)} as window_start, arg_max(value, (event_time, id)) - arg_min(value, (event_time, id)) as delta from m where value is not null group by 1, 2) where delta >= 0"""
 
 
@@ -254,8 +260,8 @@ def _phase_sql(interval: str) -> str:
     wide = ", ".join(f"arg_max(value, id) filter (where metric = '{m}') as {p}" for p, m in PHASES.items())
     parts = ", ".join(f"({p} + lag({p}) over w) / 2 * (date_diff('microsecond', lag(event_time) over w, event_time) / 3.6e9) as {p}_part" for p in PHASES)
     sums = ", ".join(f"coalesce(sum({p}_part), 0) as {p}" for p in PHASES)
-    out = ", ".join(f"round({p}, 3) as {p}_energy_wh" for p in PHASES)
-    return f"""select device_id, window_start, {out}, round(a + b + c, 3) as total_energy_wh, window_start + interval '{interval}' as window_end, {_flags("window_start")} from
+    out = ", ".join(f"{_exact(p)} as {p}_energy_wh" for p in PHASES)
+    return f"""select device_id, window_start, {out}, {_exact("a + b + c")} as total_energy_wh, window_start + interval '{interval}' as window_end, {_flags("window_start")} from
 (select device_id, window_start, count(*) as n, {sums} from (select device_id, window_start, {parts} from
 (select device_id, {_bucket(interval)} as window_start, event_time, {wide} from m where metric in ('click', 'view', 'purchase') group by 1, 2, 3)
 window w as (partition by device_id, window_start order by event_time)) group by 1, 2) where n >= 2"""
@@ -386,35 +392,82 @@ def energy_refresh_phases(spark, sf_dir):
     return energy.refresh(compute(m.where("metric = 'click'")), m, compute)
 
 
+_LATE = "id % 3 = 0 and device_id <> '5'"
+
+
+def _stored_samples(spark, sf_dir) -> DataFrame:
+    """Samples as they are stored by day, the late ones among them."""
+    folder = work_folder(spark, "samples")
+    retention.store(measures(spark, sf_dir), folder)
+    return retention.stored(spark, folder)
+
+
+@query(f"with m as ({MEASURES}) {_counter_sql('1 hour')}")
+def energy_incremental_plug(spark, sf_dir):
+    """Windows stored without the late samples, then only those that late samples fall into computed anew: what all samples give at once."""
+    m = _stored_samples(spark, sf_dir)
+    old = energy.counter_delta(m.where(f"not ({_LATE})"))
+    dropped = energy.recompute(m, m.where(_LATE), energy.counter_delta, day="day").select(*energy.WINDOW)
+    # a window that late samples show to be a reset goes, which `refresh_touched` would keep
+    touched = energy.touched(m.where(_LATE)).select("device_id", "window_start").join(dropped, ["device_id", "window_start"], "left_anti")
+    return energy.refresh_touched(old, m, m.where(_LATE), energy.counter_delta, day="day").join(touched, ["device_id", "window_start"], "left_anti")
+
+
+@query(f"with m as ({MEASURES}) {_phase_sql('1 hour')}")
+def energy_incremental_phases(spark, sf_dir):
+    """The same for three phases, whose windows only ever gain times."""
+    m, compute = _stored_samples(spark, sf_dir), lambda rows: energy.phase_energy(rows, PHASES)
+    return energy.refresh_touched(compute(m.where(f"not ({_LATE})")), m, m.where(_LATE), compute, day="day")
+
+
+@query("""select event_id, printf('%.3f', value)::double as three, printf('%.1f', value * 8)::double as one, printf('%.3f', (event_id * 2 + 1) / 16)::double as ties, printf('%.0f', (event_id + 0.5)::double)::double as whole from events""")
+def exact_rounding(spark, sf_dir):
+    """Doubles rounded by their binary value, ties to even: as they print."""
+    e = load(spark, sf_dir, "events")
+    return e.select("event_id", round_exact(F.col("value")).alias("three"), round_exact(F.col("value") * 8, 1).alias("one"), round_exact((F.col("event_id") * 2 + 1) / F.lit(16.0)).alias("ties"), round_exact(F.col("event_id") + 0.5, 0).alias("whole"))
+
+
+@query(f"select event_id as id, ts as event_time from events where event_id not in (select id from ({_DOOMED})) and ts is not null")
+def retention_stored(spark, sf_dir):
+    """The bounded delete on a table stored by day, whose untouched days stay as they are."""
+    folder = work_folder(spark, "retention")
+    retention.store(measures(spark, sf_dir).where("event_time is not null"), folder)
+    retention.purge(spark, folder, NOW, timedelta(days=7), WATERMARK, 4000)
+    return retention.stored(spark, folder).select("id", "event_time")
+
+
 def _as_messages(spark, sf_dir, topic: str, payload) -> DataFrame:
     e = load(spark, sf_dir, "events")
-    return e.select(F.expr(topic).alias("topic"), F.to_json(payload).alias("payload"), F.timestamp_add("HOUR", F.lit(1), F.col("ts").cast("timestamp_ntz")).alias("ingestion_time"))
+    return e.select("event_id", F.expr(topic).alias("topic"), F.to_json(payload).alias("payload"), F.timestamp_add("HOUR", F.lit(1), F.col("ts").cast("timestamp_ntz")).alias("ingestion_time"))
 
 
-def _meter_rows(spark, sf_dir) -> DataFrame:
+def _meter_source(spark, sf_dir) -> DataFrame:
     """Events as status messages: counters with a minute, or phases with text in one of them; some on other topics."""
     seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
     third, fifth = F.col("event_id") % 3 == 0, F.col("event_id") % 5 == 0
     counter = F.when(~third, F.struct(F.when(fifth, F.lit(1.5)).otherwise(F.col("event_id").cast("double")).alias("total"), seconds.alias("minute_ts")))
     payload = F.struct(F.when(~third, F.col("value")).alias("apower"), counter.alias("aenergy"), F.when(third, F.col("value")).alias("total_act_power"), F.when(third, F.lit("7.5")).alias("a_act_power"), F.when(third, F.lit(True)).alias("b_act_power"))
-    return messages.meter_messages(_as_messages(spark, sf_dir, "user_id || case when event_id % 7 = 0 then '/online' else '/status/x:0' end", payload))
+    return _as_messages(spark, sf_dir, "user_id || case when event_id % 7 = 0 then '/online' else '/status/x:0' end", payload)
 
 
-@query("""with e as (select *, date_trunc('second', ts) as sent from events where event_id % 7 <> 0)
+_METER_SQL = """with e as (select *, date_trunc('second', ts) as sent from events where event_id % 7 <> 0)
 select user_id::varchar as device_id, 'apower' as metric, value, 'W' as unit, sent as event_time from e where event_id % 3 <> 0 and value is not null
 union all select user_id::varchar, 'aenergy_total', case when event_id % 5 = 0 then 1.5 else event_id end::double, 'Wh', sent from e where event_id % 3 <> 0
-union all select user_id::varchar, 'total_act_power', value, 'W', ts + interval 1 hour from e where event_id % 3 = 0 and value is not null""")
+union all select user_id::varchar, 'total_act_power', value, 'W', ts + interval 1 hour from e where event_id % 3 = 0 and value is not null"""
+
+
+@query(_METER_SQL)
 def meter_messages_parsed(spark, sf_dir):
-    return messages.meter_measurements(_meter_rows(spark, sf_dir))
+    return messages.meter_measurements(messages.meter_messages(_meter_source(spark, sf_dir)))
 
 
-def _uplinks(spark, sf_dir) -> DataFrame:
+def _uplinks(spark, sf_dir, keep: list[str] | None = None) -> DataFrame:
     at = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("789Z"))
     ids = F.struct(F.when(F.col("event_id") % 11 > 0, F.col("user_id").cast("string")).otherwise("").alias("device_id"), F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("dev_eui"))
     environmental = F.struct(F.col("value").alias("temperature"), F.col("event_id").cast("string").alias("relative_humidity"))
     decoded = F.struct(environmental.alias("environmental"), F.struct((F.col("event_id") % 2 == 0).alias("co2")).alias("co2"), F.struct(F.lit("high").alias("voc")).alias("voc_index"))
     payload = F.struct(ids.alias("end_device_ids"), at.alias("received_at"), F.struct(decoded.alias("decoded_payload")).alias("uplink_message"))
-    return messages.environmental_messages(_as_messages(spark, sf_dir, "'up'", payload))
+    return messages.environmental_messages(_as_messages(spark, sf_dir, "'up'", payload), keep)
 
 
 @query("""with e as (select * from events where event_id % 11 > 0)
@@ -425,11 +478,53 @@ def uplink_messages_parsed(spark, sf_dir):
     return messages.environmental_measurements(_uplinks(spark, sf_dir))
 
 
-@query("""select 'ttn' as source, user_id::varchar as device_id, arg_max(struct_pack(v := case when event_id % 2 = 0 then event_type end), ts).v as dev_eui, user_id::varchar as name from events where event_id % 11 > 0 group by user_id""")
+@query("""select 'ttn' as source, user_id::varchar as device_id, arg_max(struct_pack(v := case when event_id % 2 = 0 then event_type end), (ts, event_id)).v as dev_eui, user_id::varchar as name from events where event_id % 11 > 0 group by user_id""")
 def uplink_registry(spark, sf_dir):
     """Devices by source and id, named by their id, with what their last message says."""
     known = spark.createDataFrame([], ingest.REGISTRY)
-    return merge_registry(known, ingest.registry_rows(_uplinks(spark, sf_dir)), ["source", "device_id"], ["dev_eui"], ["name"], "at")
+    rows = ingest.registry_rows(_uplinks(spark, sf_dir, ["event_id"]).withColumnsRenamed({"event_id": "id"}).withColumn("name", F.col("device_id")))
+    return merge_registry(known, rows, ingest.REGISTRY_KEYS, ["dev_eui"], ["name"], ["at", "id"]).select("source", "device_id", "dev_eui", "name")
+
+
+def _registry(spark, sf_dir) -> DataFrame:
+    """What events say of devices of both kinds; meters have no dev_eui, and a third of the messages no name."""
+    meter = F.col("event_id") % 5 == 0
+    return load(spark, sf_dir, "events").select(
+        F.when(meter, messages.METERS).otherwise(messages.UPLINK).alias("source"), F.col("user_id").cast("string").alias("device_id"), F.when(~meter & (F.col("event_id") % 2 == 0), F.col("event_type")).alias("dev_eui"),
+        F.when(F.col("event_id") % 3 > 0, F.concat("event_type", F.lit("-"), F.col("user_id").cast("string"))).alias("name"), F.date_trunc("day", F.col("ts")).cast("timestamp_ntz").alias("at"), F.col("event_id").alias("id"),
+    )
+
+
+@query("""with r as (select case when event_id % 5 = 0 then 'shelly' else 'ttn' end as source, user_id::varchar as device_id, case when event_id % 5 <> 0 and event_id % 2 = 0 then event_type end as dev_eui,
+case when event_id % 3 > 0 then event_type || '-' || user_id end as name, (date_trunc('day', ts), event_id) as seq from events)
+select source, device_id, arg_max(struct_pack(v := dev_eui), seq).v as dev_eui, arg_max(name, seq) filter (where name is not null) as name from r group by 1, 2""")
+def registry_after_two_batches(spark, sf_dir):
+    """Two batches, of which the second is the older one, over the registry of the first: the order of the messages counts, not that of the batches."""
+    rows = _registry(spark, sf_dir)
+    first = merge_registry(spark.createDataFrame([], ingest.REGISTRY), rows.where("id % 4 > 1 or id > 6000"), ingest.REGISTRY_KEYS, ["dev_eui"], ["name"], ["at", "id"])
+    return merge_registry(first, rows.where("id % 4 <= 1 and id <= 6000"), ingest.REGISTRY_KEYS, ["dev_eui"], ["name"], ["at", "id"]).select("source", "device_id", "dev_eui", "name")
+
+
+def _ingested(spark, sf_dir) -> str:
+    """Folder of the table that two runs of the ingest stream leave, the second from the checkpoint of the first."""
+    folder = work_folder(spark, "ingest")
+    rows = _meter_source(spark, sf_dir)
+    for part in ("event_id % 2 = 0", "event_id % 2 = 1"):
+        message_log.append(rows.where(part).drop("event_id"), f"{folder}/log")
+        ingest.ingest(message_log.stream(spark, f"{folder}/log", taskBytes="200000"), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return f"{folder}/table"
+
+
+@query(_METER_SQL)
+def message_log_ingest(spark, sf_dir):
+    """Status messages through the replayable log and the ingest stream, with a restart between two halves."""
+    return ingest.measurements(spark, _ingested(spark, sf_dir)).drop("id")
+
+
+@query("""select 'shelly' as source, user_id::varchar as device_id, null::varchar as dev_eui, user_id::varchar as name from events where event_id % 7 <> 0 group by 2""")
+def message_log_registry(spark, sf_dir):
+    """The registry of the same table."""
+    return ingest.registry(spark, _ingested(spark, sf_dir)).select("source", "device_id", "dev_eui", "name")
 
 
 @query("""select o_orderkey, trunc(o_totalprice)::bigint as number, case when o_totalprice = trunc(o_totalprice) then null end::bigint as fraction_text, o_orderkey::bigint as whole_text, 1::bigint as flag,
@@ -465,9 +560,8 @@ def device_registry_merge(spark, sf_dir):
     e = load(spark, sf_dir, "events")
     rows = e.select(F.col("user_id").alias("device_id"), F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("dev_eui"), F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("name"), F.col("event_id").alias("at"))
     old, new = rows.where("at < 4000"), rows.where("at >= 4000")
-    empty = old.limit(0).drop("at")
-    first = merge_registry(empty, old, ["device_id"], ["dev_eui"], ["name"], "at")
-    return merge_registry(first, new, ["device_id"], ["dev_eui"], ["name"], "at")
+    first = merge_registry(spark.createDataFrame([], "device_id long, dev_eui string, name string, at long, name_at long"), old, ["device_id"], ["dev_eui"], ["name"], ["at"])
+    return merge_registry(first, new, ["device_id"], ["dev_eui"], ["name"], ["at"]).select("device_id", "dev_eui", "name")
 
 
 @query("""with o as (select o_orderkey as k, o_totalprice as v from orders), n as (select l_orderkey as k, round(sum(l_extendedprice), 2) as v from lineitem where l_linenumber = 1 and l_returnflag = 'R' group by 1)
@@ -565,8 +659,36 @@ def stream_rollup(spark, sf_dir):
     e = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     stream = e.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("device_id"), F.col("event_type").alias("metric"), "value", F.expr(UNIT).alias("unit"), F.col("ts").alias("event_time"))
     ingest.rollup_stream(stream, f"{folder}/out", f"{folder}/checkpoint", 3600).awaitTermination()
-    out = rollup_job.RollupStore(spark, f"{folder}/out").table(ingest.ROLLED)
-    return _six(out.select("device_id", "metric", "unit", "bucket_start", "value_avg", "value_min", "value_max", "sample_count"), "value_avg")
+    return _six(ingest.rolled(spark, f"{folder}/out"), "value_avg")
+
+
+_GAPS = """with e as (select user_id::varchar as device_id, ts as t, lead(ts) over (partition by user_id order by ts) as next, lag(ts) over (partition by user_id order by ts) as prev from events where user_id is not null and ts is not null),
+c as (select max(t) as now from e), s(status, wait) as (values ('stale', interval 15 minute), ('offline', interval 24 hour))"""
+
+
+@query(f"""{_GAPS} select device_id, status, t + wait as "at", t as last_reading_at from e, s, c where t + wait < coalesce(next, now)
+union all select device_id, 'live', t, t from e where prev is null or prev + interval 15 minute < t""")
+def liveness_changes(spark, sf_dir):
+    """Every change of every device in a stream of its readings that comes in three batches; timers give the changes after its last one."""
+    return _live(spark, sf_dir)
+
+
+@query(f"""{_GAPS}, l as (select device_id, max(t) as t from e group by 1)
+select device_id, case when t + interval 24 hour < now then 'offline' when t + interval 15 minute < now then 'stale' else 'live' end as status, t as last_reading_at from l, c""")
+def liveness_now(spark, sf_dir):
+    """The status of every device when the stream's clock has come to the last reading of all."""
+    return liveness.now(_live(spark, sf_dir)).select("device_id", "status", "last_reading_at")
+
+
+def _live(spark, sf_dir) -> DataFrame:
+    folder = work_folder(spark, "liveness")
+    e = load(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("device_id"), F.col("ts").cast("timestamp_ntz").alias("event_time"))
+    for k, (a, b) in enumerate((("2000-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2100-01-01"))):
+        e.where(f"event_time >= timestamp_ntz'{a} 00:00:00' and event_time < timestamp_ntz'{b} 00:00:00'").write.parquet(f"{folder}/in/part={k}")
+        stream = spark.readStream.schema(e.schema).parquet(f"{folder}/in/*")
+        liveness.follow(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    out = spark.read.schema(liveness.CHANGES).parquet(f"{folder}/out")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("at", "last_reading_at")})
 
 
 @query("select 'environmental' as source, c_custkey, c_name from customer union all select 'meter', s_suppkey, s_name from supplier")
@@ -586,6 +708,32 @@ def weather_upsert(spark, sf_dir):
     return replace_by_key(old, new, keys)
 
 
+@query(f"""with e as (select user_id, date_trunc('hour', ts) as hour, event_id, value from events where user_id is not null and ts is not null and value is not null),
+f as (select *, event_id % 2 as turn from e), l as (select user_id, hour, turn, arg_max(value, event_id) as value from f group by all),
+w as (select *, row_number() over (partition by user_id, hour order by turn desc) as n, min(turn) over (partition by user_id, hour) as born from l)
+select 'open-meteo' as source, (38 + user_id / 10000.0)::decimal(9,6)::double as latitude, 21.7::double as longitude, 'Europe/Athens' as timezone, hour as forecast_timestamp, hour::date::varchar as forecast_date, hour(hour)::integer as forecast_hour,
+round(value, 2) as temperature_2m_c, trunc(value)::integer as weather_code, timestamp '2024-02-01' + turn * interval 1 day as fetched_at, timestamp '2024-02-01' + born * interval 1 day as created_at from w where n = 1""")
+def weather_payload_upsert(spark, sf_dir):
+    """Landed answers of two fetches for many places, keyed by what was asked for: rows of the later fetch stay, and remember when they were first stored."""
+    folder, t = work_folder(spark, "weather"), F.col("t")
+    e = load(spark, sf_dir, "events").where("user_id is not null and ts is not null and value is not null").withColumn("fetch", F.col("event_id") % 2)
+    hourly = e.groupBy("fetch", "user_id", F.date_trunc("hour", "ts").alias("hour")).agg(F.max_by("value", "event_id").alias("value"))
+    per = hourly.groupBy("fetch", "user_id").agg(F.sort_array(F.collect_list(F.struct("hour", "value"))).alias("t"))
+    values = F.struct(F.transform(t, lambda x: F.date_format(x.hour, "yyyy-MM-dd'T'HH:mm")).alias("time"), *[F.transform(t, lambda x: x.value if v == "weather_code" else F.round(x.value, 2)).alias(v) for v in forecast.WEATHER])
+    answer = F.to_json(F.struct(F.lit(38.25).alias("latitude"), F.lit(21.75).alias("longitude"), F.lit("GMT").alias("timezone"), values.alias("hourly")))
+    per.select("fetch", "user_id", answer.alias("value")).write.partitionBy("fetch").json(f"{folder}/landed")
+    out = None
+    for fetch, fetched in ((0, datetime(2024, 2, 1)), (1, datetime(2024, 2, 2))):
+        request = landed.weather_request(0.0, 21.7, "Europe/Athens", fetched.date())
+        held = spark.read.schema("user_id long, value string").json(f"{folder}/landed/fetch={fetch}")
+        answers = held.select("user_id", F.from_json("value", forecast.schema(list(forecast.WEATHER))).alias("a")).select("user_id", "a.*")
+        rows = forecast.weather_rows(answers, request, fetched)
+        rows = rows.withColumn("latitude", (38 + F.col("user_id") / F.lit(10000.0)).cast("decimal(9,6)")).drop("user_id")  # a request a place, of which all are read at once here
+        out = rows if out is None else forecast.upsert_weather(out, rows)
+    out = out.withColumns({c: F.col(c).cast("double") for c in ("latitude", "longitude", "temperature_2m_c")} | {"forecast_date": F.col("forecast_date").cast("string")})
+    return out.select("source", "latitude", "longitude", "timezone", "forecast_timestamp", "forecast_date", "forecast_hour", "temperature_2m_c", "weather_code", "fetched_at", "created_at")
+
+
 @query("""with n as (select o_orderkey, count(*) as lines from orders join lineitem on o_orderkey = l_orderkey where l_returnflag = 'A' group by 1)
 select o.o_orderkey, case when n.lines is not null then 'done' else o_orderstatus end as status from orders o left join n using (o_orderkey)""")
 def run_finish(spark, sf_dir):

@@ -8,6 +8,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heliogrid.operators.upsert import last_by_key, replace_by_key
+
 #: Variable of the payload and column of the table.
 WEATHER = {
     "temperature_2m": "temperature_2m_c",
@@ -26,6 +28,8 @@ WEATHER = {
 }
 #: Fixed value: source of the hourly weather.
 WEATHER_SOURCE = "open-meteo"
+#: Type of a stored value.
+VALUE = "decimal(18,6)"
 UPSERT_KEYS = ["source", "latitude", "longitude", "forecast_timestamp"]
 
 
@@ -60,10 +64,27 @@ def hourly_rows(payload: DataFrame, variables: dict[str, str] = WEATHER) -> Data
     return rows.withColumn("weather_code", F.col("weather_code").cast("int")) if "weather_code" in rows.columns else rows
 
 
-def weather_rows(payload: DataFrame, request: dict[str, str], source: str = WEATHER_SOURCE, variables: dict[str, str] = WEATHER) -> DataFrame:
-    """``hourly_rows`` with their source, the values as landed and the request that they answer, the latter two as JSON."""
+def weather_rows(payload: DataFrame, request: dict[str, str], fetched_at: datetime, source: str = WEATHER_SOURCE, variables: dict[str, str] = WEATHER) -> DataFrame:
+    """``hourly_rows`` with their source, the values as landed and the request that they answer, the latter two as JSON.
+
+    Coordinates and zone are those of the request, as decimals: an answer names the grid cell that it was computed for. Values are decimals
+    as they read.
+    """
     raw = F.to_json(F.struct(*[F.col(c).alias(v) for v, c in variables.items()]), {"ignoreNullFields": "false"})
-    return hourly_rows(payload, variables).withColumns({"source": F.lit(source), "raw_values": raw, "raw_request": F.lit(json.dumps(request))})
+    place = {k: F.lit(request[k]).cast("decimal(9,6)") for k in ("latitude", "longitude")}
+    rows = hourly_rows(payload, variables).withColumns({"source": F.lit(source), "raw_values": raw, "raw_request": F.lit(json.dumps(request))} | place)
+    numbers = {c: F.col(c).cast("string").cast(VALUE) for c in variables.values() if c != "weather_code"}
+    now = F.lit(fetched_at).cast("timestamp_ntz")
+    return rows.withColumns(numbers | {"timezone": F.lit(request["timezone"])} | {c: now for c in ("fetched_at", "created_at", "updated_at")})
+
+
+def upsert_weather(current: DataFrame, batch: DataFrame) -> DataFrame:
+    """``current`` with the rows of ``batch`` put in place of those of equal UPSERT_KEYS; a row that is replaced keeps its created_at."""
+    batch = last_by_key(batch, UPSERT_KEYS, ["fetched_at"])
+    born = current.select(*[F.col(k).alias(f"_{k}") for k in UPSERT_KEYS], F.col("created_at").alias("_born"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in UPSERT_KEYS]
+    kept = batch.join(born, same, "left").withColumn("created_at", F.coalesce("_born", "created_at")).select(*batch.columns)
+    return replace_by_key(current, kept, UPSERT_KEYS)
 
 
 def in_range(rows: DataFrame, start: datetime, end: datetime, at: str = "forecast_timestamp") -> DataFrame:

@@ -5,7 +5,7 @@ The network calls themselves are driver work outside the engine; a request is a
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,9 +13,17 @@ from heliogrid.sources import forecast
 
 MEASUREMENTS = "id long, device_id string, metric string, value double, unit string, event_time timestamp_ntz"
 ROLLUP = "device_id string, metric string, unit string, bucket_start timestamp_ntz, value_avg double, value_min double, value_max double, sample_count int"
-#: Local days of a weather request, and variables of a photovoltaic one.
+#: Local days and unit of wind speeds of a weather request, and variables of a photovoltaic one.
 WEATHER_DAYS = 8
-PV_VARIABLES = ["shortwave_radiation", "direct_normal_irradiance", "diffuse_radiation", "temperature_2m", "cloud_cover", "wind_speed_10m"]
+WIND_SPEED_UNIT = "ms"
+PV_VARIABLES = [
+    "temperature_2m",
+    "cloud_cover",
+    "shortwave_radiation",
+    "direct_normal_irradiance",
+    "diffuse_radiation",
+    "wind_speed_10m",
+]
 
 
 def horizon(today: date, days: int = WEATHER_DAYS) -> list[date]:
@@ -25,7 +33,7 @@ def horizon(today: date, days: int = WEATHER_DAYS) -> list[date]:
 
 def weather_request(latitude: float, longitude: float, timezone: str, today: date) -> dict[str, str]:
     dates = horizon(today)
-    return {"latitude": str(latitude), "longitude": str(longitude), "hourly": ",".join(forecast.WEATHER), "timezone": timezone, "start_date": dates[0].isoformat(), "end_date": dates[-1].isoformat()}
+    return {"latitude": str(latitude), "longitude": str(longitude), "hourly": ",".join(forecast.WEATHER), "timezone": timezone, "wind_speed_unit": WIND_SPEED_UNIT, "start_date": dates[0].isoformat(), "end_date": dates[-1].isoformat()}
 
 
 def pv_request(latitude: float, longitude: float, forecast_days: int = 2, timezone: str = "auto") -> dict[str, str]:
@@ -34,7 +42,7 @@ def pv_request(latitude: float, longitude: float, forecast_days: int = 2, timezo
 
 def day_ahead_request(school_id: str, today: date, target: date | None = None) -> dict[str, str]:
     """By default for tomorrow."""
-    return {"school_id": school_id, "day_ahead_date": (target or today + timedelta(days=1)).isoformat()}
+    return {"school_id": school_id, "target_date": (target or today + timedelta(days=1)).isoformat()}
 
 
 def measurements(spark: SparkSession, path: str) -> DataFrame:
@@ -42,14 +50,15 @@ def measurements(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MEASUREMENTS).parquet(path)
 
 
-def weather_payloads(spark: SparkSession, path: str, variables: dict[str, str] = forecast.WEATHER) -> DataFrame:
-    """Hourly rows of landed weather answers, one JSON document a line."""
-    return forecast.hourly_rows(spark.read.schema(forecast.schema(list(variables))).json(path), variables)
+def weather_payloads(spark: SparkSession, path: str, request: dict[str, str], fetched_at: datetime) -> DataFrame:
+    """Hourly rows of landed weather answers to one request, one JSON document a line."""
+    answers = spark.read.schema(forecast.schema(list(forecast.WEATHER))).json(path)
+    return forecast.weather_rows(answers, request, fetched_at)
 
 
 def pv_payloads(spark: SparkSession, path: str) -> DataFrame:
     """Hourly rows of landed photovoltaic weather, under the names of the variables."""
-    return weather_payloads(spark, path, {v: v for v in PV_VARIABLES})
+    return forecast.hourly_rows(spark.read.schema(forecast.schema(PV_VARIABLES)).json(path), {v: v for v in PV_VARIABLES})
 
 
 def day_ahead_answers(spark: SparkSession, path: str) -> DataFrame:

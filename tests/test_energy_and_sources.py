@@ -6,13 +6,11 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from heliogrid.functions.params import HistoryParams
 from heliogrid.functions.timebucket import working_flags
 from heliogrid.operators import energy, fleet, history, pv, rollup, rollup_job, runs
 from heliogrid.operators.rollup_job import RollupStore
 from heliogrid.operators.upsert import VersionedTable, cascade, checked, merge_registry
 from heliogrid.sources import forecast, messages
-from heliogrid.streaming.ingest import ROLLED, ingest, message_stream, rollup_stream
 
 M = "id long, device_id string, metric string, value double, unit string, event_time timestamp_ntz"
 T = datetime(2026, 7, 1, 10)
@@ -75,10 +73,13 @@ def test_fleet(spark):
 
 
 def test_registry(spark):
-    old = spark.createDataFrame([("a", "E1", "Alpha"), ("b", "E2", None)], "device_id string, dev_eui string, name string")
-    new = spark.createDataFrame([("a", None, None, 1), ("c", "E3", "C", 2), ("c", "E4", None, 3)], "device_id string, dev_eui string, name string, at int")
-    got = {r.device_id: (r.dev_eui, r.name) for r in merge_registry(old, new, ["device_id"], ["dev_eui"], ["name"], "at").collect()}
-    assert got == {"a": (None, "Alpha"), "b": ("E2", None), "c": ("E4", "C")}
+    schema = "device_id string, dev_eui string, name string, at int"
+    merge = lambda old, new: merge_registry(old, spark.createDataFrame(new, schema), ["device_id"], ["dev_eui"], ["name"], ["at"])
+    none = spark.createDataFrame([], schema + ", name_at int")
+    batches = [[("a", "E1", "Alpha", 1), ("b", "E2", None, 5)], [("a", None, None, 2), ("c", "E3", "C", 2), ("c", "E4", None, 3), ("b", "E1", "B", 4)]]
+    for first, second in (batches, batches[::-1]):  # the order of batches doesn't count
+        got = {r.device_id: (r.dev_eui, r.name) for r in merge(merge(none, first), second).collect()}
+        assert got == {"a": (None, "Alpha"), "b": ("E2", "B"), "c": ("E4", "C")}
 
 
 def test_constraints_and_cascade(spark):
@@ -157,27 +158,6 @@ def test_run_responses(spark):
     assert both.count() == 1 and both.first().room is None
 
 
-def test_ingest_stream(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    for k, m in enumerate(METERS):
-        (tmp_path / "in" / f"{k}.json").write_text(json.dumps({"topic": m[0], "payload": m[1], "ingestion_time": "2026-07-01T10:00:00"}))
-    out = str(tmp_path / "out")
-    for _ in range(2):  # the second run finds nothing new
-        ingest(message_stream(spark, str(tmp_path / "in"), 2), out, str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(f"{out}/measurements").count() == 4 and spark.read.parquet(f"{out}/raw").count() == 4
-    assert sorted(r.device_id for r in VersionedTable(spark, f"{out}/devices").read().collect()) == ["em-1", "plug-1"]
-
-
-def test_rollup_stream_takes_late_rows(spark, tmp_path):
-    rows = spark.createDataFrame([(k, "d", "t", float(k), "C", at(k % 7)) for k in range(30)], M)
-    rows.repartition(4).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(M).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    rollup_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), 300).awaitTermination()
-    key = lambda d: sorted((r.bucket_start, round(r.value_avg, 9), r.sample_count) for r in d.collect())
-    store = RollupStore(spark, str(tmp_path / "out"))
-    assert key(store.table(ROLLED)) == key(rollup.build(rows, 300)) and store.manifests.version() >= 2
-
-
 def test_commit_rewrites_touched_days_only(spark, tmp_path):
     rows = spark.createDataFrame([(k, "d", "t", float(k), "C", T + timedelta(days=k % 3, minutes=k)) for k in range(1, 40)], M)
     store = RollupStore(spark, str(tmp_path / "s"))
@@ -201,41 +181,6 @@ def test_commit_rewrites_touched_days_only(spark, tmp_path):
     assert store.vacuum() and key(store.table("hourly")) == key(rollup.build(both, 3600))
 
 
-def test_from_messages_to_hybrid_history(spark, tmp_path):
-    """Messages in several batches get ids that go on without gaps; the job rolls some up, history adds the rest."""
-    (tmp_path / "in").mkdir()
-    values = [float(k) for k in range(24)]
-    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
-    land = lambda some: [(tmp_path / "in" / f"{int(v):02d}.json").write_text(json.dumps({"topic": "plug-1/status/x", "payload": json.dumps({"apower": v, "aenergy": {"total": 1, "minute_ts": 1782900000 + 60 * int(v)}}), "ingestion_time": "2026-07-01T10:00:00"})) for v in some]
-    read = lambda: spark.read.parquet(f"{out}/measurements").drop("batch")
-    store = RollupStore(spark, str(tmp_path / "rollups"))
-    land(values[:10])
-    ingest(message_stream(spark, str(tmp_path / "in"), 4), out, checkpoint).awaitTermination()
-    assert sorted(r.id for r in read().collect()) == list(range(1, 21))
-    rollup_job.initialize(store, read(), T, None)
-    land(values[10:])
-    ingest(message_stream(spark, str(tmp_path / "in"), 4), out, checkpoint).awaitTermination()
-    rows = read()
-    assert sorted(r.id for r in rows.collect()) == list(range(1, 49))
-    batches = spark.read.parquet(f"{out}/measurements").groupBy("batch").agg(F.min("id").alias("a"), F.max("id").alias("b")).orderBy("batch").collect()
-    assert all(x.b + 1 == y.a for x, y in zip(batches, batches[1:]))
-    rollup_job.run_batch(store, rows, 6)
-    assert store.last_id() == 26
-    params = HistoryParams(metrics=["apower"], start="2026-07-01", end="2026-07-02", aggregate="avg", bucket_unit="hour", bucket_size=1)
-    got = history.history(rows, {n: store.table(n) for n in rollup.STRIDES}, store.last_id(), "plug-1", params, T).collect()
-    assert sum(r.value for r in got) == pytest.approx(sum(values) / len(values)) and len(got) == 1
-
-
-def test_registry_of_uplinks(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    for k, eui in enumerate(("E1", None)):
-        body = {"end_device_ids": {"device_id": "n1", "dev_eui": eui}, "received_at": "2026-07-01T10:00:00Z"}
-        (tmp_path / "in" / f"{k}.json").write_text(json.dumps({"topic": "up", "payload": json.dumps(body), "ingestion_time": f"2026-07-01T1{k}:00:00"}))
-    ingest(message_stream(spark, str(tmp_path / "in"), 1), str(tmp_path / "out"), str(tmp_path / "cp"), "environmental").awaitTermination()
-    rows = VersionedTable(spark, str(tmp_path / "out" / "devices")).read().collect()
-    assert [(r.source, r.device_id, r.dev_eui, r.name) for r in rows] == [("ttn", "n1", None, "n1")]
-
-
 def test_energy_of_named_devices(spark):
     plug = energy.with_window(spark.createDataFrame([("shellyplug-1", T, 1.5), ("shellyplug-2", T, 9.0)], "device_id string, window_start timestamp_ntz, energy_wh double"))
     three = energy.with_window(spark.createDataFrame([("shellypro3em-1", T, 1.0, 2.0, 3.0, 6.0)], "device_id string, window_start timestamp_ntz, a_energy_wh double, b_energy_wh double, c_energy_wh double, total_energy_wh double"))

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from heliogrid.functions.params import HistoryParams, energy_bounds, normalize_list, ordered_distinct, parse_bound, retry_delay, weather_bounds
+from heliogrid.functions.params import HistoryParams, energy_bounds, normalize_list, ordered_distinct, parse_bound, weather_bounds
 from heliogrid.operators import history, rollup
 
 M = "id long, device_id string, metric string, value double, unit string, event_time timestamp_ntz"
@@ -113,4 +113,3 @@ def test_parameters():
             ordered_distinct(text, {"x"})
     assert weather_bounds(None, None, T.date())[1] == datetime(2026, 7, 7, 23, 59, 59, 999999)
     assert energy_bounds(None, "2026-07-01", at(5, 30))[0] == at(5, 0) - timedelta(hours=24)
-    assert retry_delay(3, 2, 60) == 8 and retry_delay(9, 2, 60) == 60 and retry_delay(1, 2, 60, retry_after=11) == 11

@@ -5,10 +5,9 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from heliogrid.functions.params import non_negative, required_text, resolve, retry_delay
+from heliogrid.functions.params import non_negative, required_text, resolve
 from heliogrid.functions.safe import date_at, date_or_null, decimal_or_null, int_at, int_or_null
 from heliogrid.operators import pv, runs
-from heliogrid.operators.upsert import replace_by_key
 from heliogrid.sources import forecast, landed
 
 
@@ -18,23 +17,30 @@ def test_requests():
     r = landed.weather_request(38.2, 21.7, "Europe/Athens", date(2026, 8, 8))
     assert r["end_date"] == "2026-08-15" and len(r["hourly"].split(",")) == 13
     assert len(landed.pv_request(1.0, 2.0)["hourly"].split(",")) == 6
-    assert landed.day_ahead_request("x_1", date(2026, 8, 8))["day_ahead_date"] == "2026-08-09"
+    assert landed.day_ahead_request("x_1", date(2026, 8, 8)) == {"school_id": "x_1", "target_date": "2026-08-09"}
+    assert r["wind_speed_unit"] == "ms"
 
 
 def test_landed_payload(spark, tmp_path):
     hours = [f"2026-08-08T{h:02d}:00" for h in range(3)]
     body = {"latitude": 1.5, "longitude": 2.5, "timezone": "UTC", "hourly": {"time": hours} | {v: [1.0, None, 3.0] for v in forecast.WEATHER}}
     (tmp_path / "a.json").write_text(json.dumps(body))
-    rows = landed.weather_payloads(spark, str(tmp_path))
+    request = landed.weather_request(38.2466, 21.7346, "Europe/Athens", date(2026, 8, 8))
+    first, later = datetime(2026, 8, 8, 6), datetime(2026, 8, 8, 7)
+    rows = landed.weather_payloads(spark, str(tmp_path), request, first)
     assert rows.count() == 3 and set(forecast.WEATHER.values()) <= set(rows.columns)
-    keyed = rows.withColumn("source", F.lit("s"))
-    newer = keyed.where("forecast_hour = 1").withColumn("cloud_cover_percent", F.lit(9.0))
-    merged = replace_by_key(keyed, newer, forecast.UPSERT_KEYS)
-    assert merged.count() == 3 and merged.where("forecast_hour = 1").first().cloud_cover_percent == 9.0
+    # the answer is computed for its own place, the row is keyed by the one asked for
+    assert {(r.latitude, r.longitude, r.timezone) for r in rows.collect()} == {(Decimal("38.246600"), Decimal("21.734600"), "Europe/Athens")}
+    newer = landed.weather_payloads(spark, str(tmp_path), request, later).where("forecast_hour <= 1").withColumn("cloud_cover_percent", F.lit(9).cast("decimal(18,6)"))
+    newer = newer.withColumn("forecast_timestamp", F.expr("forecast_timestamp + interval 1 hour"))  # hours 1 and 2
+    merged = {r.forecast_timestamp.hour: r for r in forecast.upsert_weather(rows, newer).collect()}
+    assert [merged[h].cloud_cover_percent for h in range(3)] == [1, 9, 9]
+    assert [(merged[h].created_at, merged[h].updated_at, merged[h].fetched_at) for h in range(3)] == [(first, first, first), (first, later, later), (first, later, later)]
+    assert forecast.upsert_weather(rows.limit(0), rows).count() == 3
     assert forecast.nearest_future(rows, datetime(2026, 8, 8, 1, 40)).first().forecast_hour == 1
     assert landed.health(spark)
-    kept = forecast.weather_rows(spark.read.schema(forecast.schema(list(forecast.WEATHER))).json(str(tmp_path)), {"latitude": "1.5"}).orderBy("forecast_hour").collect()
-    assert kept[0].source == "open-meteo" and kept[0].weather_code == 1 and kept[1].weather_code is None and json.loads(kept[0].raw_request) == {"latitude": "1.5"}
+    kept = rows.orderBy("forecast_hour").collect()
+    assert kept[0].source == "open-meteo" and kept[0].weather_code == 1 and kept[1].weather_code is None and json.loads(kept[0].raw_request) == request
     assert json.loads(kept[1].raw_values) == {v: None for v in forecast.WEATHER}
     for broken in ([], None):
         bad = spark.createDataFrame([(1.0, 2.0, "UTC", (broken, [1.0]))], forecast.schema(["cloud_cover"]))
@@ -88,12 +94,6 @@ def test_safe_casts(spark):
     assert list(json_.select(*[date_at(F.col("v"), f"$.{c}") for c in "gh"]).first()) == [None, day]
 
 
-def test_retry_delay():
-    assert retry_delay(1, 2.0, 10.0) == 2.0 and retry_delay(4, 2.0, 10.0) == 10.0
-    assert retry_delay(1, 2.0, 10.0, retry_after=9999) == 10.0 and retry_delay(1, 2.0, 10.0, retry_after=3) == 3
-    assert retry_delay(2, 2.0, 10.0, retry_after=-5) == 4.0 and retry_delay(1, 2.0, 10.0, retry_after="soon") == 2.0 and retry_delay(1, 2.0, 10.0, retry_after="3.5") == 3.5 and retry_delay(4, 2.0, 10.0, jitter=1.0) == 12.0
-
-
 def test_rooms_of_a_run_are_replaced(spark):
     room = lambda i, s: {"room_id": i, "status": s, "metrics": {"facility_kwh": 1}}
     answer = lambda run, *rooms: (run, json.dumps({"room_results": list(rooms)}))
