@@ -151,7 +151,7 @@ def scan(docs: DataFrame, model: list[float], text: str = "text") -> DataFrame:
     own = [F.col(f"`{c}`") for c in docs.columns if c != "secrets"]
 
     def added(base: Column) -> Column:
-        like = lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (score(m, model) > MIN_RATIO)
+        like = lambda m: score(m, model) > MIN_RATIO
         free = lambda x: ~F.exists(base, lambda y: (y.start < x.end) & (x.start < y.end))
         more = F.transform(F.filter(_found(t, TOKEN, like), free), lambda x: F.struct(x.start.alias("start"), F.lit(len(PATTERNS)).alias("rank"), x.end.alias("end")))
         return F.array_sort(F.concat(base, more))

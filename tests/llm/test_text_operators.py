@@ -295,6 +295,72 @@ def test_precision_and_recall_of_the_models(spark):
     assert got["clean"] <= 0.01 and got[["lower", "mixed", "base64"]].mean() >= 0.95
 
 
+def test_letters_alone_can_be_secrets(spark):
+    """Random strings of letters only, and clean names of letters only made of corpus words, in four ways of writing; trained on sf0.1."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = secret_scan.train(docs)
+    rng = np.random.default_rng(5)
+    words_of = [w for r in docs.select("text").limit(300).collect() for w in re.findall(r"\b[a-z]{4,10}\b", r.text or "")]
+    low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    rows = [(k, "".join(rng.choice(list(a), rng.integers(24, 48)))) for k, a in (("lower", low), ("upper", up), ("mixed", low + up)) for _ in range(400)]
+    styles = ["_".join, "-".join, "".join, lambda w: w[0] + "".join(x.title() for x in w[1:])]
+    rows += [("clean", styles[k % 4](list(rng.choice(words_of, 6)))) for k in range(1200)]
+    table = spark.createDataFrame([(i, k, f"see {t} here") for i, (k, t) in enumerate(rows)], "doc_id long, kind string, text string")
+    got = secret_scan.scan(table, model).select("kind", (F.size("secrets") > 0).alias("hit")).toPandas().groupby("kind").hit.mean()
+    print(got.to_dict())
+    assert got["clean"] <= 0.01 and got["mixed"] >= 0.95 and got["upper"] >= 0.95 and got["lower"] >= 0.8
+
+
+def plain_model(texts):
+    """The two models in plain Python: counts of transitions of distinct strings, smoothed by a share of each row's total."""
+    digests = [hashlib.sha256(str(k).encode()).digest() for k in range(secret_scan.RANDOM_SAMPLES)]
+    random_ = {d.hex()[:40] for d in digests} | {base64.b64encode(d).decode().rstrip("=") for d in digests}
+    ordinary = set()
+    for t in texts:
+        spans = [(m.start(), m.end()) for m in SECRET.finditer(t) if len(m[2]) >= 6]
+        random_ |= {m[2] for m in SECRET.finditer(t) if len(m[2]) >= 20}
+        random_ |= set(re.findall("AKIA[A-Z0-9]+", t)) | set(re.findall("[0-9a-f]{24,}", t))
+        spans += [m.span() for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20] + [m.span() for m in re.finditer("[0-9a-f]{24,}", t)]
+        hidden = [False] * len(t)
+        for a, b in spans:
+            hidden[a:b] = [True] * (b - a)
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{8,}", "".join("\x01" if h else c for c, h in zip(t, hidden))):
+            around = (hidden[m.start() - 1] if m.start() else False) or (hidden[m.end()] if m.end() < len(t) else False)
+            if not around:
+                ordinary.add(m[0])
+
+    def log_model(samples):
+        n = np.zeros((128, 128))
+        for s in samples:
+            for a, b in zip(s, s[1:]):
+                n[ord(a), ord(b)] += 1
+        even = np.where(n.sum(1) > 0, secret_scan.SMOOTHING * n.sum(1), 1.0)[:, None]
+        return np.log((n + even / 128) / (n.sum(1)[:, None] + even))
+
+    return log_model(random_) - log_model(ordinary)
+
+
+def test_spans_of_the_models_against_plain_python(spark, docs):
+    rng = np.random.default_rng(8)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-")
+    made = [f"key {''.join(rng.choice(letters, rng.integers(18, 60)))} and password=\"{''.join(rng.choice(letters, 30))}\"; {t[:300]}" for t in docs.text.dropna().head(60)]
+    texts = [*docs.text.fillna("").head(120), *made]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ratio, n = plain_model(docs.text.fillna("")), 0
+    model = secret_scan.train(spark.createDataFrame(list(enumerate(docs.text.fillna(""))), "doc_id long, text string"))
+    assert np.allclose(np.array(model).reshape(128, 128), ratio, atol=1e-9)
+    for r in secret_scan.scan(table, model).collect():
+        base = [(x.start, x.end) for x in r.secrets if x.rank < 3]
+        want = []
+        for m in re.finditer(secret_scan.TOKEN, r.text):
+            score = np.mean([ratio[ord(a), ord(b)] for a, b in zip(m[0], m[0][1:])])
+            if score > secret_scan.MIN_RATIO and not any(a < m.end() and m.start() < b for a, b in base):
+                want.append(m.span())
+        assert [(x.start, x.end) for x in r.secrets if x.rank == 3] == want
+        n += len(want)
+    assert n > 30
+
+
 def test_ordinary_samples_keep_clear_of_base_spans(spark):
     text = "ordinary/name1 deadbeefdeadbeefdeadbeef01 password=hunter2hunter2 xx_deadbeefdeadbeefdeadbeef01_yyyyyyyyyy"
     t = spark.createDataFrame([(text,)], "t string")
@@ -523,10 +589,19 @@ def test_language_against_brute_force(spark, docs):
     assert got[900].lang_pred == got[901].lang_pred == "und" and got[903].lang_pred != "und"
 
 
-def test_languages_learned_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "LANGUAGES", 2)
-    rows = [("plain words", "en")] * 3 + [("schöne wörter", "de")] * 2 + [("dirty", f"x{i}") for i in range(5)]
-    assert language_id.train(spark.createDataFrame(rows, "text string, lang string"))["langs"] == ["de", "en"]
+def test_every_language_is_learned(spark, monkeypatch):
+    """300 languages of their own letters, of which each is a prediction, with few held by a task at a time."""
+    monkeypatch.setattr(language_id, "HELD", 7)
+    own = lambda k: " ".join(chr(0x3400 + 9 * k + j) * 3 for j in range(9))
+    rows = [(k, own(k), f"l{k:03d}") for k in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    model = language_id.train(table)
+    assert model["langs"] == [f"l{k:03d}" for k in range(300)]
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(table, model).collect()}
+    assert np.mean([got[k] == lang for k, _, lang in rows]) > 0.95 and len(set(got.values())) > 285
+    monkeypatch.setattr(language_id, "LANGUAGES", 299)
+    with pytest.raises(ValueError, match="languages"):
+        language_id.train(table)
 
 
 def test_quality_against_a_direct_fit(spark, docs):
