@@ -7,9 +7,10 @@ whose codeword has the least loss-weighted distance to its margins: the logistic
 bit, weighted by how far apart the two sides of that bit are. Where the runner-up is within
 ``MARGIN`` of the best, the row is flagged ambiguous.
 
-Training sums n-gram counts a language over partitions; the model is languages x 2**15 counts, of the
-``LANGUAGES`` languages with most rows at most, so a column of dirty values doesn't make it grow. Scoring is a
-narrow map.
+Training sums n-gram counts a language over partitions, into a table of a row a language; a second pass over that table sums the
+languages' models by bit and side. Only these sums come to the driver: 2**15 buckets a bit, and the number of bits grows as the
+logarithm of the number of languages. All languages are learned; above ``LANGUAGES``, whose codewords are some 16 MB, training
+refuses. Scoring is a narrow map.
 
 Defined results: ``und`` with score 0 for texts that are null or without a letter (Unicode category L), and
 for all rows where nothing could be learned; of languages at equal distance the first by name; repeated rows
@@ -25,12 +26,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliogrid.llm.common import group_arrow, map_arrow
+from heliogrid.llm.common import group_arrow, map_arrow, scratch, staged
 
 BUCKETS = 1 << 15
 MARGIN = 0.05
-#: Languages that are learned at most, those with most rows (ties by name).
-LANGUAGES = 256
+#: With more languages than this training fails, none is left out.
+LANGUAGES = 20_000
+#: Languages whose counts a task holds at a time, 256 kB each.
+HELD = 256
+#: With more languages than this codewords are distinct, but not chosen for their distance.
+COMPARED = 2_000
 
 
 def has_letter(text: str | None) -> bool:
@@ -60,50 +65,90 @@ def codewords(k: int) -> np.ndarray:
     for seed in range(200):
         code = np.where(np.random.default_rng(seed).random((k, width)) < 0.5, -1.0, 1.0)
         code = code[:, np.abs(code.sum(0)) < k]
-        apart = int(((code[:, None] != code[None]).sum(2) + np.eye(k, dtype=int) * 10**6).min())
+        if k > COMPARED:
+            if len(np.unique(code, axis=0)) == k:
+                return code
+            continue
+        agree = code @ code.T  # bits in which two agree less those in which they don't
+        apart = int(((code.shape[1] - agree) / 2 + np.eye(k) * 10**6).min())
         if apart > best:
             best, found = apart, code
     return found
 
 
+def _pack(x: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(x).tobytes())
+
+
 def train(rows: DataFrame) -> dict | None:
     """Model of ``rows`` (text, lang); None if no row has a language and a letter."""
 
     def run(it):
         sums: dict[str, np.ndarray] = {}
+
+        def flush():
+            yield pa.RecordBatch.from_pydict({"lang": list(sums), "counts": [_pack(x) for x in sums.values()]})
+            sums.clear()
+
         for batch in it:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 if has_letter(text):
                     got = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
                     got += np.bincount(_grams(text), minlength=BUCKETS)
+                    if len(sums) >= HELD:
+                        yield from flush()
         if sums:
-            yield pa.RecordBatch.from_pydict({"lang": list(sums), "counts": [zstandard.compress(x.astype("<i8").tobytes()) for x in sums.values()]})
+            yield from flush()
 
     def add(key: tuple, t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zstandard.decompress(x.as_py()), "<i8") for x in t.column("counts"))
-        return pa.table({"lang": [key[0].as_py()], "counts": [zstandard.compress(total.tobytes())]})
+        total = np.zeros(BUCKETS, np.int64)
+        for x in t.column("counts"):
+            total += np.frombuffer(zstandard.decompress(x.as_py()), np.int64)
+        return pa.table({"lang": [key[0].as_py()], "counts": [_pack(total)]})
 
-    kind = "lang string, counts binary"
+    spark, kind = rows.sparkSession, "lang string, counts binary"
     rows = rows.select("text", F.col("lang").cast("string").alias("lang")).where("lang is not null")
-    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    rows = rows.where(F.col("lang").isin([r["lang"] for r in known.collect()]))
-    got = group_arrow(map_arrow(rows, run, kind), ["lang"], add, kind).collect()
-    if not got:
-        return None
-    got.sort(key=lambda r: r["lang"])
-    counts = np.stack([np.frombuffer(zstandard.decompress(r["counts"]), "<i8") for r in got]).astype(float)
-    models = (counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * BUCKETS)
-    code = codewords(len(got))
+    with scratch(spark) as keep:
+        held = staged(group_arrow(map_arrow(rows, run, kind), ["lang"], add, kind), "languages")
+        langs = sorted(r["lang"] for r in held.select("lang").limit(LANGUAGES + 1).collect())
+        if len(langs) > LANGUAGES:
+            raise ValueError(f"more than {LANGUAGES} languages")
+        if not langs:
+            keep()
+            return None
+        code = codewords(len(langs))
+        of = spark.sparkContext.broadcast(({lang: k for k, lang in enumerate(langs)}, code))
+
+        def sides(it):
+            """Of a task's languages the sums of their models, by bit and side."""
+            number, words = of.value
+            out = np.zeros((words.shape[1], 2, BUCKETS))
+            for batch in it:
+                for lang, packed in zip(batch.column("lang").to_pylist(), batch.column("counts").to_pylist()):
+                    counts = np.frombuffer(zstandard.decompress(packed), np.int64).astype(float)
+                    own = (counts + 0.5) / (counts.sum() + 0.5 * BUCKETS)
+                    word = words[number[lang]]
+                    out[word > 0, 0] += own
+                    out[word < 0, 1] += own
+            for bit in np.flatnonzero(out.any((1, 2))).tolist():
+                yield pa.RecordBatch.from_pydict({"bit": pa.array([bit], pa.int64()), "sums": pa.array([_pack(out[bit])], pa.binary())})
+
+        def total(key: tuple, t: pa.Table) -> pa.Table:
+            return pa.table({"bit": [key[0].as_py()], "sums": [_pack(sum(np.frombuffer(zstandard.decompress(x.as_py())) for x in t.column("sums")))]})
+
+        kind = "bit long, sums binary"
+        sums = {r["bit"]: np.frombuffer(zstandard.decompress(r["sums"])).reshape(2, BUCKETS) for r in group_arrow(map_arrow(held, sides, kind), ["bit"], total, kind).collect()}
+        keep()
     weights, apart = [], []
-    for bit in code.T:
-        on = models[bit > 0].mean(0) if (bit > 0).any() else models.mean(0)
-        off = models[bit < 0].mean(0) if (bit < 0).any() else models.mean(0)
+    for bit in range(code.shape[1]):
+        all_, both = sums[bit].sum(0) / len(langs), ((code[:, bit] > 0).sum(), (code[:, bit] < 0).sum())
+        on, off = (sums[bit][k] / n if n else all_ for k, n in enumerate(both))
         w = np.log(on) - np.log(off)
         weights.append(w)
         apart.append(float(((on - off) * w).sum()) + 1e-9)
     apart = np.array(apart)
     # margins in units of half the distance between the sides, so that the loss means the same for every bit
-    return {"langs": [r["lang"] for r in got], "code": code, "weights": (np.stack(weights, 1) / (apart / 2)).astype(np.float32), "trust": apart / apart.sum()}
+    return {"langs": langs, "code": code, "weights": (np.stack(weights, 1) / (apart / 2)).astype(np.float32), "trust": apart / apart.sum()}
 
 
 def decode(margins: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
