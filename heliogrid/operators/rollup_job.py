@@ -26,6 +26,7 @@ class RollupStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self.manifests = VersionedTable(spark, f"{self.path}/manifest")
+        self._columns = [f.split()[0] for f in ROLLUP.split(", ")]
 
     def _manifest(self) -> list:
         return self.manifests.read(_MANIFEST).collect()  # a row a day and rollup
@@ -34,37 +35,63 @@ class RollupStore:
         """The watermark; None before the store is seeded."""
         return next((r["last_id"] for r in self._manifest() if r["name"] == "state"), None)
 
-    def table(self, name: str, days: list[str] | None = None) -> DataFrame:
+    def table(self, name: str, days: list[str] | None = None, manifest: list | None = None) -> DataFrame:
         """One of the rollups, or some days of it."""
-        at = [f"{self.path}/data/v{r['version']}/{name}/day={r['day']}" for r in self._manifest() if r["name"] == name and (days is None or r["day"] in days)]
+        rows = self._manifest() if manifest is None else manifest
+        at = [f"{self.path}/data/v{r['version']}/{name}/day={r['day']}" for r in rows if r["name"] == name and (days is None or r["day"] in days)]
         return self.spark.read.schema(ROLLUP).parquet(*at) if at else self.spark.createDataFrame([], ROLLUP)
 
+    def _write(self, rows: DataFrame, path: str) -> list[str]:
+        """Write by bucket day, a file a day; the days."""
+        dated = rows.select(*self._columns, F.date_format("bucket_start", "yyyy-MM-dd").alias("day"))
+        dated.repartition("day").write.partitionBy("day").mode("overwrite").parquet(path)
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        names = [f.getPath().getName() for f in at.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(at)]
+        return sorted(n.removeprefix("day=") for n in names if n.startswith("day="))
+
     def commit(self, last_id: int, fresh: dict[str, DataFrame], put, batch: int = -1) -> int:
-        """Put ``fresh`` rows of each rollup into the days that they touch, by ``put(current, fresh)``."""
-        version, old = (self.manifests.version() or 0) + 1, self._manifest()
+        """Put ``fresh`` rows of each rollup into the days that they touch, by ``put(current, fresh)``.
+
+        The fresh rows are computed and written once; where they touch no day that is stored, that is all, else they are
+        put together with these days only.
+        """
+        version = (self.manifests.version() or 0) + 1
+        old = self.manifests.read(_MANIFEST, version - 1 or None).collect()
         rows = []
         for name, new in fresh.items():
-            new = new.withColumn("day", F.date_format("bucket_start", "yyyy-MM-dd"))
-            days = [r["day"] for r in new.select("day").distinct().collect()]
-            done = put(self.table(name, days), new.drop("day")).select(*self.table(name, []).columns)
-            done.withColumn("day", F.date_format("bucket_start", "yyyy-MM-dd")).write.partitionBy("day").mode("overwrite").parquet(f"{self.path}/data/v{version}/{name}")
+            path = f"{self.path}/data/v{version}/{name}"
+            stored = {r["day"] for r in old if r["name"] == name}
+            days = self._write(new, path)
+            if met := [d for d in days if d in stored]:
+                aside = f"{self.path}/data/v{version}/_fresh_{name}"
+                self._delete(aside)
+                store, at, to = self._at(path, aside)
+                store.rename(at, to)
+                self._write(put(self.table(name, met, old), self.spark.read.schema(ROLLUP).parquet(aside)), path)
+                self._delete(aside)
             rows += [(name, d, version, None) for d in days]
             rows += [(name, r["day"], r["version"], None) for r in old if r["name"] == name and r["day"] not in days]
         rows += [tuple(r) for r in old if r["name"] not in (*fresh, "state")]
         rows.append(("state", "", version, last_id))
         return self.manifests.write(self.spark.createDataFrame(rows, _MANIFEST).coalesce(1), batch)
 
+    def _at(self, *paths: str) -> tuple:
+        ats = [self.spark._jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+        return (ats[0].getFileSystem(self.spark._jsc.hadoopConfiguration()), *ats)
+
+    def _delete(self, path: str) -> None:
+        store, at = self._at(path)
+        store.delete(at, True)
+
     def vacuum(self) -> list[int]:
         """Delete manifests before the last and data versions that it doesn't name."""
         live = {r["version"] for r in self._manifest()}
         self.manifests.vacuum(1)
-        gone = []
-        for v in range(1, max(live, default=0)):
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/data/v{v}")
-            store = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-            if v not in live and store.exists(p):
-                store.delete(p, True)
-                gone.append(v)
+        store, at = self._at(f"{self.path}/data")
+        there = [int(f.getPath().getName()[1:]) for f in store.listStatus(at)] if store.exists(at) else []
+        gone = sorted(v for v in there if v not in live and v < max(live, default=0))
+        for v in gone:
+            self._delete(f"{self.path}/data/v{v}")
         return gone
 
 

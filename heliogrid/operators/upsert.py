@@ -49,48 +49,57 @@ def checked(rows: DataFrame, **rules: str) -> DataFrame:
 
 
 class VersionedTable:
-    """Parquet versions under one folder and a pointer table of versions.
+    """Parquet versions under one folder, and an empty pointer file for each that is complete.
 
-    A writer reads version v, writes v + 1 in full and only then appends the pointer row, so readers never
-    see half a version and a repeated batch rewrites the same one.
+    A writer reads version v, writes v + 1 in full and only then creates its pointer, so readers never see half a version and
+    a repeated batch rewrites the same one. Pointers are listed, never read; ``vacuum`` leaves those of the last versions.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _exists(self, path: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+    def _store(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _pointers(self) -> list[tuple[int, int]]:
+        """(version, batch) of complete versions, in order."""
+        store, at = self._store(f"{self.path}/pointer")
+        if not store.exists(at):
+            return []
+        names = [f.getPath().getName() for f in store.listStatus(at)]
+        return sorted(tuple(int(x) for x in n.split(".")) for n in names)
 
     def version(self) -> int | None:
-        if not self._exists(f"{self.path}/pointer"):
-            return None
-        return self.spark.read.schema("version long, batch long").parquet(f"{self.path}/pointer").agg(F.max("version")).first()[0]
+        held = self._pointers()
+        return held[-1][0] if held else None
 
     def has_batch(self, batch: int) -> bool:
-        if not self._exists(f"{self.path}/pointer"):
-            return False
-        return not self.spark.read.schema("version long, batch long").parquet(f"{self.path}/pointer").where(F.col("batch") == batch).isEmpty()
+        """Batches come in order, so one that isn't greater than the last is there."""
+        held = self._pointers()
+        return bool(held) and batch <= max(b for _, b in held)
 
-    def read(self, schema: str | None = None) -> DataFrame:
-        v = self.version()
+    def read(self, schema: str | None = None, version: int | None = None) -> DataFrame:
+        v = version or self.version()
         if v is None:
             if schema is None:
                 raise ValueError("no version yet")
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(f"{self.path}/v{v}")
+        rows = self.spark.read.schema(schema) if schema else self.spark.read
+        return rows.parquet(f"{self.path}/v{v}")
 
     def write(self, rows: DataFrame, batch: int = -1) -> int:
         v = (self.version() or 0) + 1
         rows.write.mode("overwrite").parquet(f"{self.path}/v{v}")
-        self.spark.createDataFrame([(v, batch)], "version long, batch long").coalesce(1).write.mode("append").parquet(f"{self.path}/pointer")
+        store, at = self._store(f"{self.path}/pointer/{v}.{batch}")
+        store.create(at, False).close()
         return v
 
     def vacuum(self, keep: int = 2) -> list[int]:
         """Delete all but the last ``keep`` versions; readers of those must be done."""
-        last = self.version() or 0
-        gone = [v for v in range(1, last - keep + 1) if self._exists(f"{self.path}/v{v}")]
-        for v in gone:
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{v}")
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-        return gone
+        gone = self._pointers()[:-keep]
+        for v, batch in gone:
+            for name in (f"pointer/{v}.{batch}", f"v{v}"):
+                store, at = self._store(f"{self.path}/{name}")
+                store.delete(at, True)
+        return [v for v, _ in gone]

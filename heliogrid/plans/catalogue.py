@@ -207,7 +207,7 @@ def rollup_job_tables(spark, sf_dir):
     """The job in bounded batches from an empty store: both rollups and the watermark of its last commit. Ids start at 1."""
     m = measures(spark, sf_dir).withColumn("id", F.col("id") + 1)
     store = rollup_job.RollupStore(spark, work_folder(spark, "job"))
-    rollup_job.initialize(store, m.limit(0), NOW)
+    rollup_job.initialize(store, m.where("id <= 2000"), NOW, None)
     rollup_job.run(store, m, m.count() // 2 + 1)
     names = ["device_id", "metric", "unit", "bucket_start", "value_avg", "value_min", "value_max", "sample_count"]
     one = lambda n: store.table(n).select(F.lit(n).alias("rollup"), *names, F.lit(store.last_id()).cast("long").alias("last_id"))
