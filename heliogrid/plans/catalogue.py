@@ -18,8 +18,9 @@ from heliogrid.functions.params import HistoryParams
 from heliogrid.functions.rounding import round_exact
 from heliogrid.functions.safe import date_at, int_at, int_or_null, number_at, percent
 from heliogrid.functions.timebucket import time_bucket, truncate_hour, working_flags
-from heliogrid.operators import energy, fleet, history, pv, retention, rollup, rollup_job, runs
+from heliogrid.operators import energy, fleet, history, pv, recent, retention, rollup, rollup_job, runs
 from heliogrid.operators.upsert import cascade, last_by_key, merge_registry, replace_by_key
+from heliogrid.plans import sql as table_functions
 from heliogrid.sources import forecast, landed, message_log, messages
 from heliogrid.streaming import ingest, liveness
 
@@ -756,3 +757,145 @@ def safe_values(spark, sf_dir):
 def cascade_delete(spark, sf_dir):
     gone = load(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("id"))
     return cascade(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), gone, "l_orderkey")
+
+
+def _answers(spark, sf_dir) -> DataFrame:
+    """Orders as answers of runs: totals as numbers and as text, counts of three kinds, every fifth without a summary object."""
+    o = load(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    summary = F.when(key % 5 > 0, F.struct((key % 7).alias("requested_rooms"), (key % 4).cast("string").alias("successful_rooms"), (key % 3 + 0.5).alias("failed_rooms")))
+    totals = F.struct(F.col("o_totalprice").alias("facility_kwh"), F.col("o_totalprice").cast("string").alias("equipment_kwh"), F.lit("much").alias("lighting_kwh"))
+    day = F.when(key % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "yyyyMMdd"))
+    body = F.struct(F.col("o_orderstatus").alias("status"), F.lit("engine").alias("simulation_engine"), F.concat(F.lit("x"), key.cast("string")).alias("run_id"), day.alias("day_ahead_date"), summary.alias("summary"), totals.alias("school_totals"), F.struct(key.alias("h0"), (key + 1).alias("h1")).alias("hourly_load"))
+    return o.select(key.alias("run_id"), F.to_json(body).alias("response_json"))
+
+
+@query("""select o_orderkey as run_id, o_orderstatus as status, 'engine' as simulation_engine, 'x' || o_orderkey as external_run_id, o_orderdate::date::varchar as day_ahead_date, case when o_orderkey % 5 > 0 then o_orderkey % 7 end::bigint as requested_rooms,
+case when o_orderkey % 5 > 0 then o_orderkey % 4 end::bigint as successful_rooms, case when o_orderkey % 5 > 0 then o_orderkey % 3 end::bigint as failed_rooms, round(o_totalprice, 2) as facility_kwh, round(o_totalprice, 2) as equipment_kwh, null::double as lighting_kwh,
+'{"h0":' || o_orderkey || ',"h1":' || (o_orderkey + 1) || '}' as hourly_load from orders""")
+def run_answers(spark, sf_dir):
+    """Columns of runs out of their answers: whole numbers cut, text that reads as one, sections that aren't objects empty."""
+    names = ["facility_kwh", "equipment_kwh", "lighting_kwh"]
+    out = runs.run_columns(_answers(spark, sf_dir)).withColumns({n: F.round(F.col(n).cast("double"), 2) for n in names} | {"day_ahead_date": F.col("day_ahead_date").cast("string")})
+    return out.select("run_id", "status", "simulation_engine", "external_run_id", "day_ahead_date", *runs.ROOMS, *names, "hourly_load")
+
+
+def _room_answers(lines: DataFrame, status: str) -> DataFrame:
+    """Line items as rooms of their order's answer, in order of their numbers; several lines can name one room."""
+    metrics = F.struct(F.col("l_extendedprice").alias("facility_kwh"), F.col("l_quantity").cast("string").alias("thermal_discomfort_hours"))
+    room = F.struct(F.concat(F.lit("r"), F.col("l_partkey") % 3).alias("room_id"), F.concat(F.lit(status), F.col("l_returnflag")).alias("status"), metrics.alias("metrics"))
+    rooms = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", room.alias("room")))), lambda x: x.room)
+    return lines.groupBy(F.col("l_orderkey").alias("run_id")).agg(F.to_json(F.struct(rooms.alias("room_results"))).alias("response_json"))
+
+
+_ROOMS = "select l_orderkey as run_id, 'r' || l_partkey % 3 as room_id, '{0}' || l_returnflag as status, round(l_extendedprice, 2) as facility_kwh, round(l_quantity, 2) as thermal_discomfort_hours from lineitem where {1} qualify row_number() over (partition by l_orderkey, l_partkey % 3 order by l_linenumber desc, l_returnflag desc, l_extendedprice desc, l_quantity::varchar desc) = 1"
+
+
+@query(f"""with a as ({_ROOMS.format("", "true")}), b as ({_ROOMS.format("again ", "l_orderkey % 3 = 0 and l_linenumber <= 2")})
+select * from a where run_id not in (select run_id from b) union all select * from b""")
+def rooms_recorded(spark, sf_dir):
+    """Rooms of all answers; a third of the runs are answered again, and only what the later answer names stays of them."""
+    lines = load(spark, sf_dir, "lineitem")
+    again = _room_answers(lines.where("l_orderkey % 3 = 0 and l_linenumber <= 2"), "again ")
+    out = runs.record_rooms(runs.room_results(_room_answers(lines, "")), again)
+    return out.select("run_id", "room_id", "status", *[F.round(F.col(c).cast("double"), 2).alias(c) for c in ("facility_kwh", "thermal_discomfort_hours")])
+
+
+@query("""with l as (select l_orderkey, string_agg(l_linenumber || ':' || case when l_returnflag = 'A' then 'success:' || (round(l_extendedprice * 100)::bigint) else 'failed:-' end, ',' order by l_linenumber, l_returnflag = 'A', l_extendedprice) as rooms, count(*) as n from lineitem group by 1)
+select o_orderkey as id, o_orderstatus as status, o_custkey as requested_rooms, round(o_totalprice, 2) as facility_kwh, coalesce(n, 0) as n_rooms, coalesce(rooms, '') as rooms from orders left join l on l_orderkey = o_orderkey""")
+def day_ahead_responses(spark, sf_dir):
+    """A response struct for every run, with its rooms in order and metrics where they succeeded."""
+    null = lambda t: F.lit(None).cast(t)
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit("s").alias("school_id"), F.to_date("o_orderdate").alias("day_ahead_date"), F.col("o_orderstatus").alias("status"), F.lit("e").alias("simulation_engine"), F.lit("x").alias("external_run_id"), F.col("o_custkey").alias("requested_rooms"), null("long").alias("successful_rooms"), null("long").alias("failed_rooms"), *[(F.col("o_totalprice") if n == "facility_kwh" else null("double")).alias(n) for n in runs.TOTALS], null("string").alias("hourly_load"))
+    rooms = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").cast("string").alias("room_id"), F.lit("R").alias("room_label"), F.when(F.col("l_returnflag") == "A", "success").otherwise("failed").alias("status"), null("string").alias("error_text"), *[(F.col("l_extendedprice") if n == "facility_kwh" else null("double")).alias(n) for n in runs.ROOM])
+    text = F.transform("response.room_results", lambda r: F.concat_ws(":", r.room_id, r.status, F.coalesce(F.round(r.metrics.facility_kwh * 100).cast("long").cast("string"), F.lit("-"))))
+    out = runs.day_ahead_response(o, rooms)
+    return out.select("response.id", "response.status", "response.summary.requested_rooms", F.round("response.school_totals.facility_kwh", 2).alias("facility_kwh"), F.size("response.room_results").cast("long").alias("n_rooms"), F.array_join(text, ",").alias("rooms"))
+
+
+@query("""select p_partkey as id, p_name as label, p_size > 25 as cooling_setpoint, p_type as occupancy, round(p_retailprice, 2) as heating_setpoint, '{"k":' || p_partkey || '}' as raw_item from part""")
+def recording_responses(spark, sf_dir):
+    """Recorded rooms as structs, with what they support and their defaults as numbers."""
+    null = lambda t: F.lit(None).cast(t)
+    given = {"id": F.col("p_partkey"), "label": F.col("p_name"), "supports_cooling_setpoint": F.col("p_size") > 25, "default_occupancy": F.col("p_type"), "default_heating_setpoint": F.col("p_retailprice").cast("decimal(18,2)"), "raw_item": F.to_json(F.struct(F.col("p_partkey").alias("k")))}
+    names = [*runs.RECORDING, "supports_cooling_setpoint", *[f"default_{d}" for d in runs.DEFAULTS], "raw_item", "created_at", "updated_at"]
+    r = runs.recording_response(load(spark, sf_dir, "part").select(*[given.get(n, null("string")).alias(n) for n in names]))
+    return r.select("response.id", "response.label", "response.supports.cooling_setpoint", "response.defaults.occupancy", F.round("response.defaults.heating_setpoint", 2).alias("heating_setpoint"), "response.raw_item")
+
+
+_RECORDS = """select event_id % 40 as run_id, ts as forecast_timestamp, ts::date::varchar as forecast_date, hour(ts)::smallint as forecast_hour, round(case when value < 20 then 0 else value / 10 end, 6) as predicted_power_kw,
+'{"event_id":' || event_id || ',"user_id":' || coalesce(user_id::varchar, 'null') || '}' as raw_features from events"""
+
+
+def _pv_rows(spark, sf_dir) -> DataFrame:
+    rows = load(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").alias("forecast_timestamp"), (F.col("value") / 10).alias("raw_kw"), F.col("value").alias("ghi"))
+    return pv.clip_and_mask(rows, "raw_kw", "ghi")
+
+
+@query(_RECORDS)
+def pv_hourly_records(spark, sf_dir):
+    """Rows to append for runs, with the model's inputs as JSON."""
+    out = None
+    rows = _pv_rows(spark, sf_dir)
+    for k in range(40):
+        some = pv.hourly_records(rows.where(F.col("event_id") % 40 == k), k, ["event_id", "user_id"])
+        out = some if out is None else out.unionByName(some)
+    return _six(out.withColumns({"run_id": F.col("run_id").cast("long"), "forecast_date": F.col("forecast_date").cast("string")}), "predicted_power_kw")
+
+
+@query(f"""with r as ({_RECORDS}) select user_id as run_id, count(*) as n, string_agg(forecast_hour || '=' || round(predicted_power_kw * 1000)::bigint, ',' order by forecast_timestamp, forecast_hour, predicted_power_kw) as hours
+from (select r.*, e.user_id from r join events e on r.raw_features like '{{"event_id":' || e.event_id || ',%' and e.ts = r.forecast_timestamp) where user_id is not null group by 1""")
+def pv_responses(spark, sf_dir):
+    """Hours of every run in order of time."""
+    rows = _pv_rows(spark, sf_dir).where("user_id is not null").select(F.col("user_id").alias("run_id"), "forecast_timestamp", F.hour("forecast_timestamp").alias("forecast_hour"), "predicted_power_kw")
+    text = F.transform("hours", lambda h: F.concat(h.hour.cast("string"), F.lit("="), F.round(F.round(h.predicted_power_kw, 6) * 1000).cast("long").cast("string")))
+    return pv.pv_response(rows).select("run_id", F.size("hours").cast("long").alias("n"), F.array_join(text, ",").alias("hours"))
+
+
+@query("""select c_custkey, c_nationkey, (select max(o_orderkey) from orders) + row_number() over (order by c_custkey, c_nationkey) as id from customer""")
+def run_create(spark, sf_dir):
+    """New runs take the ids after the greatest there is, in order of what they ask for."""
+    have = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    return runs.create(have, load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"))
+
+
+@query(SQL["latest_minute_snapshots"])
+def latest_from_kept_minutes(spark, sf_dir):
+    """The last minutes from entries merged of two batches by id, and the raw rows past the watermark."""
+    m = measures(spark, sf_dir)
+    entries = recent.merge(recent.build(m.where("id <= 3000")), recent.build(m.where(f"id > 3000 and id <= {WATERMARK}")))
+    return _six(recent.latest(entries, m, WATERMARK, DEVICE, limit=30), "value")
+
+
+def _called(spark, sf_dir, call: str) -> DataFrame:
+    """A call of a table function over the test tables."""
+    m = measures(spark, sf_dir)
+    plug, three = _windows(spark, sf_dir)
+    table_functions.register(spark, measurements=m, rollup_hourly=rollup.build(m.where(F.col("id") <= WATERMARK), 3600), energy_plug=plug, energy_three_phase=three)
+    return spark.sql(f"select * from {call}")
+
+
+@query(SQL["history_raw_range_7min"])
+def sql_history(spark, sf_dir):
+    return _six(_called(spark, sf_dir, f"history('{DEVICE}', timestamp_ntz'2024-01-05', timestamp_ntz'2024-01-25 23:59:59.999999', 420)"), "value")
+
+
+@query(SQL["history_from_rollup_6_hours"])
+def sql_rolled_history(spark, sf_dir):
+    return _six(_called(spark, sf_dir, f"rolled_history('{DEVICE}', timestamp_ntz'2024-01-02', timestamp_ntz'2024-01-29 23:59:59.999999', 21600, {WATERMARK})"), "value")
+
+
+@query(SQL["latest_minute_snapshots"])
+def sql_latest(spark, sf_dir):
+    return _six(_called(spark, sf_dir, f"latest('{DEVICE}', 30)"), "value")
+
+
+@query(SQL["energy_listing"])
+def sql_energy(spark, sf_dir):
+    out = _called(spark, sf_dir, "energy(timestamp_ntz'2024-01-03', timestamp_ntz'2024-01-27 23:59:59.999999', true)")
+    return out.select("device_id", "device_type", "window_start", "window_end", "energy_wh", "a_energy_wh", "total_energy_wh")
+
+
+@query(SQL["energy_totals_working"])
+def sql_energy_totals(spark, sf_dir):
+    return _three(_called(spark, sf_dir, "energy_totals(timestamp_ntz'2024-01-03', timestamp_ntz'2024-01-27 23:59:59.999999', true)"))

@@ -131,3 +131,33 @@ def test_settings():
         non_negative("-1", "x")
     with pytest.raises(ValueError):
         required_text(" ", "school")
+
+
+
+def test_artefact_says_the_order_of_features(spark, tmp_path):
+    from pyspark import cloudpickle
+
+    from heliogrid.operators import artefact
+
+    class Tiny:
+        def __init__(self, names):
+            self.feature_names_in_ = names
+
+        def predict(self, x):
+            assert list(x.columns) == ["b", "a"]
+            return x["b"] * 10 + x["a"]
+
+    def save(name, thing):
+        (tmp_path / name).write_bytes(cloudpickle.dumps(thing))
+        return str(tmp_path / name)
+
+    rows = spark.createDataFrame([(1.0, 2.0, "x"), (3.0, None, "y")], "a double, b double, other string")
+    got = artefact.score(rows, save("tiny.pkl", Tiny(["b", "a"]))).collect()
+    assert [r.raw_kw for r in got] == [21.0, None] and got[0].other == "x"
+    assert [r.raw_kw for r in artefact.score(rows, save("named.pkl", Tiny(None)), save("names.pkl", ["b", "a"])).collect()] == [21.0, None]
+    with pytest.raises(KeyError, match="wind"):
+        artefact.score(rows, save("more.pkl", Tiny(["b", "wind"])))
+    with pytest.raises(LookupError, match="no features"):
+        artefact.score(rows, save("none.pkl", Tiny(None)))
+    with pytest.raises(TypeError, match="str"):
+        artefact.score(rows, save("odd.pkl", Tiny(None)), save("text.pkl", "b,a"))
