@@ -29,20 +29,23 @@ from pyspark.sql import functions as F
 from heliogrid.llm.common import group_arrow, map_arrow, staged
 from heliogrid.llm.tokens import batches, encoder
 
-#: Characters of text that are encoded at a time.
-BATCH = 1 << 20
+#: Characters of text that are encoded at a time, where memory counts more than time and else.
+BATCH, WIDE_BATCH = 1 << 20, 4 << 20
 SHARD_TOKENS = 8_000_000
 SHARD_ROWS = 250_000
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32. Longer documents are cut, the short piece first."""
+def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, lean: bool = True) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32. Longer documents are cut, the short piece first.
+
+    ``lean``: workers that other stages use too encode less at a time, and give most of their memo back after a task.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, end_id, True)
         for batch in it:
             ids = batch.column("doc_id")
-            for first, texts in batches(batch.column("text").to_pylist(), BATCH):
+            for first, texts in batches(batch.column("text").to_pylist(), BATCH if lean else WIDE_BATCH):
                 rows: list[tuple[int, int, int, int, int]] = []
                 for k, b in enumerate(enc.encode_all(texts), first):
                     n = len(b) // 4
@@ -53,7 +56,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) ->
                     [ids.take(pa.array(a[:, 0])), pa.array(a[:, 1].astype(np.int32)), pa.array(a[:, 2]), pa.array(a[:, 3]), pa.array(a[:, 4])],
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
-        enc.rest()
+        if lean:
+            enc.rest()
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -142,6 +146,6 @@ def packed(cut: DataFrame, capacity: int = 1024) -> DataFrame:
     return group_arrow(dealt, ["shard"], one, schema)
 
 
-def best_fit(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
+def best_fit(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, lean: bool = True) -> DataFrame:
     """Pieces of ``docs`` with the sequence and the place in it that each takes."""
-    return packed(pieces(docs, path, capacity, end_id), capacity)
+    return packed(pieces(docs, path, capacity, end_id, lean), capacity)

@@ -71,7 +71,7 @@ def op5_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return packing.best_fit(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), lean=False)
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
