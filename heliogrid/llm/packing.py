@@ -30,7 +30,7 @@ from heliogrid.llm.common import group_arrow, map_arrow, staged
 from heliogrid.llm.tokens import batches, encoder
 
 #: Characters of text that are encoded at a time, where memory counts more than time and else.
-BATCH, WIDE_BATCH = 1 << 20, 4 << 20
+BATCH, WIDE_BATCH = 1 << 20, 8 << 20
 SHARD_TOKENS = 8_000_000
 SHARD_ROWS = 250_000
 
