@@ -24,7 +24,8 @@ So no link between different texts is lost, while a group of very many near copi
 common passage, costs a few rows a text. The number of column parts follows the number of shingles.
 
 Equal sets share one row of the matrix (keyed by a 63-bit hash of the set), so exact copies cost
-nothing but their membership row. Shingles are 64-bit hashes, of which the whole-set checks keep 48 bits.
+nothing but their membership row. Every set has a second hash of its own: where it tells apart sets of one key, all sets of
+that key take it as their key in place of the first (``_keys``), so that different sets don't pass for copies. Shingles are 64-bit hashes.
 
 Defined results: a null, empty or blank text has no shingle and is linked with nothing (component:
 its own doc_id); rows that share a doc_id belong to one component; a null doc_id takes part, and
@@ -35,6 +36,7 @@ like any other, in memory in proportion to its length; columns besides doc_id an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +57,8 @@ HUBS = 3
 ROUNDS = 3
 #: Classes of a bundle of crowded columns that meet in one task, on either side.
 PIECE = 1000
+#: Keys that may stand for several sets each: some 500 are expected of 10**11 different sets, 50,000 of 10**12.
+CLASHES = 1_000_000
 #: Characters of text that are hashed at a time: some 100 bytes of arrays for each.
 BATCH = 1 << 19
 #: Shingles whose prefixes make up one part of the columns.
@@ -74,33 +78,78 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray,
         yield first, doc, sh, len(texts)
 
 
-def _nodes(doc: np.ndarray, sh: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """63-bit hash of every set (0 for the empty one)."""
+class _Keys(NamedTuple):
+    """Bits of the first hash of a set, and its values that stand for several sets."""
+
+    bits: int
+    clashes: np.ndarray
+
+
+class _Rows(NamedTuple):
+    docs: DataFrame
+    sets: DataFrame
+    keys: _Keys
+
+
+def _hash(doc: np.ndarray, sh: np.ndarray, n: np.ndarray, salt: int, bits: int = 63) -> np.ndarray:
+    """Hash of every set (0 for the empty one), another for each salt."""
     sums = np.zeros(len(n), U)
     if len(doc):
         first = np.flatnonzero(np.diff(doc, prepend=-1))
-        sums[doc[first]] = np.add.reduceat(mix(sh ^ U(0x5851F42D4C957F2D)), first)
-    return np.where(n > 0, mix(sums + n.astype(U)) >> U(1), U(0)).astype(np.int64)
+        sums[doc[first]] = np.add.reduceat(mix(sh ^ U(salt)), first)
+    return np.where(n > 0, mix(sums + n.astype(U)) >> U(64 - bits), U(0)).astype(np.int64)
+
+
+def _first(doc: np.ndarray, sh: np.ndarray, n: np.ndarray, bits: int) -> np.ndarray:
+    return _hash(doc, sh, n, 0x5851F42D4C957F2D, bits)
+
+
+def _second(doc: np.ndarray, sh: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return _hash(doc, sh, n, 0x2545F4914F6CDD1D)
 
 
-def _count(docs: DataFrame) -> DataFrame:
-    """Of every document its set's size and key; and slices of the sketch of column counts, one set a task."""
+def _nodes(doc: np.ndarray, sh: np.ndarray, n: np.ndarray, keys: _Keys) -> np.ndarray:
+    """Key of every set."""
+    node = _first(doc, sh, n, keys.bits)
+    if len(keys.clashes) and (at := np.isin(node, keys.clashes) & (n > 0)).any():
+        node = np.where(at, _second(doc, sh, n), node)
+    return node
+
+
+def _keys(counted: DataFrame, bits: int) -> tuple[DataFrame, _Keys]:
+    """(doc_id, key, n, node) of every document under keys that no two different sets share."""
+    sets = counted.where("slice is null")
+
+    def shared(node: Column) -> list[int]:
+        per = sets.where("n > 0").groupBy(node.alias("node")).agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("other").alias("least"), F.max("other").alias("most"))
+        return [r["node"] for r in per.where("lo <> hi or least <> most").select("node").limit(CLASHES + 1).collect()]
+
+    clashes, node = shared(F.col("node")), F.col("node")
+    if clashes:
+        node = F.when((F.col("n") > 0) & F.col("node").isin(clashes), F.col("other")).otherwise(F.col("node"))
+        if len(clashes) > CLASHES or shared(node):
+            raise ValueError("too many different sets for keys of 63 bits")
+    return sets.select("doc_id", "key", "n", node.alias("node")), _Keys(bits, np.array(clashes, np.int64))
+
+
+def _count(docs: DataFrame, bits: int) -> DataFrame:
+    """Of every document its set's size and hashes; and slices of the sketch of column counts, one set a task."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, names = np.zeros(SKETCH, np.int64), ["doc_id", "key", "n", "node", "slice", "counts"]
+        counts, names = np.zeros(SKETCH, np.int64), ["doc_id", "key", "n", "node", "other", "slice", "counts"]
         for batch in it:
             for first, doc, sh, size in _texts(batch):
                 n = np.bincount(doc, minlength=size)
                 counts += np.bincount((sh & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
                 ids, keys = (batch.column(c).slice(first, size) for c in ("doc_id", "key"))
                 none = pa.nulls(size, pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, keys, pa.array(n), pa.array(_nodes(doc, sh, n)), none, pa.nulls(size, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([ids, keys, pa.array(n), pa.array(_first(doc, sh, n, bits)), pa.array(_second(doc, sh, n)), none, pa.nulls(size, pa.binary())], names)
         if counts.any():
             parts = [zstandard.compress(x.astype("<u4").tobytes()) for x in np.split(counts, SLICES)]
             none = pa.nulls(SLICES, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(SLICES), pa.int64()), pa.array(parts, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(range(SLICES), pa.int64()), pa.array(parts, pa.binary())], names)
 
-    return staged(map_arrow(docs, run, "doc_id long, key long, n long, node long, slice long, counts binary"), "sets")
+    return staged(map_arrow(docs, run, "doc_id long, key long, n long, node long, other long, slice long, counts binary"), "sets")
 
 
 def _sketch(counted: DataFrame) -> np.ndarray:
@@ -120,7 +169,7 @@ def _sketch(counted: DataFrame) -> np.ndarray:
     return out
 
 
-def _prefixes(docs: DataFrame, sketch: np.ndarray, parts: int) -> DataFrame:
+def _prefixes(docs: DataFrame, sketch: np.ndarray, parts: int, keys: _Keys) -> DataFrame:
     """Blocks of columns: of some documents the prefix columns in one part, packed row by row."""
     held = docs.sparkSession.sparkContext.broadcast(sketch)
 
@@ -129,7 +178,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, parts: int) -> DataFrame:
         for batch in it:
             for _, doc, sh, size in _texts(batch):
                 n = np.bincount(doc, minlength=size)
-                node = _nodes(doc, sh, n)
+                node = _nodes(doc, sh, n, keys)
                 _, once = np.unique(node, return_index=True)  # copies within the block count once
                 mine = np.zeros(size, bool)
                 mine[once] = True
@@ -221,45 +270,39 @@ def _may_link(na: Column, nb: Column, shared: Column) -> Column:
     return 7 * reach >= 3 * (na + nb)
 
 
-def _held(wanted: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, set) of the wanted nodes: the whole set as 48-bit numbers, from one row that has it."""
+def _held(wanted: DataFrame, rows: _Rows) -> DataFrame:
+    """(node, set) of the wanted nodes: the whole set as 64-bit numbers, from one row that has it."""
+    docs, sets, keys = rows
     first = sets.join(wanted, "node").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("f")).select("node", F.col("f.doc_id").alias("d"), F.col("f.key").alias("k"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for first_row, doc, sh, size in _texts(batch):
                 n = np.bincount(doc, minlength=size)
-                node = _nodes(doc, sh, n)
+                node = _nodes(doc, sh, n, keys)
                 cuts = np.cumsum(n)[:-1]
-                six = [np.ascontiguousarray((x >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() for x in np.split(sh, cuts)]
+                held = [x.astype("<u8").tobytes() for x in np.split(sh, cuts)]
                 ok = pa.array(node == batch.column("node").slice(first_row, size).to_numpy())
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(six, pa.binary())], ["node", "set"]).filter(ok)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(held, pa.binary())], ["node", "set"]).filter(ok)
 
     # a row is found by doc_id and text, so that very many rows of one doc_id, or of none, don't meet each other
     texts = docs.join(first, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("node", "text")
     return staged(map_arrow(texts, run, "node long, set binary"), "held").dropDuplicates(["node"])
 
 
-def _six(x: bytes) -> np.ndarray:
-    """48-bit numbers of a set of ``_held``."""
-    out = np.zeros((len(x) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
-def _verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, rows: _Rows) -> DataFrame:
     """The pairs (a, b, na, nb) that reach 0.75 on their whole sets."""
     pairs = staged(pairs.select("a", "b", "na", "nb"), "pairs")
     if pairs.isEmpty():
         return pairs.select("a", "b")
-    held = _held(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), docs, sets)
+    held = _held(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), rows)
     both = pairs.join(held.toDF("a", "sa"), "a").join(held.toDF("b", "sb"), "b")
 
     def check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             ok = []
             for x, y in zip(batch.column("sa"), batch.column("sb")):
-                s, t = _six(x.as_py()), _six(y.as_py())
+                s, t = (np.frombuffer(z.as_buffer(), "<u8") for z in (x, y))
                 both_n = len(np.intersect1d(s, t, assume_unique=True))
                 ok.append(100 * both_n >= 75 * (len(s) + len(t) - both_n))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -300,7 +343,7 @@ def _shared_columns(held: DataFrame, parts: int) -> DataFrame:
 
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            nodes, sets = batch.column("node").to_numpy(), [_six(x.as_py()) for x in batch.column("set")]
+            nodes, sets = batch.column("node").to_numpy(), [np.frombuffer(x.as_buffer(), "<u8") for x in batch.column("set")]
             some = np.cumsum(list(map(len, sets))) // 1_000_000  # about a million numbers at a time
             for first in np.flatnonzero(np.diff(some, prepend=-1)).tolist():
                 last = int(np.searchsorted(some, some[first], side="right"))
@@ -424,7 +467,7 @@ def _class_links(classes: DataFrame) -> DataFrame:
     return staged(group_arrow(dealt, ["bundle", "i", "j"], run, "a long, b long, room long"), "classlinks")
 
 
-def _settle(crowd: DataFrame, comp: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+def _settle(crowd: DataFrame, comp: DataFrame, rows: _Rows) -> DataFrame:
     """Links (a, b) that connect all sets of crowded columns as far as they are linked.
 
     With "few" and "many" counted over the whole sets of all of them: two that share a column of few sets
@@ -434,7 +477,7 @@ def _settle(crowd: DataFrame, comp: DataFrame, docs: DataFrame, sets: DataFrame)
     """
     nodes = crowd.select("node", "n").distinct()
     size = nodes.agg(F.sum("n")).first()[0]
-    shared = _shared_columns(_held(nodes.select("node"), docs, sets), -(-size // WHOLE))
+    shared = _shared_columns(_held(nodes.select("node"), rows), -(-size // WHOLE))
     crowded = shared.where("b is null").groupBy(F.col("a").alias("node")).agg(F.first("na").alias("n"), F.sum("shared").alias("k"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1"), F.collect_list("columns").alias("parts"))
     crowded = crowded.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     crowded = staged(crowded, "members")
@@ -443,7 +486,7 @@ def _settle(crowd: DataFrame, comp: DataFrame, docs: DataFrame, sets: DataFrame)
     for c in ("a", "b"):
         pairs = pairs.join(crowded.select(F.col("node").alias(c), F.col("k").alias(f"k{c}")), c, "left").join(comp.toDF(c, f"c{c}"), c, "left")
         pairs = pairs.withColumns({f"k{c}": F.coalesce(f"k{c}", F.lit(0)), f"c{c}": F.coalesce(f"c{c}", c)})
-    found = _verify(pairs.where("ca <> cb and 7 * (shared + least(ka, kb)) >= 3 * (na + nb)"), docs, sets)
+    found = _verify(pairs.where("ca <> cb and 7 * (shared + least(ka, kb)) >= 3 * (na + nb)"), rows)
 
     members = crowded.select("node", "n", "x0", "x1")
     least = F.min(F.struct("n", "node")).alias("m")
@@ -459,53 +502,54 @@ def _settle(crowd: DataFrame, comp: DataFrame, docs: DataFrame, sets: DataFrame)
     return staged(found.union(met.where("room is null").select("a", "b")).union(attached[0]).union(attached[1]), "settled")
 
 
-def _linked(docs: DataFrame, one_by_id: bool) -> tuple[DataFrame, DataFrame]:
-    """The counted sets, and (node, component) of all that are linked."""
-    counted = _count(docs)
-    sets = counted.where("slice is null").select("doc_id", "key", "n", "node")
+def _linked(docs: DataFrame, one_by_id: bool, key_bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The staged counts, the sets in them, and (node, component) of all that are linked."""
+    counted = _count(docs, key_bits)
+    sets, keys = _keys(counted, key_bits)
+    rows = _Rows(docs, sets, keys)
     parts = max(n_parts(docs.sparkSession), -(-(sets.agg(F.sum("n")).first()[0] or 0) // PART))
-    product = _product(_prefixes(docs, _sketch(counted), parts))
+    product = _product(_prefixes(docs, _sketch(counted), parts, keys))
 
     sums = product.where("column is null").groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("na", "nb")], *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("shared", "hub")])
     sums = staged(sums, "overlaps")
     # first one link a set, to the partner it shares most with; then what is still apart
     both = sums.select(F.col("b").alias("x"), "a", "b", "na", "nb", "shared", "hub").union(sums.select("a", "a", "b", "na", "nb", "shared", "hub"))
     nearest = both.groupBy("x").agg(F.max_by(F.struct("a", "b", "na", "nb"), F.struct(F.col("shared") + F.col("hub"), -F.col("a"))).alias("p")).select("p.*").distinct()
-    comp = staged(components(_verify(nearest, docs, sets)), "comp")
+    comp = staged(components(_verify(nearest, rows)), "comp")
     likely = sums.where(_may_link(F.col("na"), F.col("nb"), F.col("shared") + F.col("hub")))
     for c in ("a", "b"):
         likely = likely.join(comp.toDF(c, f"c{c}"), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
-    more = _verify(likely.where("ca <> cb").join(nearest.select("a", "b"), ["a", "b"], "left_anti"), docs, sets)
+    more = _verify(likely.where("ca <> cb").join(nearest.select("a", "b"), ["a", "b"], "left_anti"), rows)
     if not more.isEmpty():
         comp = joined_components(comp, more)
     # crowded columns: sets apart from the largest component of a column try a member of it, round by round
     crowd = _crowded(product, comp)
     for turn in range(ROUNDS):
-        if crowd.isEmpty() or (more := _verify(_stars(crowd, turn), docs, sets)).isEmpty():
+        if crowd.isEmpty() or (more := _verify(_stars(crowd, turn), rows)).isEmpty():
             break
         comp = joined_components(comp, more)
         crowd = _crowded(product, comp)
     if not crowd.isEmpty():
-        comp = joined_components(comp, _settle(crowd, comp, docs, sets))
+        comp = joined_components(comp, _settle(crowd, comp, rows))
 
     if one_by_id:
         ends = sets.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
         same = staged(sets.where("n > 0").join(ends, "doc_id").select("a", F.col("node").alias("b")).distinct(), "same")
         if not same.isEmpty():
             comp = joined_components(comp, same)
-    return counted, comp
+    return counted, sets, comp
 
 
-def link(docs: DataFrame, one_by_id: bool = True) -> DataFrame:
+def link(docs: DataFrame, one_by_id: bool = True, key_bits: int = 63) -> DataFrame:
     """doc_id, key (hash of the text), n_shingles, component (a number) and component_id of every row of ``docs`` (doc_id, text).
 
-    With ``one_by_id`` rows that share a doc_id are one document, else documents of their own.
+    With ``one_by_id`` rows that share a doc_id are one document, else documents of their own. ``key_bits``: of the first
+    hash of a set; fewer than 63 make it stand for several sets, for tests.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("key"))
     with scratch(docs.sparkSession) as keep:
-        counted, comp = _linked(docs, one_by_id)
+        counted, sets, comp = _linked(docs, one_by_id, key_bits)
         keep(counted, comp)  # the result reads these two only
-    sets = counted.where("slice is null").select("doc_id", "key", "n", "node")
     first = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     named = first.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -182,6 +182,16 @@ def test_join_settles_crowded_columns_in_classes(spark, monkeypatch, seed):
     assert seen and 0 < seen[0] <= 12 * len(rows)
 
 
+@pytest.mark.parametrize("bits", [1, 5])
+def test_join_under_keys_that_stand_for_several_sets(spark, bits):
+    """Sets whose first hashes are equal are told apart by the second and neither merged nor lost."""
+    rows = [(i, " ".join(f"g{i // 4}_{k}" for k in range(30 + i % 2))) for i in range(60)] + [(60, ""), (61, None), (62, "one")]
+    got = ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string"), key_bits=bits).toPandas().set_index("doc_id")
+    comp, sets = brute_components(rows)
+    assert {i: (len(sets[i]), comp[i]) for i in comp} == {i: (r.n_shingles, r.component_id) for i, r in got.iterrows()}
+    assert len(set(comp.values())) == 18
+
+
 def test_rows_of_one_doc_id_or_none(spark):
     near = " ".join(f"w{k}" for k in range(40))
     rows = [(None, near, 1), (None, near + " x", 2), (None, near, 3), (7, near + " y", 4), (7, "another text of six plain words", 5), (None, "", 6), (None, None, 7), (9, "another text of six plain words", 8)]
