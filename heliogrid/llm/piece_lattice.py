@@ -67,6 +67,8 @@ class Lattice:
         if any(BLANK in p.lstrip(BLANK) for p in self.pieces):
             raise ValueError("a piece runs over a word edge; the lattice can't be cut there")
         self.longest = max(map(len, self.pieces))
+        if self.longest >= 32:
+            raise ValueError("a piece of 32 or more characters; the arcs' keys have five bits for its length")
         self.byte_ids = {int(names[i][3:5], 16): i for i in range(size) if m.is_byte(i)}
         # pieces at -1e9 stand outside the model's ranking
         self.unknown = min(s for _, s in self.pieces.values() if s > -1e9) - 10.0

@@ -741,3 +741,36 @@ def test_lattice_of_long_words_and_forgotten_ones(monkeypatch):
     for t in texts:
         ids, scores, _ = m.encode(t)
         assert (ids, scores) == fresh.encode_all([t]).__next__()[:2] and scores == pytest.approx(brute_scores(m, t, 4))
+
+
+def test_lattice_refuses_pieces_too_long_for_its_keys(monkeypatch):
+    import sentencepiece
+
+    class Model:
+        def __init__(self, length):
+            self.names = ["<unk>", "a", "a" * length]
+
+        def get_piece_size(self):
+            return len(self.names)
+
+        def id_to_piece(self, i):
+            return self.names[i]
+
+        def get_score(self, i):
+            return -float(i)
+
+        def is_unknown(self, i):
+            return i == 0
+
+        def is_byte(self, i):
+            return False
+
+        is_control = is_unused = is_byte
+
+    for length, fits in ((31, True), (32, False)):
+        monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", lambda model_file, length=length: Model(length))
+        if fits:
+            assert piece_lattice.Lattice("").longest == length
+        else:
+            with pytest.raises(ValueError, match="32 or more"):
+                piece_lattice.Lattice("")
