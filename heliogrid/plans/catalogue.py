@@ -671,25 +671,26 @@ c as (select max(t) as now from e), s(status, wait) as (values ('stale', interva
 union all select device_id, 'live', t, t from e where prev is null or prev + interval 15 minute < t""")
 def liveness_changes(spark, sf_dir):
     """Every change of every device in a stream of its readings that comes in three batches; timers give the changes after its last one."""
-    return _live(spark, sf_dir)
+    out = spark.read.schema(liveness.CHANGES).parquet(f"{_live(spark, sf_dir)}/out")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("at", "last_reading_at")})
 
 
 @query(f"""{_GAPS}, l as (select device_id, max(t) as t from e group by 1)
 select device_id, case when t + interval 24 hour < now then 'offline' when t + interval 15 minute < now then 'stale' else 'live' end as status, t as last_reading_at from l, c""")
 def liveness_now(spark, sf_dir):
     """The status of every device when the stream's clock has come to the last reading of all."""
-    return liveness.now(_live(spark, sf_dir)).select("device_id", "status", "last_reading_at")
+    return liveness.held(spark, f"{_live(spark, sf_dir)}/checkpoint")
 
 
-def _live(spark, sf_dir) -> DataFrame:
+def _live(spark, sf_dir) -> str:
+    """Folder of the stream's changes and its checkpoint."""
     folder = work_folder(spark, "liveness")
     e = load(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("device_id"), F.col("ts").cast("timestamp_ntz").alias("event_time"))
     for k, (a, b) in enumerate((("2000-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2100-01-01"))):
         e.where(f"event_time >= timestamp_ntz'{a} 00:00:00' and event_time < timestamp_ntz'{b} 00:00:00'").write.parquet(f"{folder}/in/part={k}")
         stream = spark.readStream.schema(e.schema).parquet(f"{folder}/in/*")
         liveness.follow(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    out = spark.read.schema(liveness.CHANGES).parquet(f"{folder}/out")
-    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("at", "last_reading_at")})
+    return folder
 
 
 @query("select 'environmental' as source, c_custkey, c_name from customer union all select 'meter', s_suppkey, s_name from supplier")

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -136,3 +136,10 @@ def now(changed: DataFrame) -> DataFrame:
     """The last change of every device."""
     last = F.max_by(F.struct("status", "at", "last_reading_at"), F.struct("last_reading_at", "at")).alias("c")
     return changed.groupBy("device_id").agg(last).select("device_id", "c.*")
+
+
+def held(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(device_id, status, last_reading_at) of every device as the stream's state has them: a live device's last reading is no change of it, so the changes don't say it."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    state = spark.read.format("statestore").option("stateVarName", "last").load(checkpoint)
+    return state.select("key.device_id", "value.status", F.timestamp_micros("value.last").cast("timestamp_ntz").alias("last_reading_at"))

@@ -3,7 +3,7 @@
 import json
 import os
 import random
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pandas as pd
 import pytest
@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from heliogrid.functions.params import HistoryParams
 from heliogrid.functions.rounding import round_exact
 from heliogrid.operators import energy, history, retention, rollup, rollup_job
+from heliogrid.plans import catalogue
 from heliogrid.sources import message_log
 from heliogrid.sources.message_log import Log
 from heliogrid.streaming import ingest, liveness
+from tests.compare import same
 
 M = "id long, device_id string, metric string, value double, unit string, event_time timestamp_ntz"
 MSG = "topic string, payload string, ingestion_time timestamp_ntz"
@@ -140,6 +142,18 @@ def test_liveness_without_messages(spark, tmp_path):
     assert got == {"quiet": ("offline", at(48 * 60 + 1)), "clock": ("live", at(90 * 60))} and n == 10
 
 
+def test_a_live_device_shows_its_last_reading(spark, tmp_path):
+    """Readings that follow within 15 minutes change nothing, but the last of them is the device's last reading."""
+    sf, base = tmp_path / "sf", datetime(2024, 1, 30, 12)
+    sf.mkdir()
+    rows = [(1, base), (1, base + timedelta(minutes=9)), (2, base - timedelta(minutes=10)), (3, base - timedelta(days=2)), (2, datetime(2024, 1, 12))]
+    spark.createDataFrame([(d, t.replace(tzinfo=timezone.utc)) for d, t in rows], "user_id long, ts timestamp").write.parquet(str(sf / "events.parquet"))
+    got = catalogue.liveness_now(spark, str(sf))
+    assert sorted(tuple(r) for r in got.collect()) == [("1", "live", rows[1][1]), ("2", "stale", rows[2][1]), ("3", "offline", rows[3][1])]
+    ok, why = same(got, catalogue.SQL["liveness_now"], str(sf))
+    assert ok, why
+
+
 def samples(spark, tmp_path, rows):
     path = str(tmp_path / "samples")
     retention.store(spark.createDataFrame(rows, M), path)
