@@ -154,6 +154,21 @@ def test_a_live_device_shows_its_last_reading(spark, tmp_path):
     assert ok, why
 
 
+def test_devices_share_a_state_by_blocks(spark, tmp_path, monkeypatch):
+    """Calls of the state store grow with the blocks and not with the devices, which stay apart all the same."""
+    monkeypatch.setattr(liveness, "BLOCKS", 2)
+    schema, out, cp = "device_id string, event_time timestamp_ntz", str(tmp_path / "out"), str(tmp_path / "cp")
+    rows = [(f"d{k}", at(m)) for k in range(60) for m in (0, 5, 20 + k % 3)]  # the gap is 15, 16 or 17 minutes
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "in"))
+    liveness.follow(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), out, cp).awaitTermination()
+    state = spark.read.format("statestore").option("stateVarName", "last").load(cp)
+    assert state.select("key").distinct().count() == 2
+    assert {(r.device_id, r.status, r.last_reading_at) for r in liveness.held(spark, cp).collect()} == {(f"d{k}", "live", at(20 + k % 3)) for k in range(60)}
+    want = [(f"d{k}", "live", at(0)) for k in range(60)] + [(f"d{k}", s, t) for k in range(60) if k % 3 for s, t in (("stale", at(20)), ("live", at(20 + k % 3)))]
+    got = spark.read.schema(liveness.CHANGES).parquet(out).select("device_id", "status", F.col("at").cast("timestamp_ntz")).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def samples(spark, tmp_path, rows):
     path = str(tmp_path / "samples")
     retention.store(spark.createDataFrame(rows, M), path)
