@@ -30,6 +30,7 @@ from heliogrid.session import ship_package
 NAME = "message_log"
 SCHEMA = "position long, topic string, payload string, ingestion_time timestamp_ntz"
 TASK_BYTES = 64 << 20
+TASKS = 512
 TAIL = 1 << 20
 SUFFIX = ".jsonl"
 ROWS = 4096
@@ -81,7 +82,12 @@ class Log:
         return next((s.start for s in self.segments()), 0)
 
     def ranges(self, start: int, end: int, task_bytes: int) -> list[Range]:
-        """Tasks that together hold each message of [start, end) once."""
+        """Tasks that together hold each message of [start, end) once.
+
+        They have ``task_bytes`` each. Where that makes more than TASKS, they are as large as it takes, up to TASK_BYTES: each task starts
+        a reader and opens files of its own in a sink, which costs more than a small range does.
+        """
+        task_bytes = max(task_bytes, min(TASK_BYTES, -(-(end - start) // TASKS)))
         out = []
         for s in self.segments():
             at, upto = max(start, s.start), min(end, s.start + s.size)

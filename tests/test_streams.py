@@ -62,6 +62,19 @@ def test_log_gives_each_message_once_however_it_is_cut(spark, tmp_path):
     assert len(got) == len(rows) + 1 and any(r.topic is None and r.payload == "not json" for r in got)
 
 
+def test_a_long_range_of_the_log_is_few_tasks(tmp_path):
+    sizes = [700 << 20, 3 << 20, 500 << 20]
+    for k, size in enumerate(sizes):
+        with open(tmp_path / f"{sum(sizes[:k]):020d}.jsonl", "wb") as f:
+            f.truncate(size)
+    end = sum(sizes)
+    got = Log(str(tmp_path)).ranges(0, end, 200_000)
+    assert len(got) <= message_log.TASKS + len(sizes)
+    assert got[0].start == 0 and got[-1].end == end and all(a.end == b.start for a, b in zip(got, got[1:]))
+    assert max(r.end - r.start for r in Log(str(tmp_path)).ranges(0, end << 10, 1)) <= message_log.TASK_BYTES
+    assert len(Log(str(tmp_path)).ranges(0, 1_000_000, 200_000)) == 5  # a short one is cut as asked
+
+
 def test_ingest_goes_on_from_its_checkpoint_and_gives_each_message_once(spark, tmp_path):
     log, out, checkpoint = (str(tmp_path / x) for x in ("log", "out", "cp"))
     run = lambda: ingest.ingest(message_log.stream(spark, log, taskBytes="300", keepSegments="false"), out, checkpoint).awaitTermination()
