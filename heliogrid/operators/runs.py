@@ -37,6 +37,15 @@ def pending(requests: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
     return requests.join(runs.where("success").select(*keys), keys, "left_anti")
 
 
+def _fields(node: Column, names: list[str]) -> Column:
+    """A variant as a struct of its fields ``names``, each a variant; null where it isn't an object."""
+    return F.try_variant_get(node, "$", f"struct<{', '.join(f'{n}: variant' for n in names)}>")
+
+
+def _text(node: Column) -> Column:
+    return F.try_variant_get(node, "$", "string")
+
+
 def _object(body: Column, name: str) -> Column:
     node = F.try_variant_get(body, f"$.{name}", "variant")
     return F.when(kind_of(node) == "OBJECT", node)
@@ -57,12 +66,14 @@ def run_columns(rows: DataFrame, response: str = "response_json") -> DataFrame:
 
 
 def room_results(rows: DataFrame, response: str = "response_json", run: str = "run_id") -> DataFrame:
-    """One row a (run, room): the last of equal rooms in the response wins."""
+    """One row a (run, room): the last of equal rooms in the response wins. Only rooms that are left are taken apart, in steps as in ``run_columns``."""
     items = F.try_variant_get(F.try_parse_json(response), "$.room_results", "array<variant>")
-    out = rows.select(F.col(run).alias("run_id"), F.posexplode(items).alias("position", "r"))
-    text = lambda n: F.try_variant_get("r", f"$.{n}", "string")
-    out = out.select("run_id", "position", text("room_id").alias("room_id"), text("room_label").alias("room_label"), text("status").alias("status"), text("error").alias("error_text"), *[decimal_or_null(text(f"metrics.{m}")).alias(m) for m in ROOM])
-    return last_by_key(out, ["run_id", "room_id"], ["position"]).drop("position")
+    out = rows.select(F.col(run).alias("run_id"), F.posexplode(items).alias("position", "_room"))
+    out = last_by_key(out.withColumn("room_id", F.try_variant_get("_room", "$.room_id", "string")), ["run_id", "room_id"], ["position"])
+    out = out.withColumn("_room", _fields(F.col("_room"), ["room_label", "status", "error", "metrics"]))
+    out = out.withColumn("_metrics", _fields(F.col("_room.metrics"), ROOM))
+    text = lambda n: _text(F.col(f"_room.{n}"))
+    return out.select("run_id", "room_id", text("room_label").alias("room_label"), text("status").alias("status"), text("error").alias("error_text"), *[decimal_or_null(_text(F.col(f"_metrics.{m}"))).alias(m) for m in ROOM])
 
 
 def record_rooms(current: DataFrame, answers: DataFrame, response: str = "response_json", run: str = "run_id") -> DataFrame:
