@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,27 +44,34 @@ def _fields(node: Column, names: list[str]) -> Column:
     return F.try_variant_get(node, "$", f"struct<{', '.join(f'{n}: variant' for n in names)}>")
 
 
-def _text(node: Column) -> Column:
-    return F.try_variant_get(node, "$", "string")
+def _each(node: str, names: list[str], read: Callable[[Column], Column]) -> Column:
+    """Array of what ``read`` makes of the fields ``names`` of a struct: one piece of code however many there are."""
+    return F.transform(F.array(*[F.col(f"{node}.{n}") for n in names]), read)
 
 
-def _object(body: Column, name: str) -> Column:
-    node = F.try_variant_get(body, f"$.{name}", "variant")
-    return F.when(kind_of(node) == "OBJECT", node)
+def _text(node: Column) -> Column:
+    return F.try_variant_get(node, "$", "string")
 
 
 def run_columns(rows: DataFrame, response: str = "response_json") -> DataFrame:
-    """Run columns of a day-ahead response; sections that aren't objects count as empty."""
-    body = F.try_parse_json(response)
-    text = lambda v, n: F.try_variant_get(v, f"$.{n}", "string")
-    summary, totals, load = _object(body, "summary"), _object(body, "school_totals"), _object(body, "hourly_load")
-    return rows.withColumns(
-        {n: text(body, n) for n in ("status", "simulation_engine")}
-        | {"external_run_id": text(body, "run_id"), "day_ahead_date": date_at(body, "$.day_ahead_date")}
-        | {n: int_at(summary, f"$.{n}") for n in ROOMS}
-        | {n: decimal_or_null(text(totals, n)) for n in TOTALS}
-        | {"hourly_load": F.to_json(load)}
+    """Run columns of a day-ahead response; sections that aren't objects count as empty.
+
+    Parsed, taken apart and cast in projections of their own: each step is used by many columns of the next. Cast one by one in a single
+    projection, the numbers alone make a method that the JVM no longer compiles.
+    """
+    head = ["status", "simulation_engine", "run_id", "day_ahead_date"]
+    out = rows.withColumn("_body", _fields(F.try_parse_json(response), [*head, "summary", "school_totals", "hourly_load"]))
+    out = out.withColumns({"_summary": _fields(F.col("_body.summary"), ROOMS), "_totals": _fields(F.col("_body.school_totals"), TOTALS)})
+    out = out.withColumns({"_summary": _each("_summary", ROOMS, lambda v: int_at(v, "$")), "_totals": _each("_totals", TOTALS, lambda v: decimal_or_null(_text(v)))})
+    load = F.col("_body.hourly_load")
+    out = out.withColumns(
+        {n: _text(F.col(f"_body.{n}")) for n in ("status", "simulation_engine")}
+        | {"external_run_id": _text(F.col("_body.run_id")), "day_ahead_date": date_at(F.col("_body.day_ahead_date"), "$")}
+        | {n: F.col("_summary")[k] for k, n in enumerate(ROOMS)}
+        | {n: F.col("_totals")[k] for k, n in enumerate(TOTALS)}
+        | {"hourly_load": F.to_json(F.when(kind_of(load) == "OBJECT", load))}
     )
+    return out.drop("_body", "_summary", "_totals")
 
 
 def room_results(rows: DataFrame, response: str = "response_json", run: str = "run_id") -> DataFrame:

@@ -103,6 +103,24 @@ def test_rooms_of_a_run_are_replaced(spark):
     assert sorted((r.run_id, r.room_id, r.status) for r in rooms.collect()) == [(1, "b", "new"), (2, "c", "ok")]
 
 
+def test_answers_are_taken_apart_in_steps(spark):
+    """Whatever the number of columns, the plan holds one piece of code for all totals, and rooms that go are not cast; odd answers give nulls."""
+    odd = ["x", None, "3", "[]", '{"summary": [1], "school_totals": 3, "hourly_load": [1], "status": {"a": 1}, "room_results": {"a": 1}}', '{"summary": {"requested_rooms": "7_0", "successful_rooms": 3.9, "failed_rooms": true}, "school_totals": {"facility_kwh": " 1.5 ", "cooling_kwh": [1], "lighting_kwh": null}, "room_results": [3, null, {"room_id": 1, "metrics": [1]}, {"room_id": "1", "error": "e", "metrics": {"facility_kwh": "2.5"}}]}']
+    rows = spark.createDataFrame(list(enumerate(odd)), "run_id long, response_json string").repartition(2)
+    answers, rooms = runs.run_columns(rows), runs.room_results(rows)
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    plan = answers._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("as decimal(38,18)") == 1
+    plan = rooms._jdf.queryExecution().optimizedPlan().toString()
+    assert "as decimal(38,18)" not in plan[plan.index("Aggregate") :]  # numbers are read of the rooms that are left
+    got = {r.run_id: r for r in answers.collect()}
+    assert all(v is None for k in range(4) for n, v in got[k].asDict().items() if n not in ("run_id", "response_json"))
+    assert got[4].status == '{"a":1}' and [got[4][n] for n in (*runs.ROOMS, *runs.TOTALS, "hourly_load")] == [None] * 10
+    assert [got[5][n] for n in (*runs.ROOMS, "facility_kwh", "cooling_kwh", "lighting_kwh")] == [70, 3, 1, Decimal("1.5"), None, None]
+    assert sorted((r.run_id, r.room_id, r.error_text, r.facility_kwh) for r in rooms.where("room_id is not null").collect()) == [(5, "1", "e", Decimal("2.5"))]
+    assert rooms.where("room_id is null").count() == 1
+
+
 def test_recording_response(spark):
     kinds = ["id int", "run_id int", "school_id string", "recording_date date", "room_id string", "label string", "physical_instance_count int", "idf_file string", "zone_name string", "thermostat_type string", "supports_cooling_setpoint boolean", "default_occupancy string", *[f"default_{d} decimal(6,2)" for d in runs.DEFAULTS[1:]], "raw_item string", "created_at timestamp_ntz", "updated_at timestamp_ntz"]
     row = (1, 2, "s", date(2026, 7, 2), "a", "A", 3, "f", "z", "t", True, "o", Decimal("20.50"), None, None, None, "{}", datetime(2026, 7, 2), None)
